@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, quality
-from ._common import table
+from . import decontaminate, near_dup, packing, pii, quality, tokens
+from ._common import shared_folder, table
+
+#: Where the vocabulary files of the public tokenizers lie, unless a caller says otherwise.
+BYTE_BPE_JSON, BYTE_BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Key of the pseudonyms in the registered query; a deployment passes its own secret.
+PSEUDONYM_KEY = "registered-query"
+OVER_LIMIT = 512
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache folder of its own, so each run encodes every distinct text."""
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    found = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_BPE_JSON), cache)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT).alias("over_limit"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +35,16 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
+def token_lengths(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.encoded(docs.select("doc_id", "text"), tokenizer_path(BYTE_BPE_RANKS), pattern=public_tokenizers.PATTERN)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(token_lengths(table(spark, sf_dir, "documents")))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -27,5 +58,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_benchmark_decontamination, op6_simhash_near_dedup)}
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, found_col="found")
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), F.transform("found", lambda x: x["kind"]).alias("kinds"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_packing, op5_benchmark_decontamination, op6_simhash_near_dedup, op8_pii)}
 ORACLE_SQL: dict[str, str] = {}
