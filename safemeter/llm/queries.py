@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, pii, quality, tokens
+from . import chat, decontaminate, language, near_dup, packing, pii, quality, sharding, tokens
 from ._common import shared_folder, table
 
 #: Where the vocabulary files of the public tokenizers lie, unless a caller says otherwise.
@@ -30,6 +30,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > OVER_LIMIT).alias("over_limit"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identified(docs, language.trained(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), F.col("language").alias("lang_pred"), "score", "rejected")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
@@ -58,10 +64,25 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, found_col="found")
     return found.select("doc_id", "text", F.size("found").cast("long").alias("n_replaced"), F.transform("found", lambda x: x["kind"]).alias("kinds"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_quality_rules, op4_packing, op5_benchmark_decontamination, op6_simhash_near_dedup, op8_pii)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.sharded(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_language_id, op3_quality_rules, op4_packing, op5_benchmark_decontamination,
+        op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_sharding,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.ROTATED_SQL}
