@@ -21,7 +21,7 @@ from .packing import numbered
 
 SHARDS = 40
 #: Hexadecimal digits of the first blocks: 16 to that power of them.
-FIRST_DIGITS = 4
+FIRST_DIGITS = 3
 #: Places that still have no more groups than this are resolved to single groups at once.
 AT_ONCE = 20_000
 
@@ -120,17 +120,7 @@ class Blocks:
 def _blocks(groups: DataFrame, digits: int, within: list[str] | None = None) -> list[tuple[str, int, int, int]]:
     """Blocks by the first ``digits`` of the digest, or of those ``within`` the given prefixes of one length."""
     if within:
-        size = len(within[0])
-        spans, start = [], 0
-        for k in range(1, len(within) + 1):
-            if k == len(within) or int(within[k], 16) != int(within[k - 1], 16) + 1:
-                spans.append((within[start], within[k - 1]))
-                start = k
-        own = F.substring("digest", 1, size)
-        keep = F.lit(False)
-        for a, b in spans:
-            keep |= own.between(a, b)
-        groups = groups.where(keep)
+        groups = groups.where(F.substring("digest", 1, len(within[0])).isin(within))
     got = groups.groupBy(F.substring("digest", 1, digits).alias("prefix")).agg(F.sum("bytes"), F.count("*"), F.max("bytes"))
     return [(r[0], r[1], r[2], r[3]) for r in got.toLocalIterator()]
 
