@@ -84,6 +84,16 @@ def broken_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.withColumn("broken", named).where(F.size("broken") > 0)
 
 
+def table_rules(name: str) -> dict[str, Column]:
+    """All rules that a row of a stored table can break by itself, for one pass over it."""
+    rules = {f"{c} is null": F.col(c).isNotNull() for c in columns_of(TABLES[name]) if c not in NULLABLE.get(name, ())}
+    rules |= {f"{c} is not accepted": F.col(c).isin(*v) for c, v in ACCEPTED.get(name, {}).items()}
+    rules |= {"runs": manifest_rules, "detections": detection_rules}.get(name, dict)()
+    if name == "ground_truth":
+        rules["label and family disagree"] = (F.col("family") == "benign") == (F.col("label") == "benign")
+    return rules
+
+
 def composite_keys(relations: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     """Repeated keys of several relations, with the relation's name."""
     return reduce(DataFrame.unionByName, [duplicate_keys(df, keys).withColumn("relation", F.lit(name)) for name, df in relations.items()])

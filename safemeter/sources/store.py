@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.checks import ACCEPTED, broken_rules, detection_rules, duplicate_keys, label_family_mismatch, manifest_rules, orphans, required_nulls, unaccepted
+from ..operators.checks import broken_rules, duplicate_keys, orphans, table_rules
 from ..operators.facts import incomplete
 from ..operators.metrics import table_counts
 from ..schemas import KEYS, TABLES, RunTables, columns_of
@@ -121,20 +121,16 @@ class RunStore:
         all_runs = known_runs.select("run_id").unionByName(runs.select("run_id")).distinct()
         lineage = runs.where(F.col("baseline_run_id").isNotNull()).select(F.col("run_id").alias("own"), F.col("baseline_run_id").alias("run_id"))
         failures = {
-            "manifest rules": broken_rules(runs, manifest_rules()),
+            **{f"rules of {n}": broken_rules(df, table_rules(n)) for n, df in batch.items()},
             "baseline does not exist": orphans(lineage, all_runs, ["run_id"]),
-            "detection rules": broken_rules(detections, detection_rules()),
             "events of unknown runs": orphans(events, all_runs, ["run_id"]),
             "truth without event": orphans(truth, events, KEYS["events"]),
             "detections without event": orphans(detections, events, KEYS["events"]),
-            "label and family": label_family_mismatch(truth),
-            **{f"nulls in {n}": required_nulls(n, df) for n, df in batch.items()},
-            **{f"values of {n}": unaccepted(batch[n], v) for n, v in ACCEPTED.items()},
             **{f"conflicting rows in {n}": duplicate_keys(df, KEYS[n]) for n, df in batch.items()},
         }
-        for what, bad in failures.items():
-            if first := bad.take(1):
-                raise StoreError(f"{what}: {first[0].asDict()}")
+        named = [bad.select(F.lit(what).alias("what"), F.to_json(F.struct("*")).alias("row")) for what, bad in failures.items()]
+        if first := reduce(DataFrame.unionByName, named).take(1):  # one job for all rules
+            raise StoreError(f"{first[0]['what']}: {first[0]['row']}")
 
     def _conflicts(self, name: str, new: DataFrame, there: DataFrame) -> None:
         payload = [c for c in columns_of(TABLES[name]) if c not in KEYS[name]]

@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.staging import blind_events, truth_of, with_clock
 from ..schemas import BLIND_EVENT
@@ -37,8 +38,9 @@ def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also
     The new rows of batch n overwrite the folder of batch n, so a batch that is retried
     after a crash leaves one copy; rows whose key an earlier batch landed are no-ops.
     """
-    spark = stream.sparkSession
-    payload = [c for c in stream.columns if c not in keys]
+    columns = stream.columns
+    payload = [c for c in columns if c not in keys]
+    kept = StructType([*stream.schema.fields, StructField("batch", LongType())])
 
     def sink(batch: DataFrame, n: int) -> None:
         session = batch.sparkSession
@@ -50,12 +52,12 @@ def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also
             if not rows.isEmpty():
                 root = session._jvm.org.apache.hadoop.fs.Path(path)
                 if root.getFileSystem(session._jsc.hadoopConfiguration()).exists(root):
-                    there = session.read.schema(stream.schema.add("batch", "long")).parquet(path).where(F.col("batch") != n)
+                    there = session.read.schema(kept).parquet(path).where(F.col("batch") != n)
                     old = there.select(*keys, *(F.col(c).alias(f"old_{c}") for c in payload))
                     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in payload], F.lit(True))
                     if first := rows.join(old, keys).where(~same).take(1):
                         raise ValueError(f"another payload was landed under {[first[0][k] for k in keys]}")
-                    rows = rows.join(there.select(*keys), keys, "left_anti").select(*stream.columns)
+                    rows = rows.join(there.select(*keys), keys, "left_anti").select(*columns)
                 rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
             for subscriber in also:
                 subscriber(batch, n)
@@ -66,4 +68,4 @@ def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also
 
 
 def landed(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
