@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,3 +69,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def struct_of(*fields: tuple[str, str]) -> T.StructType:
     return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+
+
+#: Bits of a row of ``bit_filter``: what Spark's bitmap aggregate holds.
+_BITMAP = 1 << 15
+
+
+def bit_filter(values: DataFrame, column: str, size: int) -> np.ndarray:
+    """Bytes with the bit ``value mod size`` set for each value of a long column.
+
+    ``size`` (a power of 2) bounds what the driver gets, whatever the number of values; a bit
+    that is set may be another value's, so an exact join has to follow.
+    """
+    place = F.col(column).bitwiseAND(F.lit(size - 1))
+    rows = values.select(F.shiftright(place, 15).alias("row"), place.bitwiseAND(F.lit(_BITMAP - 1)).alias("bit"))
+    bits = np.zeros((size // _BITMAP, _BITMAP // 8), np.uint8)
+    for r in rows.groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator():
+        bits[r["row"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return bits.reshape(-1)
+
+
+def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values have their bit set."""
+    p = (values.astype(np.uint64) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, near_dup, packing, pii, quality, sharding, tokens
+from . import chat, decontaminate, language, near_dup, packing, pii, quality, sharding, suffix_dedup, tokens
 from ._common import shared_folder, table
 
 #: Where the vocabulary files of the public tokenizers lie, unless a caller says otherwise.
@@ -78,11 +78,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_quality_rules, op4_packing, op5_benchmark_decontamination,
-        op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_sharding,
+        op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_sharding, op10_suffix_array_dedup,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.ROTATED_SQL}
