@@ -78,7 +78,7 @@ def bit_filter(values: DataFrame) -> np.ndarray:
     place = F.col("fingerprint").bitwiseAND(F.lit(FILTER_BITS - 1))
     rows = values.select(place.alias("p")).distinct().select(F.floor(F.col("p") / _ROW_BITS).alias("row"), (F.col("p") % _ROW_BITS).alias("bit"))
     bits = np.zeros((FILTER_BITS // _ROW_BITS, _ROW_BITS // 8), np.uint8)
-    for r in rows.groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).toLocalIterator():
+    for r in rows.groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect():
         bits[r["row"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits.reshape(-1)
 
@@ -88,7 +88,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     of a benchmark window in it ``row``, ``start`` (word index), ``length`` and ``window``,
     with the benchmark's windows as a third result."""
     bench = written(benchmark_windows(benchmark, id_col=item_id_col, text_col=item_text_col, span=span, gram=gram), "benchmark")
-    lengths = sorted(r[0] for r in bench.select("length").distinct().toLocalIterator())
+    lengths = sorted(r[0] for r in bench.select("length").distinct().collect())
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(bench.select("fingerprint").distinct()))
     kind = docs.schema[id_col].dataType.simpleString()
     hit = "struct<start:int,length:int,fingerprint:long,window:long>"

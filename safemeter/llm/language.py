@@ -94,7 +94,7 @@ def inverse_frequency(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1, dtype=np.int32)), pa.array(df)], ["d", "n"])
 
     df = np.zeros(DIMENSIONS + 1)
-    for r in texts.mapInArrow(count, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in texts.mapInArrow(count, "d int, n long").groupBy("d").agg(F.sum("n").alias("n")).collect():
         df[r["d"]] = r["n"]
     return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
@@ -155,7 +155,7 @@ def trained(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     idf = inverse_frequency(known.select("t"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().toLocalIterator()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)

@@ -83,7 +83,7 @@ def packed(lengths: DataFrame, *, id_col: str = "doc_id", length_col: str = "n_t
     cut = whole.select(id_col, "n", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("segment"))
     cut = cut.select(id_col, F.col("segment").cast("int"), (F.col("segment") * max_length).alias("start"), F.least(F.col("n") - F.col("segment") * max_length, F.lit(max_length)).cast("int").alias("length"))
     cut = written(cut.withColumn("row", F.monotonically_increasing_id()), "sequences")
-    histogram = sorted((r["length"], r["count"]) for r in cut.groupBy("length").count().toLocalIterator())
+    histogram = sorted((r["length"], r["count"]) for r in cut.groupBy("length").count().collect())
     bounds, _ = optimal_boundaries(np.array([x for x, _ in histogram]), np.array([c for _, c in histogram]), buckets)
     bounds = bounds or [max_length]
     bucket = sum((F.when(F.col("length") > b, 1).otherwise(0) for b in bounds[:-1]), F.lit(0))

@@ -90,7 +90,7 @@ def gram_counts(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_i
 def ratios(counts: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
     """Integer log-likelihood ratios of all ``BUCKETS`` buckets (a fixed number of rows, whatever the corpus)."""
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in counts.toLocalIterator():
+    for r in counts.collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.any():
         return np.zeros(BUCKETS, np.int64)

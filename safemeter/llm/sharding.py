@@ -122,7 +122,7 @@ def _blocks(groups: DataFrame, digits: int, within: list[str] | None = None) ->
     if within:
         groups = groups.where(F.substring("digest", 1, len(within[0])).isin(within))
     got = groups.groupBy(F.substring("digest", 1, digits).alias("prefix")).agg(F.sum("bytes"), F.count("*"), F.max("bytes"))
-    return [(r[0], r[1], r[2], r[3]) for r in got.toLocalIterator()]
+    return [(r[0], r[1], r[2], r[3]) for r in got.collect()]
 
 
 def _finer(groups: DataFrame, blocks: Blocks, which: set[int], shards: int) -> Blocks:
