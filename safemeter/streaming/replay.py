@@ -8,13 +8,14 @@ and a changed payload raises.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.staging import blind_events, truth_of, with_clock
 from ..schemas import BLIND_EVENT
@@ -35,12 +36,13 @@ def subscribe(spark: SparkSession, events_path: str, *, files_per_trigger: int =
 def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also: tuple[Callable[[DataFrame, int], None], ...] = ()) -> StreamingQuery:
     """Write a stream to ``path`` by key, all that is there now; ``also`` gets every batch too.
 
-    The new rows of batch n overwrite the folder of batch n, so a batch that is retried
-    after a crash leaves one copy; rows whose key an earlier batch landed are no-ops.
+    The new rows of a query's batch overwrite the folder of that batch, so a batch that is
+    retried after a crash leaves one copy; rows whose key another batch landed are no-ops.
     """
     columns = stream.columns
     payload = [c for c in columns if c not in keys]
-    kept = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    query = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    kept = StructType([*stream.schema.fields, StructField("batch", StringType())])
 
     def sink(batch: DataFrame, n: int) -> None:
         session = batch.sparkSession
@@ -52,13 +54,13 @@ def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also
             if not rows.isEmpty():
                 root = session._jvm.org.apache.hadoop.fs.Path(path)
                 if root.getFileSystem(session._jsc.hadoopConfiguration()).exists(root):
-                    there = session.read.schema(kept).parquet(path).where(F.col("batch") != n)
+                    there = session.read.schema(kept).parquet(path).where(F.col("batch") != f"{query}-{n}")
                     old = there.select(*keys, *(F.col(c).alias(f"old_{c}") for c in payload))
                     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in payload], F.lit(True))
                     if first := rows.join(old, keys).where(~same).take(1):
                         raise ValueError(f"another payload was landed under {[first[0][k] for k in keys]}")
                     rows = rows.join(there.select(*keys), keys, "left_anti").select(*columns)
-                rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+                rows.write.mode("overwrite").parquet(f"{path}/batch={query}-{n}")
             for subscriber in also:
                 subscriber(batch, n)
         finally:
