@@ -8,7 +8,6 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _OWN_FOLDER: list[str] = []
 
@@ -67,8 +66,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def struct_of(*fields: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+#: Ids that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """``docs`` joined with one column of ids, ``left_anti`` or ``left_semi``; a null id matches none."""
+    flag = fresh_name(docs.columns, "listed_id")
+    ids = ids.toDF(flag)
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == F.col(flag), how)
 
 
 #: Bits of a row of ``bit_filter``: what Spark's bitmap aggregate holds.

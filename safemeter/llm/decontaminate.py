@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, WORDY, ByteHash, runs, signed, windows, words
-from ._common import fresh_name, written
+from ._common import by_id, written
 
 SPAN = 13
 GRAM = 5
@@ -161,6 +161,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     An id that several rows share goes if any of them is contaminated; rows with a null id stay.
     """
-    flag = fresh_name(docs.columns, "bad_id")
-    bad = contamination(docs, benchmark, id_col=id_col, **params).where("contaminated").select(F.col(id_col).alias(flag)).distinct()
-    return docs.join(bad, docs[id_col] == bad[flag], "left_anti")
+    bad = contamination(docs, benchmark, id_col=id_col, **params).where("contaminated").where(F.col(id_col).isNotNull()).select(id_col).distinct()
+    return by_id(docs, written(bad, "contaminated"), id_col, "left_anti")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh_name, written
+from ._common import by_id, written
 
 WORDS = 3
 BITS = 3
@@ -247,8 +247,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat a kept id are dropped with the rest of the component.  Rows with a
     null id cannot be named by a component and stay.
     """
-    flag = fresh_name(docs.columns, "kept_id")
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(flag)).distinct()
-    once = docs.join(kept, docs[id_col] == kept[flag]).drop(flag).dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    own = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))
+    ids = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(own).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    ids = written(ids, "dropped-or-repeated")
+    kept = by_id(docs, ids.where("not kept").select(id_col), id_col, "left_anti")
+    again = ids.where("kept").select(id_col)
+    if again.isEmpty():
+        return kept
+    return by_id(kept, again, id_col, "left_anti").unionByName(by_id(kept, again, id_col, "left_semi").dropDuplicates([id_col]))

@@ -117,10 +117,10 @@ def measure(texts: pa.Array, llr: np.ndarray, n: int = NGRAM, hasher: ByteHash |
         prefix = hasher.prefix(data)
         # lines
         breaks = np.flatnonzero(data == 0x0A)
-        line_starts = np.sort(np.concatenate([off[:-1], breaks + 1]))
+        line_starts = np.unique(np.concatenate([off[:-1], breaks + 1]))
         doc = np.searchsorted(off[1:], line_starts, side="right")
         keep = doc < j - i
-        # a break at the very end of a text starts an empty line of that text, not a line of the next: it holds no word
+        # the line after a break at the very end of a text is empty and holds no word; the next text starts there too
         line_starts, doc = line_starts[keep], doc[keep]
         stops = np.searchsorted(breaks, line_starts)
         line_ends = np.minimum(np.append(breaks, len(data))[stops], off[doc + 1])
