@@ -91,6 +91,7 @@ def bit_filter(values: DataFrame, column: str, size: int) -> np.ndarray:
     place = F.col(column).bitwiseAND(F.lit(size - 1))
     rows = values.select(F.shiftright(place, 15).alias("row"), place.bitwiseAND(F.lit(_BITMAP - 1)).alias("bit"))
     bits = np.zeros((size // _BITMAP, _BITMAP // 8), np.uint8)
+    rows = rows.repartition("row")  # a value is smaller than a part of the bitmap
     for r in rows.groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect():
         bits[r["row"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits.reshape(-1)

@@ -17,10 +17,11 @@ are set apart first, because they repeat from end to end.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,11 @@ NAME_BITS = 40
 BROADCAST_COPIES = 1_000_000
 
 
+_FILTER_WIDTH = FILTER_BITS.bit_length() - 1
+_PIECE = "name long, piece long, ord long, h long, start int, size int"
+_PART = "name long, window long, ord long, h long, start int"
+
+
 class Pieces:
     """The pieces of a run of texts: document, first and last window start, sampled position."""
 
@@ -77,6 +83,61 @@ class Pieces:
         return mix(two.ranges(prefix, self.lo, self.hi + length) ^ mix((self.at - self.lo + 1).astype(np.uint64)))
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending integers as compressed differences, byte plane by byte plane."""
+    steps = np.diff(values, prepend=0).astype("<u8")
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1)).astype(np.int64)
+
+
+def _contested_names(texts: DataFrame, length: int, gram: int) -> np.ndarray:
+    """A filter of the names that occur in two documents or more.
+
+    Each task sorts its names and sends, per range of names, those that it saw in one
+    document and those that it saw in several; each range is merged by one task.  The ranges
+    grow in number with the partitions of the input.
+    """
+    buckets = max(64, 1 << (4 * texts.rdd.getNumPartitions()).bit_length())
+    width = NAME_BITS - (buckets.bit_length() - 1)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, parts = ByteHash(11), []
+        for b in batches:
+            for _, _, data, off in runs(b.column(2)):
+                p = Pieces(data, off, length, gram, one)
+                order = np.lexsort((p.name, p.doc))
+                name, doc = p.name[order], p.doc[order]
+                new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]) if len(name) else np.zeros(0, bool)
+                parts.append((name[new] >> np.uint64(64 - NAME_BITS)).astype(np.int64))
+        names, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
+        out: list[list] = [[], [], []]
+        for several in (False, True):
+            some = names[(n > 1) == several]
+            edges = np.searchsorted(some, np.arange(buckets + 1) << width)
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                out[0].append(k)
+                out[1].append(several)
+                out[2].append(_packed(some[edges[k] : edges[k + 1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], ["bucket", "several", "names"])
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        once = [_unpacked(x) for x in group.loc[~group["several"], "names"]]
+        many = [_unpacked(x) for x in group.loc[group["several"], "names"]]
+        names, n = np.unique(np.concatenate([*once, *(np.unique(x) for x in many), *many]), return_counts=True)
+        places = np.unique(names[n > 1] >> (NAME_BITS - _FILTER_WIDTH))
+        return pd.DataFrame({"places": [_packed(places)]})
+
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in texts.mapInArrow(sort, "bucket int, several boolean, names binary").groupBy("bucket").applyInPandas(merge, "places binary").collect():
+        p = _unpacked(bytes(r["places"]))
+        np.bitwise_or.at(bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
+    return bits
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """ord (the id, a null one above all), h (hash of the text), t; rows with equal ord and h have equal texts."""
     t = text_or_empty(text_col)
@@ -97,16 +158,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = _keyed(docs, id_col, text_col).join(F.broadcast(copies) if few else copies, ["ord", "h"], "left_anti")
     context = docs.sparkSession.sparkContext
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = ByteHash(11)
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            for i, _, data, off in runs(b.column(2)):
-                p = Pieces(data, off, length, gram, one)
-                yield pa.RecordBatch.from_arrays([pa.array((p.name >> np.uint64(64 - NAME_BITS)).astype(np.int64)), pa.array(ids[i + p.doc])], ["name", "ord"])
-
-    seen = texts.mapInArrow(names, "name long, ord long").groupBy("name").agg(F.min("ord").alias("a"), F.max("ord").alias("b"))
-    shared = context.broadcast(bit_filter(seen.where("a < b"), "name", FILTER_BITS))
+    shared = context.broadcast(_contested_names(texts, length, gram))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ByteHash(11), ByteHash(12)
@@ -114,17 +166,22 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, _, data, off in runs(b.column(2)):
                 p = Pieces(data, off, length, gram, one)
-                some = in_filter(shared.value, p.name >> np.uint64(64 - NAME_BITS))
+                some = in_filter(shared.value, p.name >> np.uint64(64 - _FILTER_WIDTH))
                 z = p.content(two.prefix(data), two, length)[some]
                 lo, hi, doc = p.lo[some], p.hi[some], p.doc[some]
                 columns = [signed(p.name[some]), signed(z), ids[i + doc], hashes[i + doc], (lo - off[doc]).astype(np.int32), (hi - lo + length).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "piece", "ord", "h", "start", "size"])
 
-    rows = texts.mapInArrow(pieces, "name long, piece long, ord long, h long, start int, size int")
-    distinct = written(rows.groupBy("name", "piece").agg(F.min("ord").alias("first"), F.max("ord").alias("last")), "pieces")
+    distinct = written(texts.mapInArrow(pieces, _PIECE).groupBy("name", "piece").agg(F.min("ord").alias("first"), F.max("ord").alias("last")), "pieces")
     whole = distinct.where("first < last").select("name", "piece", "first")
-    whole = rows.join(whole, ["name", "piece"]).where("ord > first").select("ord", "h", "start", (F.col("start") + F.col("size")).alias("end"))
-    whole = written(whole, "repeated-pieces")
+    again = context.broadcast(bit_filter(whole, "piece", FILTER_BITS))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
+            yield b.filter(pa.array(in_filter(again.value, b.column(1).to_numpy())))
+
+    rows = texts.mapInArrow(repeated, _PIECE).join(whole, ["name", "piece"]).where("ord > first")
+    whole = written(rows.select("ord", "h", "start", (F.col("start") + F.col("size")).alias("end")), "repeated-pieces")
 
     torn = distinct.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("first").alias("b")).where("n > 1 and a < b")
     apart = context.broadcast(bit_filter(torn, "name", FILTER_BITS))
@@ -143,13 +200,19 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 columns = [signed(p.name[owner]), signed(win), ids[i + doc], hashes[i + doc], (s - off[doc]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "window", "ord", "h", "start"])
 
-    cut = texts.mapInArrow(parts, "name long, window long, ord long, h long, start int")
-    again = cut.groupBy("name", "window").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
-    again = written(again, "repeated-windows")
-    single = cut.join(again, ["name", "window"]).where("ord > first").select("ord", "h", "start", (F.col("start") + length).alias("end"))
+    seen = texts.mapInArrow(parts, _PART).groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
+    twice = context.broadcast(bit_filter(seen, "window", FILTER_BITS))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts(batches):
+            yield b.filter(pa.array(in_filter(twice.value, b.column(1).to_numpy())))
+
+    cut = written(texts.mapInArrow(candidates, _PART), "windows")
+    first = cut.groupBy("name", "window").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
+    single = cut.join(written(first, "repeated-windows"), ["name", "window"]).where("ord > first").select("ord", "h", "start", (F.col("start") + length).alias("end"))
 
     own = Window.partitionBy("ord", "h").orderBy("start", "end")
-    ranges = whole.unionByName(single).distinct()
+    ranges = whole.unionByName(single)
     ranges = ranges.withColumn("reached", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
     ranges = ranges.withColumn("n", F.sum(F.when(F.col("reached").isNull() | (F.col("start") > F.col("reached")), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     ranges = ranges.groupBy("ord", "h", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
