@@ -58,7 +58,5 @@ def effective_text(text: Column) -> Column:
 
 
 def contains_any(text: Column, phrases: list[str] | tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for p in phrases:
-        found |= text.contains(p)
-    return found
+    """Whether ``text`` holds one of ``phrases``; one pattern, so the text is computed once."""
+    return text.rlike("|".join(rf"\Q{p}\E" for p in phrases))

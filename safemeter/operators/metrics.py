@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,19 +43,30 @@ def false_positive_burden(facts: DataFrame) -> DataFrame:
     })
 
 
+_BURDEN = ("benign_examples", "false_positives", "false_positive_rate", "evaluation_mix_false_alarm_share_of_blocks")
+
+
 def performance_by_family(facts: DataFrame, burden: DataFrame | None = None) -> DataFrame:
-    """Catch rate per run and attack family, with the run's burden; one pass over the facts for the counts.
+    """Catch rate per run and attack family, with the run's burden beside it.
 
-    The burden has one row per run, so it is left to the optimiser to broadcast.
+    Without ``burden`` both come from one pass: the facts are summed per run, family and
+    label, and the few sums of a run are added up over it.  A given ``burden`` has one row per
+    run, so the optimiser broadcasts it by its size.
     """
-    burden = false_positive_burden(facts) if burden is None else burden
-    family = facts.where(F.col("ground_truth_label") == "attack").groupBy("run_id", "evaluation_family").agg(
-        F.count("*").alias("attack_examples"),
-        _count(F.col("is_true_positive")).alias("caught_attacks"),
-        _count(F.col("is_false_negative")).alias("missed_attacks"),
-    )
-    family = family.withColumn("catch_rate", ratio("caught_attacks", "attack_examples"))
-    return family.join(burden.select("run_id", "benign_examples", "false_positives", "false_positive_rate", "evaluation_mix_false_alarm_share_of_blocks"), "run_id")
+    flags = {"caught_attacks": "is_true_positive", "missed_attacks": "is_false_negative", "fp": "is_false_positive", "blocks": "final_flag"}
+    sums = facts.groupBy("run_id", "evaluation_family", "ground_truth_label").agg(F.count("*").alias("attack_examples"), *(_count(F.col(c)).alias(n) for n, c in flags.items()))
+    if burden is None:
+        run = Window.partitionBy("run_id")
+        sums = sums.withColumns({
+            "benign_examples": F.sum(F.when(F.col("ground_truth_label") == "benign", F.col("attack_examples")).otherwise(0)).over(run),
+            "false_positives": F.sum("fp").over(run), "total_blocks": F.sum("blocks").over(run),
+        })
+        sums = sums.withColumns({"false_positive_rate": ratio("false_positives", "benign_examples"), "evaluation_mix_false_alarm_share_of_blocks": ratio("false_positives", "total_blocks")})
+    family = sums.where(F.col("ground_truth_label") == "attack").withColumn("catch_rate", ratio("caught_attacks", "attack_examples"))
+    own = ["run_id", "evaluation_family", "attack_examples", "caught_attacks", "missed_attacks", "catch_rate"]
+    if burden is None:
+        return family.select(*own, *_BURDEN)
+    return family.select(*own).join(burden.select("run_id", *_BURDEN), "run_id")
 
 
 def tier_contribution(facts: DataFrame) -> DataFrame:

@@ -381,7 +381,13 @@ def a3_false_positive_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     RUN_SQL + "select f.*, caught_attacks::double / attack_examples as catch_rate, benign_examples, false_positives, false_positive_rate, "
     "evaluation_mix_false_alarm_share_of_blocks from family f join burden_rates using (run_id)"
 )
-def a4_j5_performance_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a4_performance_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables.measurement(spark, sf_dir)
+    return metrics.performance_by_family(facts.fct_classifications(t.events, t.ground_truth, t.detections, with_text=False))
+
+
+@_query(ORACLE_SQL["a4_performance_by_family"])
+def j5_performance_beside_burden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir)[1].family
 
 
@@ -585,4 +591,4 @@ def t3_streaming_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catch rate per run and attack family, with the false-positive burden beside it."""
-    return a4_j5_performance_by_family(spark, sf_dir)
+    return a4_performance_by_family(spark, sf_dir)
