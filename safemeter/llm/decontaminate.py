@@ -163,3 +163,21 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """
     bad = contamination(docs, benchmark, id_col=id_col, **params).where("contaminated").where(F.col(id_col).isNotNull()).select(id_col).distinct()
     return by_id(docs, written(bad, "contaminated"), id_col, "left_anti")
+
+
+_UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CONTAMINATION_SQL = rf"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+places as (select item_id, w, least(13, len(w)) as n, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0),
+bench as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as span from places),
+lengths as (select distinct n from bench),
+starts as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d cross join lengths where len(w) >= n),
+spans as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as span from starts),
+found as (select s.doc_id, s.n, s.i, b.item_id from spans s join bench b on s.n = b.n and s.span = b.span),
+hit as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, n, i from found)) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from found) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join items using (doc_id)
+"""

@@ -90,4 +90,8 @@ QUERIES = {
         op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_sharding, op10_suffix_array_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.ROTATED_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op7_chat_formatting": chat.ROTATED_SQL,
+    "op10_suffix_array_dedup": suffix_dedup.DEDUP_SQL,
+}

@@ -260,3 +260,20 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     kept = F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x))
     joined = joined.select("id", "n_bytes", removed.alias("n_removed"), "spans", kept.alias("kept"))
     return clean.unionByName(joined).withColumnRenamed("id", id_col)
+
+
+DEDUP_SQL = """
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+places as (select doc_id, h, unnest(range(0, n - 49)) as i from b where n >= 50),
+strings as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from places),
+first as (select s, min(doc_id) as first from strings group by s),
+again as (select doc_id, i from strings join first using (s) where doc_id > first),
+gone as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from again)),
+counts as (select doc_id, count(*) as n_removed, count(*) filter (before is null or before < p - 1) as n_spans
+  from (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from gone) group by doc_id),
+bytes as (select doc_id, h, unnest(range(0, n)) as p from b where doc_id in (select doc_id from counts)),
+kept as (select doc_id, string_agg(substr(h, 2 * p + 1, 2), '' order by p) as k from bytes anti join gone using (doc_id, p) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when n_removed is null then h else coalesce(k, '') end)) as kept_sha256
+from b left join counts using (doc_id) left join kept using (doc_id)
+"""
