@@ -56,6 +56,11 @@ class ByteHash:
         np.cumsum(self.letter[data] * self.power[: len(data)], out=out[1:])
         return out
 
+    def every(self, data: np.ndarray, size: int) -> np.ndarray:
+        """Hash of ``data[i : i + size]`` for every i with ``size`` bytes left."""
+        p = self.prefix(data)
+        return mix((p[size:] - p[:-size]) * self.back[: len(data) - size + 1])
+
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
 

@@ -8,8 +8,8 @@ sampled positions at an equal distance from their starts.
 1. Sampled k-grams are sorted into names; only names that two documents have go on.
 2. The windows of one sampled position are the suffixes it stands for; they are neighbours
    and merge under its name as one piece of text.  Equal pieces are equal in every window.
-3. Pieces that differ under one name are taken apart, and their windows, sorted under the
-   name, are compared with their neighbours.
+3. Pieces that differ under one name are taken apart, each in the first document that has
+   it, and their windows, sorted under the name, are compared with their neighbours.
 
 A window is repeated where a document with a smaller id has it too.  Copies of whole texts
 are set apart first, because they repeat from end to end.
@@ -40,47 +40,53 @@ NAME_BITS = 40
 BROADCAST_COPIES = 1_000_000
 
 
+#: Bytes of texts handled together: their arrays stay in the processor's cache.
+RUN = 1 << 17
 _FILTER_WIDTH = FILTER_BITS.bit_length() - 1
 _PIECE = "name long, piece long, ord long, h long, start int, size int"
 _PART = "name long, window long, ord long, h long, start int"
 
 
 class Pieces:
-    """The pieces of a run of texts: document, first and last window start, sampled position."""
+    """The pieces of a run of texts: document, first and last window start, name of the sampled gram.
+
+    A window's name is the least hash among its grams; neighbouring windows of one name are a piece.
+    """
 
     def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, one: ByteHash):
         empty = np.zeros(0, np.int64)
-        self.doc = self.lo = self.hi = self.at = empty
+        self.doc = self.lo = self.hi = empty
         self.name = empty.astype(np.uint64)
         n = len(data)
         if n < length:
             return
-        prefix = one.prefix(data)
-        start = np.arange(n - gram + 1)
-        value = one.ranges(prefix, start, start + gram)
-        place = start.astype(np.int32) if n < 2**31 else start
+        least = one.every(data, gram)
         width, have = length - gram + 1, 1
-        least, where = value, place
         while have < width:
             step = min(have, width - have)
-            lower = least[step:] < least[:-step]
-            least, where = np.where(lower, least[step:], least[:-step]), np.where(lower, where[step:], where[:-step])
+            least = np.minimum(least[:-step], least[step:])
             have += step
-        step = np.zeros(len(where) + 1, np.int32)
-        np.add.at(step, np.minimum(off[:-1], len(where)), 1)
-        np.add.at(step, np.minimum(np.maximum(off[1:] - length + 1, off[:-1]), len(where)), -1)
-        s = np.flatnonzero(np.cumsum(step[:-1]) > 0)
-        if not len(s):
-            return
-        a = where[s].astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        self.lo, self.hi, self.at = s[cut], s[np.append(cut[1:], len(s)) - 1], a[cut]
+        open_ = np.zeros(len(least) + 1, np.int8)
+        long = np.diff(off) >= length
+        open_[off[:-1][long]] += 1
+        open_[off[1:][long] - length + 1] -= 1
+        inside = np.cumsum(open_[:-1], dtype=np.int8) > 0
+        cut = inside.copy()
+        cut[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
+        cut[off[:-1][long]] = True
+        self.lo = np.flatnonzero(cut)
+        self.name = least[self.lo]
         self.doc = np.searchsorted(off, self.lo, side="right") - 1
-        self.name = value[self.at]
+        self.hi = np.minimum(np.append(self.lo[1:] - 1, n), off[self.doc + 1] - length)
 
     def content(self, prefix: np.ndarray, two: ByteHash, length: int) -> np.ndarray:
-        """Hash of each piece: its bytes and where in it the sampled position lies."""
-        return mix(two.ranges(prefix, self.lo, self.hi + length) ^ mix((self.at - self.lo + 1).astype(np.uint64)))
+        """Hash of the bytes of each piece."""
+        return two.ranges(prefix, self.lo, self.hi + length)
+
+
+def _occurrence(piece: np.ndarray, ords: np.ndarray) -> np.ndarray:
+    """Hash of a piece in a document."""
+    return mix(piece ^ mix(np.ascontiguousarray(ords).view(np.uint64)))
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -107,7 +113,7 @@ def _contested_names(texts: DataFrame, length: int, gram: int) -> np.ndarray:
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, parts = ByteHash(11), []
         for b in batches:
-            for _, _, data, off in runs(b.column(2)):
+            for _, _, data, off in runs(b.column(2), RUN):
                 p = Pieces(data, off, length, gram, one)
                 order = np.lexsort((p.name, p.doc))
                 name, doc = p.name[order], p.doc[order]
@@ -164,7 +170,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         one, two = ByteHash(11), ByteHash(12)
         for b in batches:
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, _, data, off in runs(b.column(2)):
+            for i, _, data, off in runs(b.column(2), RUN):
                 p = Pieces(data, off, length, gram, one)
                 some = in_filter(shared.value, p.name >> np.uint64(64 - _FILTER_WIDTH))
                 z = p.content(two.prefix(data), two, length)[some]
@@ -184,19 +190,27 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole = written(rows.select("ord", "h", "start", (F.col("start") + F.col("size")).alias("end")), "repeated-pieces")
 
     torn = distinct.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("first").alias("b")).where("n > 1 and a < b")
-    apart = context.broadcast(bit_filter(torn, "name", FILTER_BITS))
+    kept = distinct.join(torn.select("name"), "name").select("piece", "first")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key = _occurrence(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key))], ["key"])
+
+    apart = context.broadcast(bit_filter(kept.mapInArrow(keys, "key long"), "key", FILTER_BITS))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = ByteHash(11), ByteHash(12)
         for b in batches:
             ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, _, data, off in runs(b.column(2)):
+            for i, _, data, off in runs(b.column(2), RUN):
                 p = Pieces(data, off, length, gram, one)
-                some = in_filter(apart.value, p.name)
+                prefix = two.prefix(data)
+                some = in_filter(apart.value, _occurrence(p.content(prefix, two, length), ids[i + p.doc]))
                 count = (p.hi - p.lo + 1)[some]
                 owner = np.repeat(np.flatnonzero(some), count)
                 s = p.lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                win, doc = two.ranges(two.prefix(data), s, s + length), p.doc[owner]
+                win, doc = two.ranges(prefix, s, s + length), p.doc[owner]
                 columns = [signed(p.name[owner]), signed(win), ids[i + doc], hashes[i + doc], (s - off[doc]).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "window", "ord", "h", "start"])
 
