@@ -30,7 +30,7 @@ from ._bytes import ByteHash, mix, runs, signed
 from ._common import bit_filter, in_filter, text_or_empty, written
 
 LENGTH = 50
-GRAM = 28
+GRAM = 32
 #: Bits of the filters that carry names back to the texts: a fixed size.
 FILTER_BITS = 1 << 27
 DOCUMENT_BITS = 1 << 24
@@ -178,8 +178,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 columns = [signed(p.name[some]), signed(z), ids[i + doc], hashes[i + doc], (lo - off[doc]).astype(np.int32), (hi - lo + length).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "piece", "ord", "h", "start", "size"])
 
-    distinct = written(texts.mapInArrow(pieces, _PIECE).groupBy("name", "piece").agg(F.min("ord").alias("first"), F.max("ord").alias("last")), "pieces")
-    whole = distinct.where("first < last").select("name", "piece", "first")
+    distinct = texts.mapInArrow(pieces, _PIECE).groupBy("name", "piece").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+    distinct = written(distinct.select("name", "piece", "first", (F.col("first") < F.col("last")).alias("several")), "pieces")
+    whole = distinct.where("several").select("name", "piece", "first")
     again = context.broadcast(bit_filter(whole, "piece", FILTER_BITS))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
