@@ -4,6 +4,8 @@ import glob
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from safemeter import queries as Q
@@ -21,11 +23,11 @@ def duck():
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return None
         if isinstance(v, float):
             return round(v, 9)
-        return str(v) if not isinstance(v, (bool, int)) else int(v)
+        return str(v) if not isinstance(v, (bool, int, np.bool_, np.integer)) else int(v)
 
     out = frame[sorted(frame.columns)]
     return sorted((tuple(plain(v) for v in r) for r in out.astype(object).itertuples(index=False)), key=repr)
