@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_id, written
+from ._common import by_id, text_or_empty, written
 
 WORDS = 3
 BITS = 3
@@ -241,13 +241,122 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(of, "fingerprint").select(F.col(id_col), "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+# ---------------------------------------------------------------- by Jaccard similarity
+#: Words of a shingle, and the least similarity of two texts, as a fraction.
+SIMILAR_WORDS, SIMILAR = 5, (4, 5)
+#: MinHash bands and rows: a pair of similarity 0.8 shares none of the bands with probability 0.0004.
+BANDS, ROWS = 20, 5
+
+
+def shingles(text: str | None, size: int) -> set[bytes]:
+    """The ``size``-word shingles; a shorter text is one shingle, a blank one the empty shingle."""
+    parts = (text or "").encode().lower().split()
+    return {b" ".join(parts[k : k + size]) for k in range(max(1, len(parts) - size + 1))}
+
+
+def sketch(text: str | None, size: int, seed: int) -> np.ndarray:
+    """``BANDS`` signed longs; texts agree in one of them if ``ROWS`` least hashes of their shingles agree."""
+    rng = np.random.default_rng(seed)
+    factor = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mask = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles(text, size)], dtype="<u8")
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(h), 1 << 12):
+        least = np.minimum(least, ((h[k : k + (1 << 12), None] ^ mask) * factor).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], dtype="<u8").view(np.int64)
+
+
+def _sketched(docs: DataFrame, *, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
+    """Id, ``node`` (digest of the text), ``fingerprint`` and ``bands`` of every row."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fp = np.fromiter((fingerprint(t, size, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
+            bands = [sketch(t, size, seed) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], [id_col, "node", "fingerprint", "bands"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    narrow = docs.select(F.col(id_col), _node(text_col).alias("node"), text_or_empty(text_col).alias("t"))
+    return narrow.mapInArrow(of, f"`{id_col}` {kind}, node long, fingerprint long, bands array<long>")
+
+
+def _node(text_col: str):
+    return F.xxhash64(text_or_empty(text_col))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """Those of the ``pairs`` (nodes a, b) whose texts' sets of shingles are similar, counted exactly."""
+    need = written(pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct(), "needed")
+    texts = by_id(docs.select(_node(text_col).alias("node"), text_or_empty(text_col).alias("t")), need, "node", "left_semi").dropDuplicates(["node"])
+    texts = written(texts, "texts")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = shingles(x.as_py(), size), shingles(y.as_py(), size)
+                shared = len(x & y)
+                near.append(similarity[1] * shared >= similarity[0] * (len(x) + len(y) - shared))
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(of, "a long, b long"), "verified")
+
+
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS, similarity: tuple[int, int] = SIMILAR, budget: int = BITS, seed: int = 42) -> DataFrame:
+    """Id and ``component_id`` of every row, as in ``near_duplicates``, linked by Jaccard similarity.
+
+    Candidates are the links of the fingerprints' trie and the texts that share a MinHash
+    band; each is checked exactly.  At similarity 0.8 fingerprints differ in about ten
+    bits, where a trie prunes next to nothing, so the bands carry the recall.  Of a band's
+    texts the first check is with one of them; then whatever is still in different
+    components is compared in all pairs, so large groups do not emit theirs.
+    """
+    rows = written(_sketched(docs, id_col=id_col, text_col=text_col, size=size, seed=seed), "sketches")
+    nodes = written(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    banded = written(banded.join(shared, "band"), "banded")
+    exact = {"text_col": text_col, "size": size, "similarity": similarity}
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
+
+    named = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("named")), "named")
+    trie = links(named.select("fingerprint"), budget=budget)
+    trie = trie.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select("x", "y")
+    equal = nodes.select("node", "fingerprint").join(named, "fingerprint").select(F.col("node").alias("x"), F.col("named").alias("y"))
+    # four orders of the nodes, so that a group is not hung on one text alone
+    first = banded.groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.col("band") % 4)).alias("y"))
+    stars = banded.join(first, "band").select(F.col("node").alias("x"), "y")
+    pairs = written(ordered(trie.unionByName(equal).unionByName(stars)), "pairs")
+    edges = _verified(pairs, docs, **exact)
+    roots = written(components(edges), "roots")
+
+    def rooted(df: DataFrame) -> DataFrame:
+        return df.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node")).drop("at")
+
+    sets = rooted(banded).groupBy("band", "root").agg(F.collect_list("node").alias("members"))
+    several = sets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    sets = written(sets.join(several, "band"), "sets")
+    across = sets.select("band", F.col("root").alias("r"), F.col("members").alias("x")).join(sets.select("band", F.col("root").alias("s"), F.col("members").alias("y")), "band").where("r < s")
+    across = ordered(across.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")))
+    more = written(across.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    if not more.isEmpty():
+        roots = written(components(edges.unionByName(_verified(more, docs, **exact))), "roots")
+    found = written(rooted(rows.select(id_col, "node")), "rooted")
+    least = found.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    return found.join(least, "root").select(F.col(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", of=near_duplicates, **params) -> DataFrame:
     """``docs`` with one document of each component: the one whose id is the component's.
 
     Rows that repeat a kept id are dropped with the rest of the component.  Rows with a
     null id cannot be named by a component and stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **params)
+    found = of(docs, id_col=id_col, text_col=text_col, **params)
     own = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))
     ids = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(own).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
     ids = written(ids, "dropped-or-repeated")

@@ -262,6 +262,32 @@ def test_near_duplicates(spark, docs, corpus, none):
     assert near_dup.near_duplicates(none).count() == 0 and near_dup.keep_one(none).count() == 0
 
 
+def test_similar_links_edited_copies(spark, docs, corpus, none):
+    rng = random.Random(9)
+    texts = []
+    for n in (60, 100, 400):
+        for edits in range(1, 1 + n // 40):
+            words = [f"{rng.choice(WORDS)}{rng.randint(0, 999)}" for _ in range(n)]
+            other = list(words)
+            for k in range(edits):
+                other[(2 * k + 1) * n // (2 * edits)] = "edited"
+            texts += [" ".join(words), " ".join(other)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t, *_ in corpus if i is not None]
+    sets = [near_dup.shingles(t, 5) for _, t in rows]
+    forest = near_dup.Forest(len(rows))
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert sum(a < len(texts) for a, _ in pairs) > 5
+    forest.link(*map(np.array, zip(*pairs, strict=True)))
+    least = {}
+    for (i, _), r in zip(rows, forest.label, strict=True):
+        least[r] = min(least.get(r, i), i)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, near_dup.similar(df).collect()))
+    assert got == Counter((i, least[r]) for (i, _), r in zip(rows, forest.label, strict=True))
+    assert sorted(r["doc_id"] for r in near_dup.keep_one(df, of=near_dup.similar).collect()) == sorted(least.values())
+    assert near_dup.similar(none).count() == 0
+
+
 @pytest.mark.parametrize("levels", [6, 7, 9])
 def test_trie_walk_finds_all_links(spark, levels, monkeypatch):
     rng = np.random.default_rng(levels)
