@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_id, text_or_empty, written
+from ._common import by_id, fresh_name, text_or_empty, written
 
 WORDS = 3
 BITS = 3
@@ -351,17 +351,21 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", of=near_duplicates, **params) -> DataFrame:
-    """``docs`` with one document of each component: the one whose id is the component's.
+    """``docs`` with one row of each component: the least by id, then by the text's digest.
 
-    Rows that repeat a kept id are dropped with the rest of the component.  Rows with a
-    null id cannot be named by a component and stay.
+    ``of``: ``near_duplicates`` or ``similar``.  Rows are told apart by id and text, so rows
+    that repeat only an id are decided one by one; of rows equal in both, one stays.  Rows
+    with a null id cannot be named by a component and stay.
     """
-    found = of(docs, id_col=id_col, text_col=text_col, **params)
-    own = F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))
-    ids = found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(own).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
+    key = fresh_name(docs.columns, "row_key")
+    own_key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest")))
+    keyed = docs.withColumn(key, own_key)
+    found = of(keyed, id_col=key, text_col=text_col, **params)
+    own = F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))
+    ids = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(own).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
     ids = written(ids, "dropped-or-repeated")
-    kept = by_id(docs, ids.where("not kept").select(id_col), id_col, "left_anti")
-    again = ids.where("kept").select(id_col)
+    kept = by_id(keyed, ids.where("not kept").select(key), key, "left_anti")
+    again = ids.where("kept").select(key)
     if again.isEmpty():
-        return kept
-    return by_id(kept, again, id_col, "left_anti").unionByName(by_id(kept, again, id_col, "left_semi").dropDuplicates([id_col]))
+        return kept.drop(key)
+    return by_id(kept, again, key, "left_anti").unionByName(by_id(kept, again, key, "left_semi").dropDuplicates([key])).drop(key)

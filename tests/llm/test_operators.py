@@ -262,6 +262,15 @@ def test_near_duplicates(spark, docs, corpus, none):
     assert near_dup.near_duplicates(none).count() == 0 and near_dup.keep_one(none).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(8)
+    a, b, c = (text(rng, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, c), (0, c), (3, text(rng, 80)), (None, b)]
+    for of in (near_dup.near_duplicates, near_dup.similar):
+        kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), of=of)
+        assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (1, b), (0, c), rows[6], rows[7]])
+
+
 def test_similar_links_edited_copies(spark, docs, corpus, none):
     rng = random.Random(9)
     texts = []
