@@ -27,10 +27,10 @@ _OPEN, _SHUT = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}(?![\p{L}\p{N}])",
-    "secret": r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|api_?key|passwd|password)\s{0,3}[:=]\s{0,3}["']?[a-z0-9_+/-]{16,128})(?![\p{L}\p{N}])""",
+    "secret": r"""(?i:(?<![\p{L}\p{N}])(?:token|secret|api_?key|passwd|password)\s{0,3}[:=]\s{0,3}["']?[a-z0-9_+/-]{16,}+)""",
     "iban": _OPEN + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _SHUT,
     "ip": r"(?<![\p{L}\p{N}.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![\p{L}\p{N}]|\.[0-9])",
-    "date": _OPEN + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})" + _SHUT,
+    "date": _OPEN + r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?:" + _SHUT + r"|(?=[Tt](?:[01][0-9]|2[0-4])))",
     "ssn": _OPEN + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _SHUT,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _SHUT,
     "card": _OPEN + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}(?:\1[0-9]{4}){2}|3[47][0-9]{2}([ -])[0-9]{6}\2[0-9]{5})" + _SHUT,

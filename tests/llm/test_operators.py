@@ -385,6 +385,18 @@ def test_pseudonyms(spark):
     assert other != out[0]["text"] and pii.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_of_long_secrets_and_timestamps(spark):
+    long, day = "a1B2" * 60, "2024-01-05"
+    rows = [(0, f"token: {long} end"), (1, f"at {day}T10:00:00Z, {day}t23 and {day}."), (2, f"{day}Tuesday {day}T77"), (3, f"secret={long[:129]}\u00e9"), (4, f"password={long[:128]}-")]
+    out = {r["doc_id"]: r for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id int, text string"), "k", found_col="hits").collect()}
+    for i in (0, 3, 4):
+        assert [h["kind"] for h in out[i]["hits"]] == ["secret"] and long[:20] not in out[i]["text"]
+    hits = out[1]["hits"]
+    new = hits[0]["pseudonym"]
+    assert [(h["kind"], h["value"], h["pseudonym"]) for h in hits] == [("date", day, new)] * 3 and new != day
+    assert out[1]["text"] == f"at {new}T10:00:00Z, {new}t23 and {new}." and out[2]["text"] == rows[2][1]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.createDataFrame([(a, b) for a in range(7) for b in range(30)], "a int, b int")
     moved = pii.feistel(F.array("a", "b"), F.array(F.lit(7), F.lit(30)), "k", F.lit("t"))
