@@ -300,14 +300,15 @@ def m2_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tier(spark: SparkSession, sf_dir: str) -> tuple[fast_tier.FastTier, DataFrame]:
-    prompts = tables.prompts(spark, sf_dir)
-    return fast_tier.fit(prompts.where("doc_id % 2 = 0")), prompts.where("doc_id % 2 = 1")
+    """The tier fitted on the training half, and all documents with and without label."""
+    prompts = tables.scored_prompts(spark, sf_dir)
+    return fast_tier.fit(prompts.where("not held_out")), prompts
 
 
 @_query()
 def m3_m5_fast_tier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tier, unseen = _tier(spark, sf_dir)
-    return tier.score(unseen).select("doc_id", "label", "tier1_score")
+    tier, prompts = _tier(spark, sf_dir)
+    return tier.score(prompts).select("doc_id", "label", "held_out", "tier1_score")
 
 
 # ------------------------------------------------------------------ facts, metrics, comparison, gate
@@ -580,10 +581,10 @@ def t1_t2_t4_t5_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def t3_streaming_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-tier detection on the stream of unseen documents."""
-    tier, unseen = _tier(spark, sf_dir)
+    """Two-tier detection on the stream of all documents."""
+    tier, prompts = _tier(spark, sf_dir)
     root = scratch(spark, "detect")
-    replay.publish(unseen, ["doc_id"], f"{root}/events", f"{root}/truth", files=4)
+    replay.publish(prompts, ["doc_id"], f"{root}/events", f"{root}/truth", files=4)
     found = measure.detections_of(replay.subscribe(spark, f"{root}/events", files_per_trigger=2), tier, low=0.3, high=0.7)
     replay.land(found, f"{root}/landed", f"{root}/checkpoint", keys=["event_id"]).awaitTermination()
     return replay.landed(spark, f"{root}/landed", found.schema)

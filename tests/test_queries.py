@@ -51,3 +51,10 @@ def test_names_match():
 def test_entry(spark):
     out = Q.entry(spark, SF)
     assert {"catch_rate", "false_positive_rate"} <= set(out.columns) and out.count() == 12
+
+
+def test_fast_tier_scores_every_document(spark, duck):
+    want = duck.execute("select doc_id, case toxic when 1 then 'attack' when 0 then 'benign' end as label, toxic is null or doc_id % 2 = 1 as held_out from documents left join labels using (doc_id)").df()
+    got = Q.m3_m5_fast_tier_scores(spark, SF).toPandas()
+    assert got["tier1_score"].between(0, 1).all() and rows(got.drop(columns="tier1_score")) == rows(want)
+    assert Q.t3_streaming_detection(spark, SF).count() == len(want)
