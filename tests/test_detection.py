@@ -77,3 +77,10 @@ def test_run_from_corpus_to_store_and_stream_equals_batch(spark, tmp_path):
     other = measure.detections_of(replay.subscribe(spark, f"{root}/e"), tier, low=0.0, high=0.1)
     with pytest.raises(Exception, match="another payload"):
         replay.land(other, f"{root}/out", f"{root}/c4", keys=["event_id"]).awaitTermination()
+
+
+def test_fit_keeps_the_whole_vocabulary_of_its_sample(spark, monkeypatch):
+    monkeypatch.setattr(fast_tier, "VOCABULARY", 2, raising=False)
+    train = spark.createDataFrame([(f"aa{k % 5} bb", "attack" if k % 2 else "benign") for k in range(20)], "text string, label string")
+    assert len(fast_tier.fit(train).vocabulary.vocabulary) == 11
+    assert "bb" in fast_tier.fit(train, sample=12).vocabulary.vocabulary
