@@ -6,6 +6,7 @@ memory stays bounded whatever the batch holds; one longer text is a run of its o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 RUN_BYTES = 1 << 20
+#: Places hashed together: their arrays stay in the processor's cache.
+_CHUNK = 1 << 15
 
 #: Bytes that end a word: space and \t \n \v \f \r.
 BLANK = np.zeros(256, bool)
@@ -33,36 +36,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Longer ranges are digested one by one.
+_LONG = 256
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place the eight bytes from there on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 class ByteHash:
-    """Hash of any byte range from prefix sums modulo 2**64, one table and base per seed."""
+    """64-bit hashes of byte ranges: eight bytes at a time are put into a state that is scrambled each time.
+
+    Unlike sums of powers, no pattern of bytes makes two ranges collide more often than chance does.
+    """
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.letter = rng.integers(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(int(rng.integers(1, 2**62)) * 2 + 1)
-        self.inverse = np.uint64(pow(int(self.base), -1, 2**64))
-        self.power = np.ones(1, np.uint64)
-        self.back = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            size = 1 << n.bit_length()
-            self.power = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, self.base)]))
-            self.back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, self.inverse)]))
-
-    def prefix(self, data: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letter[data] * self.power[: len(data)], out=out[1:])
-        return out
-
-    def every(self, data: np.ndarray, size: int) -> np.ndarray:
-        """Hash of ``data[i : i + size]`` for every i with ``size`` bytes left."""
-        p = self.prefix(data)
-        return mix((p[size:] - p[:-size]) * self.back[: len(data) - size + 1])
-
-    def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * self.back[start] + (end - start).astype(np.uint64))
+        self.start = mix(np.array([2 * seed + 1], np.uint64))[0]
+        self.key = hashlib.sha256(str(seed).encode()).digest()[:16]
+
+    def ranges(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of ``data[start : end]`` for each pair."""
+        size, word = end - start, eights(data)
+        x = mix(size.astype(np.uint64) ^ self.start)
+        todo, done = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+        while len(todo):
+            left = size[todo] - done
+            x[todo] = mix(x[todo] ^ (word[start[todo] + done] & _TAIL[np.minimum(left, 8)]))
+            todo, done = todo[left > 8], done + 8
+        for k in np.flatnonzero(size > _LONG).tolist():
+            x[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=self.key).digest(), "little")
+        return x
+
+    def at(self, data: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of ``data[p : p + size]`` for each place; ``size`` is 8 at least."""
+        word, steps = eights(data), [*range(0, size - 8, 8), size - 8]
+        one, two = np.empty(len(places), np.uint64), np.empty(len(places), np.uint64)
+        for k in range(0, len(places), _CHUNK):
+            p = places[k : k + _CHUNK]
+            a, b = np.full(len(p), self.start), np.full(len(p), ~self.start)
+            for step in steps:
+                m = mix(word[p + step] ^ a)
+                b = (b ^ m) * _MIX_A
+                b ^= b >> np.uint64(29)
+                a = m
+            one[k : k + _CHUNK], two[k : k + _CHUNK] = a, b
+        return one, mix(two)
 
 
 def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -98,12 +119,11 @@ def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
 
 def windows(values: np.ndarray, size: int, seed: int) -> np.ndarray:
     """Hash of ``values[i : i + size]`` for every i; the last ``size - 1`` are not meaningful."""
-    factor = np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) % 2**64 | 1)
-    out = np.zeros(len(values), np.uint64)
+    out = np.full(len(values), seed * 64 + size, np.uint64)
     for k in range(size):
-        out *= factor
-        out[: len(values) - k or None] += values[k:]
-    return mix(out + np.uint64(size))
+        out[: len(values) - k or None] ^= values[k:]
+        out = mix(out)
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

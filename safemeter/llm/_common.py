@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,18 +27,46 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN_FOLDER[0]
 
 
-def written(df: DataFrame, label: str, *, partitions_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+class Scratch:
+    """A folder of its own in the shared folder, for what one run of an operator writes.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation,
-    and what follows sees one fixed set of rows.
+    Reading back what was written cuts the lineage: a lost executor costs a re-read, not a
+    recomputation, and what follows sees one fixed set of rows.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partitions_by:
-        writer = writer.partitionBy(partitions_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+        """``df`` written in ``n`` buckets of column ``by``, so that grouping by it later moves no row."""
+        label = f"{name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(n, by).saveAsTable(label)
+        out = self.spark.table(label)
+        self.spark.sql(f"DROP TABLE {label}")  # the entry only: the files are the folder's
+        return out
+
+    def drop(self, name: str = "") -> None:
+        """Delete what was written under ``name``, or all of it."""
+        remove(self.spark, f"{self.root}/{name}")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more.
+
+    Spark deletes them when the driver collects its garbage, which a small driver's heap may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written in a folder of its own in the shared folder, and read back."""
+    return Scratch(df.sparkSession, label).written(df, "rows")
 
 
 def remove(spark: SparkSession, path: str) -> None:

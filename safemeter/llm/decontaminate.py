@@ -5,11 +5,13 @@ the smallest one is kept.  A window of ``span`` words holds ``span - k + 1`` k-g
 is the size of the sliding window, so any span of that many shared words has a fingerprint
 in common.  Benchmark items shorter than ``span`` words are one window; there k is their
 own length and the sliding window is 1.  Training fingerprints join the benchmark's, and
-each hit is extended to the windows around it, which join the benchmark's windows.
+each hit is extended to the windows around it, which join the benchmark's windows by the
+SHA-256 of their words; the shorter hashes before only find candidates.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,28 +20,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, WORDY, ByteHash, runs, signed, windows, words
-from ._common import by_id, written
+from ._common import bit_filter, by_id, in_filter, written
 
 SPAN = 13
 GRAM = 5
-#: Size of the filter that spares most fingerprints the join: so many bits whatever the benchmark's size.
-FILTER_BITS = 1 << 24
-#: Benchmark windows are broadcast up to this many; beyond it the joins shuffle.
-BROADCAST_ROWS = 500_000
-_ROW_BITS = 1 << 15
+#: Bits of the filter that spares most fingerprints the join: 16 for each of the benchmark's, within these bounds.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 24, 1 << 27
+#: Benchmark windows (some 50 bytes each) are broadcast up to this many, item ids up to so many
+#: bytes in all; beyond it the joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32 << 20
 
 
 def _grams(texts: pa.Array, span: int, gram: int, lengths: list[int], hasher: ByteHash):
-    """For each run of texts: (rows, word counts, [(length, window starts, gram places, gram hashes, window hashes, text of each word)]).
+    """For each run of texts: (first and end row, word counts, each text's first word, text of each word,
+    [(length, window starts, gram places, gram hashes)], digests of windows).
 
-    For each window start the place of the fingerprint that stands for it, and the
-    window's own hash.  Places count from the run's first word.
+    For each window start the place and value of the fingerprint that stands for it.  Places
+    count from the run's first word.
     """
     for i, j, data, off in runs(texts):
         low = LOWER[data]
         starts, ends, first = words(low, off, WORDY)
         counts = np.diff(first)
-        word = hasher.ranges(hasher.prefix(low), starts, ends)
+        word = hasher.ranges(low, starts, ends)
+
+        def digests(first_word: np.ndarray, length: int, low: np.ndarray = low, starts: np.ndarray = starts, ends: np.ndarray = ends) -> list[bytes]:
+            """SHA-256 of windows: their lower-case words joined by spaces."""
+            raw = low.tobytes()
+            return [hashlib.sha256(b" ".join(raw[starts[w] : ends[w]] for w in range(f, f + length))).digest() for f in first_word.tolist()]
+
         of = np.repeat(np.arange(j - i), counts)
         stop = np.repeat(first[1:], counts)
         found = []
@@ -53,8 +62,8 @@ def _grams(texts: pa.Array, span: int, gram: int, lengths: list[int], hasher: By
             for step in range(1, length - k + 1):
                 lower = g[at + step] <= least
                 place[lower], least[lower] = at[lower] + step, g[at + step][lower]
-            found.append((length, at, place, least, windows(word, length, 200 + length)[at]))
-        yield i, j, counts, first, of, found
+            found.append((length, at, place, least))
+        yield i, j, counts, first, of, found, digests
 
 
 def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -63,24 +72,15 @@ def benchmark_windows(benchmark: DataFrame, *, id_col: str = "item_id", text_col
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash(5)
         for b in batches:
-            for i, _, counts, _, of, found in _grams(b.column(1), span, gram, list(range(1, span + 1)), hasher):
-                for length, at, _, fp, win in found:
+            for i, _, counts, _, of, found, digests in _grams(b.column(1), span, gram, list(range(1, span + 1)), hasher):
+                for length, at, _, fp in found:
                     own = (np.minimum(counts, span) == length)[of[at]]
                     items = b.column(0).take(pa.array(i + of[at][own]))
-                    yield pa.RecordBatch.from_arrays([items, pa.array(np.full(own.sum(), length, np.int32)), pa.array(signed(fp[own])), pa.array(signed(win[own]))], ["item", "length", "fingerprint", "window"])
+                    window = pa.array(digests(at[own], length), pa.binary())
+                    yield pa.RecordBatch.from_arrays([items, pa.array(np.full(own.sum(), length, np.int32)), pa.array(signed(fp[own])), window], ["item", "length", "fingerprint", "window"])
 
     narrow = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("t"))
-    return narrow.mapInArrow(windows_of, "item string, length int, fingerprint long, window long").distinct()
-
-
-def bit_filter(values: DataFrame) -> np.ndarray:
-    """Bits of the ``fingerprint`` values present, folded to ``FILTER_BITS``; at most that many bits come to the driver."""
-    place = F.col("fingerprint").bitwiseAND(F.lit(FILTER_BITS - 1))
-    rows = values.select(place.alias("p")).distinct().select(F.floor(F.col("p") / _ROW_BITS).alias("row"), (F.col("p") % _ROW_BITS).alias("bit"))
-    bits = np.zeros((FILTER_BITS // _ROW_BITS, _ROW_BITS // 8), np.uint8)
-    for r in rows.groupBy("row").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).collect():
-        bits[r["row"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return bits.reshape(-1)
+    return narrow.mapInArrow(windows_of, "item string, length int, fingerprint long, window binary").distinct()
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -89,28 +89,28 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     with the benchmark's windows as a third result."""
     bench = written(benchmark_windows(benchmark, id_col=item_id_col, text_col=item_text_col, span=span, gram=gram), "benchmark")
     lengths = sorted(r[0] for r in bench.select("length").distinct().collect())
-    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(bench.select("fingerprint").distinct()))
+    size = min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << (16 * bench.count()).bit_length()))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(bench, "fingerprint", size))
     kind = docs.schema[id_col].dataType.simpleString()
-    hit = "struct<start:int,length:int,fingerprint:long,window:long>"
+    hit = "struct<start:int,length:int,fingerprint:long,window:binary>"
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = ByteHash(5)
         for b in batches:
-            n_words = np.zeros(b.num_rows, np.int64)
-            parts = []
-            for i, j, counts, first, of, found in _grams(b.column(1), span, gram, lengths, hasher):
+            n_words, parts, window = np.zeros(b.num_rows, np.int64), [], []
+            for i, j, counts, first, of, found, digests in _grams(b.column(1), span, gram, lengths, hasher):
                 n_words[i:j] = counts
-                for length, at, _, fp, win in found:
-                    p = (fp & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    some = (bits.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+                for length, at, _, fp in found:
+                    some = in_filter(bits.value, fp)
                     at = at[some]
-                    parts.append((i + of[at], at - first[of[at]], np.full(len(at), length), signed(fp[some]), signed(win[some])))
-            rows = np.concatenate([np.zeros(0, np.int64), *(x[0] for x in parts)])
+                    parts.append((i + of[at], at - first[of[at]], np.full(len(at), length), signed(fp[some])))
+                    window += digests(at, length)
+            none = np.zeros(0, np.int64)
+            rows, *columns = (np.concatenate([none, *(x[k] for x in parts)]) for k in range(4))
             order = np.argsort(rows, kind="stable")
-            columns = [np.concatenate([np.zeros(0, np.int64), *(x[k] for x in parts)])[order] for k in range(1, 5)]
             offsets = np.searchsorted(rows[order], np.arange(b.num_rows + 1)).astype(np.int32)
-            types = (np.int32, np.int32, np.int64, np.int64)
-            struct = pa.StructArray.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, types, strict=True)], ["start", "length", "fingerprint", "window"])
+            columns = [pa.array(c[order].astype(t)) for c, t in zip(columns, (np.int32, np.int32, np.int64), strict=True)]
+            struct = pa.StructArray.from_arrays([*columns, pa.array(window, pa.binary()).take(pa.array(order))], ["start", "length", "fingerprint", "window"])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), pa.ListArray.from_arrays(pa.array(offsets), struct)], ["id", "n_words", "hits"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -142,7 +142,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     runs_ = runs_.withColumn("n", F.sum(F.when(F.col("reached").isNull() | (F.col("start") > F.col("reached")), 1).otherwise(0)).over(upto))
     runs_ = runs_.groupBy("row", "n").agg(F.min("start").alias("start"), F.max(end).alias("end"))
     spans = runs_.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    small = bench.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    size = bench.agg(F.count("*"), F.sum(F.octet_length("item"))).first()
+    small = size[0] <= BROADCAST_ROWS and (size[1] or 0) <= BROADCAST_BYTES
     named = bench.where("item is not null").select("length", "window", "item").distinct()
     occurring = found.select("row", "length", "window").distinct()
     items = occurring.join(F.broadcast(named) if small else named, ["length", "window"]).groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))

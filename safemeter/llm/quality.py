@@ -98,6 +98,27 @@ def ratios(counts: DataFrame, smoothing: float = SMOOTHING) -> np.ndarray:
     return np.rint((share[0] - share[1]) * SCALE).astype(np.int64)
 
 
+def repeated_lines(data: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each text the lines with a word that equal an earlier line of it, byte by byte."""
+    breaks = np.flatnonzero(data == 0x0A)
+    begins = np.unique(np.concatenate([off[:-1], breaks + 1]))
+    doc = np.searchsorted(off[1:], begins, side="right")
+    keep = doc < len(off) - 1
+    # the line after a break at the very end of a text is empty and holds no word; the next text starts there too
+    begins, doc = begins[keep], doc[keep]
+    stops = np.searchsorted(breaks, begins)
+    ends = np.minimum(np.append(breaks, len(data))[stops], off[doc + 1])
+    worded = np.searchsorted(starts, ends) > np.searchsorted(starts, begins)
+    raw, found, seen, last = data.tobytes(), np.zeros(len(off) - 1, np.int64), set(), -1
+    for d, a, b in zip(doc[worded].tolist(), begins[worded].tolist(), ends[worded].tolist(), strict=True):
+        if d != last:
+            seen, last = set(), d
+        n = len(seen)
+        seen.add(raw[a:b])
+        found[d] += len(seen) == n
+    return found
+
+
 def measure(texts: pa.Array, llr: np.ndarray, n: int = NGRAM, hasher: ByteHash | None = None) -> dict[str, np.ndarray]:
     """The counts of ``_RESULT`` for each text."""
     hasher = hasher or ByteHash(3)
@@ -114,25 +135,11 @@ def measure(texts: pa.Array, llr: np.ndarray, n: int = NGRAM, hasher: ByteHash |
         out["n_words"][rows] = np.diff(first)
         out["word_chars"][rows] = per_text(~BLANK[data] & (data & 0xC0 != 0x80))
         out["n_symbols"][rows] = per_text(SYMBOL[data])
-        prefix = hasher.prefix(data)
-        # lines
-        breaks = np.flatnonzero(data == 0x0A)
-        line_starts = np.unique(np.concatenate([off[:-1], breaks + 1]))
-        doc = np.searchsorted(off[1:], line_starts, side="right")
-        keep = doc < j - i
-        # the line after a break at the very end of a text is empty and holds no word; the next text starts there too
-        line_starts, doc = line_starts[keep], doc[keep]
-        stops = np.searchsorted(breaks, line_starts)
-        line_ends = np.minimum(np.append(breaks, len(data))[stops], off[doc + 1])
-        worded = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
-        line_starts, line_ends, doc = line_starts[worded], line_ends[worded], doc[worded]
-        key = mix(hasher.ranges(prefix, line_starts, line_ends) ^ mix(doc.astype(np.uint64) + np.uint64(1)))
-        _, firsts = np.unique(key, return_index=True)
-        out["n_dup_lines"][rows] = np.bincount(doc, minlength=j - i) - np.bincount(doc[firsts], minlength=j - i)
+        out["n_dup_lines"][rows] = repeated_lines(data, off, starts)
         # word windows
         if len(starts) >= WINDOW:
             of = np.repeat(np.arange(j - i), np.diff(first))
-            key = windows(hasher.ranges(prefix, starts, ends), WINDOW, 1)[: len(starts) - WINDOW + 1]
+            key = windows(hasher.ranges(data, starts, ends), WINDOW, 1)[: len(starts) - WINDOW + 1]
             inside = of[: len(key)] == of[WINDOW - 1 :]
             key = mix(key ^ mix(of[: len(key)].astype(np.uint64) + np.uint64(1)))
             at = np.flatnonzero(inside)

@@ -1,280 +1,355 @@
-"""Exact removal of repeated byte strings by sorting sampled suffixes.
-
-Every ``LENGTH``-byte window is a suffix cut to that length.  The sample is a difference
-cover chosen by content: each window's least k-gram.  Equal windows have the same least
-k-gram at the same place, so, as with a cover by residues, any two equal windows have
-sampled positions at an equal distance from their starts.
-
-1. Sampled k-grams are sorted into names; only names that two documents have go on.
-2. The windows of one sampled position are the suffixes it stands for; they are neighbours
-   and merge under its name as one piece of text.  Equal pieces are equal in every window.
-3. Pieces that differ under one name are taken apart, each in the first document that has
-   it, and their windows, sorted under the name, are compared with their neighbours.
-
-A window is repeated where a document with a smaller id has it too.  Copies of whole texts
-are set apart first, because they repeat from end to end.
+"""Exact removal of repeated byte strings: a difference-cover suffix sort cut to ``LENGTH`` bytes.
+
+Suffixes are compared on ``LENGTH`` bytes only, so a sparse cover takes the place of residues
+modulo 3: with ``COVER`` modulo ``PERIOD`` any two places are moved onto two sampled ones by a
+common shift below ``PERIOD``.
+
+1. The ``GRAM`` bytes at sampled places are sorted; equal ones share a name.  ``GRAM`` is what
+   a window of ``LENGTH`` bytes still holds after the greatest shift, so equal windows hold a
+   sampled place of the same name at the same distance from their starts.
+2. Only names that two documents share go on; a name of one document decides all its windows.
+   With whole suffixes such names would be named again from triples of names; here every
+   window around a shared name holds only ``PERIOD - 1`` bytes more, so the next sort settles it.
+3. The suffixes within reach of a shared name, sampled or not, are merged: sorted by their
+   first ``LENGTH`` bytes and compared with their neighbours.
+
+Texts are dealt, in the order of their ids, into blocks of about ``BLOCK_BYTES``.  A block sends
+its distinct names, sorted and as differences, to the tasks that hold a range of names each,
+and gets one bit for each of them back.  So a name that every text has is sent once per
+block.  Ranges of names are sorted one after another (``ROUNDS``), and each is cleared away
+before the next, so the disk holds a fraction of all suffixes at a time.  For windows a name
+is 96 bits of hash and the bit says whether an earlier block has it; repeats inside a block
+are found in the block.  Copies of whole texts are set apart first, by SHA-256.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import ByteHash, mix, runs, signed
-from ._common import bit_filter, in_filter, text_or_empty, written
+from ._bytes import ByteHash, runs
+from ._common import Scratch, release_shuffles, shuffle_partitions, text_or_empty
 
 LENGTH = 50
-GRAM = 32
-#: Bits of the filters that carry names back to the texts: a fixed size.
-FILTER_BITS = 1 << 27
-DOCUMENT_BITS = 1 << 24
-#: Bits of a name in the first sort; a name shared by chance only adds work.
+#: Every difference modulo the period is one of two residues of its cover (fixed values).
+COVERS = {31: (0, 1, 3, 8, 12, 18), 21: (0, 1, 4, 14, 16), 13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1)}
+PERIOD = 31
+BLOCK_BYTES = 8 << 20
+#: Suffixes, on average, that one task of a sort gets at once.
+SORT_ROWS = 2_000_000
+#: Ranges of names that are sorted one after another.
+NAME_ROUNDS, WINDOW_ROUNDS = 2, 4
+#: Bits of a sampled name; a name shared by chance only adds work.
 NAME_BITS = 40
-#: Keys of copies are broadcast up to this many; beyond it the join shuffles.
-BROADCAST_COPIES = 1_000_000
-
-
-#: Bytes of texts handled together: their arrays stay in the processor's cache.
-RUN = 1 << 17
-_FILTER_WIDTH = FILTER_BITS.bit_length() - 1
-_PIECE = "name long, piece long, ord long, h long, start int, size int"
-_PART = "name long, window long, ord long, h long, start int"
+#: Digests of repeated texts are broadcast up to this many (40 bytes each, and an id); beyond it the join shuffles.
+BROADCAST_COPIES = 200_000
 
-
-class Pieces:
-    """The pieces of a run of texts: document, first and last window start, name of the sampled gram.
-
-    A window's name is the least hash among its grams; neighbouring windows of one name are a piece.
-    """
-
-    def __init__(self, data: np.ndarray, off: np.ndarray, length: int, gram: int, one: ByteHash):
-        empty = np.zeros(0, np.int64)
-        self.doc = self.lo = self.hi = empty
-        self.name = empty.astype(np.uint64)
-        n = len(data)
-        if n < length:
-            return
-        least = one.every(data, gram)
-        width, have = length - gram + 1, 1
-        while have < width:
-            step = min(have, width - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        open_ = np.zeros(len(least) + 1, np.int8)
-        long = np.diff(off) >= length
-        open_[off[:-1][long]] += 1
-        open_[off[1:][long] - length + 1] -= 1
-        inside = np.cumsum(open_[:-1], dtype=np.int8) > 0
-        cut = inside.copy()
-        cut[1:] &= (least[1:] != least[:-1]) | ~inside[:-1]
-        cut[off[:-1][long]] = True
-        self.lo = np.flatnonzero(cut)
-        self.name = least[self.lo]
-        self.doc = np.searchsorted(off, self.lo, side="right") - 1
-        self.hi = np.minimum(np.append(self.lo[1:] - 1, n), off[self.doc + 1] - length)
-
-    def content(self, prefix: np.ndarray, two: ByteHash, length: int) -> np.ndarray:
-        """Hash of the bytes of each piece."""
-        return two.ranges(prefix, self.lo, self.hi + length)
-
-
-def _occurrence(piece: np.ndarray, ords: np.ndarray) -> np.ndarray:
-    """Hash of a piece in a document."""
-    return mix(piece ^ mix(np.ascontiguousarray(ords).view(np.uint64)))
+_REQUEST = "bucket int, block int, n int, names binary, more binary"
+_REPLY = "kind int, block int, bucket int, bits binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Ascending integers as compressed differences, byte plane by byte plane."""
-    steps = np.diff(values, prepend=0).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    """Ascending integers as differences, byte plane by byte plane, without planes of zeros."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    wide = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([wide]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1)).astype(np.int64)
-
-
-def _contested_names(texts: DataFrame, length: int, gram: int) -> np.ndarray:
-    """A filter of the names that occur in two documents or more.
-
-    Each task sorts its names and sends, per range of names, those that it saw in one
-    document and those that it saw in several; each range is merged by one task.  The ranges
-    grow in number with the partitions of the input.
-    """
-    buckets = max(64, 1 << (4 * texts.rdd.getNumPartitions()).bit_length())
-    width = NAME_BITS - (buckets.bit_length() - 1)
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, parts = ByteHash(11), []
-        for b in batches:
-            for _, _, data, off in runs(b.column(2), RUN):
-                p = Pieces(data, off, length, gram, one)
-                order = np.lexsort((p.name, p.doc))
-                name, doc = p.name[order], p.doc[order]
-                new = np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]) if len(name) else np.zeros(0, bool)
-                parts.append((name[new] >> np.uint64(64 - NAME_BITS)).astype(np.int64))
-        names, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
-        out: list[list] = [[], [], []]
-        for several in (False, True):
-            some = names[(n > 1) == several]
-            edges = np.searchsorted(some, np.arange(buckets + 1) << width)
-            for k in np.flatnonzero(np.diff(edges)).tolist():
-                out[0].append(k)
-                out[1].append(several)
-                out[2].append(_packed(some[edges[k] : edges[k + 1]]))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary())], ["bucket", "several", "names"])
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        once = [_unpacked(x) for x in group.loc[~group["several"], "names"]]
-        many = [_unpacked(x) for x in group.loc[group["several"], "names"]]
-        names, n = np.unique(np.concatenate([*once, *(np.unique(x) for x in many), *many]), return_counts=True)
-        places = np.unique(names[n > 1] >> (NAME_BITS - _FILTER_WIDTH))
-        return pd.DataFrame({"places": [_packed(places)]})
-
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in texts.mapInArrow(sort, "bucket int, several boolean, names binary").groupBy("bucket").applyInPandas(merge, "places binary").collect():
-        p = _unpacked(bytes(r["places"]))
-        np.bitwise_or.at(bits, p >> 3, np.uint8(1) << (p & 7).astype(np.uint8))
-    return bits
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """ord (the id, a null one above all), h (hash of the text), t; rows with equal ord and h have equal texts."""
-    t = text_or_empty(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(t).alias("h"), t.alias("t"))
-
-
-def _copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct (ord, h) of texts that a document with a smaller id has too."""
-    rows = _keyed(docs, id_col, text_col).select("ord", "h", F.unhex(F.sha2("t", 256)).alias("digest"))
-    first = written(rows.groupBy("digest").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last"), "repeated-texts")
-    return written(rows.join(first, "digest").where("ord > first").select("ord", "h").distinct(), "copies")
-
-
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(copies, spans): keys of whole copies, and per (ord, h) the sorted maximal byte ranges that repeat."""
-    copies = _copies(docs, id_col, text_col)
-    few = copies.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
-    texts = _keyed(docs, id_col, text_col).join(F.broadcast(copies) if few else copies, ["ord", "h"], "left_anti")
-    context = docs.sparkSession.sparkContext
-
-    shared = context.broadcast(_contested_names(texts, length, gram))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = ByteHash(11), ByteHash(12)
-        for b in batches:
-            ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, _, data, off in runs(b.column(2), RUN):
-                p = Pieces(data, off, length, gram, one)
-                some = in_filter(shared.value, p.name >> np.uint64(64 - _FILTER_WIDTH))
-                z = p.content(two.prefix(data), two, length)[some]
-                lo, hi, doc = p.lo[some], p.hi[some], p.doc[some]
-                columns = [signed(p.name[some]), signed(z), ids[i + doc], hashes[i + doc], (lo - off[doc]).astype(np.int32), (hi - lo + length).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "piece", "ord", "h", "start", "size"])
-
-    distinct = texts.mapInArrow(pieces, _PIECE).groupBy("name", "piece").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
-    distinct = written(distinct.select("name", "piece", "first", (F.col("first") < F.col("last")).alias("several")), "pieces")
-    whole = distinct.where("several").select("name", "piece", "first")
-    again = context.broadcast(bit_filter(whole, "piece", FILTER_BITS))
-
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches):
-            yield b.filter(pa.array(in_filter(again.value, b.column(1).to_numpy())))
-
-    rows = texts.mapInArrow(repeated, _PIECE).join(whole, ["name", "piece"]).where("ord > first")
-    whole = written(rows.select("ord", "h", "start", (F.col("start") + F.col("size")).alias("end")), "repeated-pieces")
-
-    torn = distinct.groupBy("name").agg(F.count("*").alias("n"), F.min("first").alias("a"), F.max("first").alias("b")).where("n > 1 and a < b")
-    kept = distinct.join(torn.select("name"), "name").select("piece", "first")
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = _occurrence(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key))], ["key"])
-
-    apart = context.broadcast(bit_filter(kept.mapInArrow(keys, "key long"), "key", FILTER_BITS))
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = ByteHash(11), ByteHash(12)
-        for b in batches:
-            ids, hashes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, _, data, off in runs(b.column(2), RUN):
-                p = Pieces(data, off, length, gram, one)
-                prefix = two.prefix(data)
-                some = in_filter(apart.value, _occurrence(p.content(prefix, two, length), ids[i + p.doc]))
-                count = (p.hi - p.lo + 1)[some]
-                owner = np.repeat(np.flatnonzero(some), count)
-                s = p.lo[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-                win, doc = two.ranges(prefix, s, s + length), p.doc[owner]
-                columns = [signed(p.name[owner]), signed(win), ids[i + doc], hashes[i + doc], (s - off[doc]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["name", "window", "ord", "h", "start"])
-
-    seen = texts.mapInArrow(parts, _PART).groupBy("window").agg(F.count("*").alias("n")).where("n > 1")
-    twice = context.broadcast(bit_filter(seen, "window", FILTER_BITS))
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in parts(batches):
-            yield b.filter(pa.array(in_filter(twice.value, b.column(1).to_numpy())))
-
-    cut = written(texts.mapInArrow(candidates, _PART), "windows")
-    first = cut.groupBy("name", "window").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").drop("last")
-    single = cut.join(written(first, "repeated-windows"), ["name", "window"]).where("ord > first").select("ord", "h", "start", (F.col("start") + length).alias("end"))
-
-    own = Window.partitionBy("ord", "h").orderBy("start", "end")
-    ranges = whole.unionByName(single)
-    ranges = ranges.withColumn("reached", F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1)))
-    ranges = ranges.withColumn("n", F.sum(F.when(F.col("reached").isNull() | (F.col("start") > F.col("reached")), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    ranges = ranges.groupBy("ord", "h", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = ranges.groupBy("ord", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return copies, written(spans, "spans")
-
-
-def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : data[0]] = planes.T
+    return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
+
+
+class Sort:
+    """How the names of ``bits`` bits are cut into buckets and the buckets into rounds."""
+
+    def __init__(self, kind: int, bits: int, rows: float, rounds: int):
+        self.kind, self.rounds = kind, rounds
+        self.log = max(rounds - 1, math.ceil(rows / SORT_ROWS)).bit_length()
+        self.shift = np.uint64(bits - self.log)
+
+    def edges(self, names: np.ndarray) -> np.ndarray:
+        """Where each bucket begins in ascending names."""
+        return np.searchsorted(names, np.arange(1 << self.log, dtype=np.uint64) << self.shift).tolist() + [len(names)]
+
+    def buckets(self, turn: int) -> range:
+        return range((turn << self.log) // self.rounds, (turn + 1 << self.log) // self.rounds)
+
+    def span(self, turn: int) -> tuple[int, int]:
+        """First and last name of a round."""
+        own = self.buckets(turn)
+        return own.start << int(self.shift), (own.stop << int(self.shift)) - 1
+
+
+class Block:
+    """The texts of a block in the order of their ids; rows of equal ids have equal ranks."""
+
+    def __init__(self, rows: pa.Table, length: int, period: int):
+        ids = rows["id"].combine_chunks()
+        order = pc.sort_indices(ids, null_placement="at_end")
+        self.rows = rows.take(order)
+        self.rank = pc.rank(ids.take(order), null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64) - 1
+        self.length, self.period, self.gram = length, period, length - period + 1
+        self.hasher = ByteHash(11)
+
+    def texts(self):
+        """Runs of texts: (first row, end row, bytes, offsets)."""
+        return runs(self.rows["t"])
+
+    def sampled(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled places that a whole gram follows in their text, and the text of each."""
+        cover = np.zeros(self.period, bool)
+        cover[list(COVERS[self.period])] = True
+        size = np.diff(off)
+        of = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(data)) - off[of]
+        at = np.flatnonzero(cover[place % self.period] & (place + self.gram <= size[of]))
+        return at, of[at]
+
+    def names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct names, ascending, and whether texts of two ids or more have them."""
+        keys = [np.zeros(0, np.uint64)]
+        for i, _, data, off in self.texts():
+            at, of = self.sampled(data, off)
+            one, _ = self.hasher.at(data, at, self.gram)
+            # a name and a rank side by side in one number: the ranks of a block are far below 2 ** 24
+            keys.append(np.unique((one >> np.uint64(64 - NAME_BITS)) << np.uint64(64 - NAME_BITS) | self.rank[i + of].astype(np.uint64)))
+        key = np.unique(np.concatenate(keys))
+        name, n = np.unique(key >> np.uint64(64 - NAME_BITS), return_counts=True)
+        return name, n > 1
+
+    def windows(self, shared: np.ndarray, low: int = 0, high: int = 2**64 - 1):
+        """For each run (first row, offsets, window starts, two hashes, text of each window) within reach of a shared name.
+
+        ``shared``: ascending names; only windows with a first hash from ``low`` to ``high``.
+        """
+        for i, _, data, off in self.texts():
+            at, of = self.sampled(data, off)
+            one, _ = self.hasher.at(data, at, self.gram)
+            some = _among(one >> np.uint64(64 - NAME_BITS), shared)
+            at, of = at[some], of[some]
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, np.maximum(at - self.period + 1, off[of]), 1)
+            np.add.at(step, at + 1, -1)
+            reach = np.cumsum(step[:-1]) > 0
+            start = np.flatnonzero(reach)
+            doc = np.searchsorted(off, start, side="right") - 1
+            whole = start + self.length <= off[doc + 1]
+            start, doc = start[whole], doc[whole]
+            one, two = self.hasher.at(data, start, self.length)
+            if low or high < 2**64 - 1:
+                turn = (one >= np.uint64(low)) & (one <= np.uint64(high))
+                start, doc, one, two = start[turn], doc[turn], one[turn], two[turn]
+            yield i, off, start, one, two >> np.uint64(32), doc
+
+
+def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)
+    return ascending[at] == values
+
+
+def _replied(replies: pa.Table, sort: Sort, edges: list[int]) -> np.ndarray:
+    """The bits that came back for the ascending names of a block."""
+    out = np.zeros(edges[-1], bool)
+    mine = replies.filter(pc.equal(replies["kind"], sort.kind))
+    for bucket, bits in zip(mine["bucket"].to_pylist(), mine["bits"], strict=True):
+        a, b = edges[bucket], edges[bucket + 1]
+        out[a:b] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a).astype(bool)
+    return out
+
+
+def _table(schema: list[tuple[str, pa.DataType]], columns: list[list]) -> pa.Table:
+    return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(schema, columns, strict=True)})
+
+
+_REQUEST_TYPES = [("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("more", pa.binary())]
+_REPLY_TYPES = [("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())]
+
+
+def _requests(block: int, names: np.ndarray, more: np.ndarray | None, flags: np.ndarray | None, sort: Sort, turn: int) -> pa.Table:
+    out: list[list] = [[], [], [], [], []]
+    edges = sort.edges(names)
+    for k in sort.buckets(turn):
+        a, b = edges[k], edges[k + 1]
+        if a < b:
+            extra = np.packbits(flags[a:b]).tobytes() if more is None else more[a:b].astype("<u4").tobytes()
+            for column, value in zip(out, (k, block, b - a, _packed(names[a:b]), extra), strict=True):
+                column.append(value)
+    return _table(_REQUEST_TYPES, out)
+
+
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in ascending order without repeats, the order of the input, and which of it begin a pair."""
+    order = np.argsort(one, kind="stable")
+    a, b = one[order], two[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((two, one))
+        a, b = one[order], two[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new], order, new
+
+
+def _shared_names(group: pa.Table) -> pa.Table:
+    """One bit per requested name: whether texts of two ids have it."""
+    parts = [_unpacked(x.as_py()) for x in group["names"]]
+    several = [p[np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool)] for p, x in zip(parts, group["more"], strict=True)]
+    names, n = np.unique(np.concatenate(parts), return_counts=True)
+    shared = np.union1d(names[n > 1], np.unique(np.concatenate(several)))
+    bits = [np.packbits(_among(p, shared)).tobytes() for p in parts]
+    return _table(_REPLY_TYPES, [[0] * len(bits), group["block"].to_pylist(), group["bucket"].to_pylist(), bits])
+
+
+def _earlier_windows(group: pa.Table) -> pa.Table:
+    """One bit per requested window: whether a block before has it.  Neighbours in sorted order are compared."""
+    group = group.sort_by("block")  # blocks are in the order of ids, and the sort below is stable
+    parts = [_unpacked(x.as_py()) for x in group["names"]]
+    one, two = np.concatenate(parts), np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in group["more"]])
+    _, _, order, new = _distinct(one, two.astype(np.uint64))
+    hit = np.empty(len(one), bool)
+    hit[order] = ~new
+    ends = np.cumsum([len(p) for p in parts])
+    bits = [np.packbits(x).tobytes() for x in np.split(hit, ends[:-1])]
+    return _table(_REPLY_TYPES, [[1] * len(bits), group["block"].to_pylist(), group["bucket"].to_pylist(), bits])
+
+
+def _runs_of(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def repeated(texts: DataFrame, n_blocks: int, n_bytes: int, scratch: Scratch, *, length: int, period: int) -> DataFrame:
+    """``id``, ``n_bytes``, ``spans`` and ``kept`` of every row of ``texts`` (block, id, t): a table bucketed by block, blocks in the order of ids."""
+    spark = texts.sparkSession
+    density = len(COVERS[period]) / period
+    by_name, by_window = Sort(0, NAME_BITS, n_bytes * density, NAME_ROUNDS), Sort(1, 64, n_bytes, WINDOW_ROUNDS)
+    blocks = texts.groupBy("block")
+    replies = spark.createDataFrame([], _REPLY)
+
+    def settled(requests: DataFrame, answer, label: str) -> DataFrame:
+        out = scratch.written(requests.groupBy("bucket").applyInArrow(answer, _REPLY), label)
+        release_shuffles(spark)
+        return out
+
+    def asking_names(turn: int):
+        def ask(key: tuple, rows: pa.Table) -> pa.Table:
+            names, several = Block(rows, length, period).names()
+            return _requests(key[0].as_py(), names, None, several, by_name, turn)
+
+        return ask
+
+    def shared_by(block: Block, answered: pa.Table) -> np.ndarray:
+        names, _ = block.names()
+        return names[_replied(answered, by_name, by_name.edges(names))]
+
+    def asking_windows(turn: int):
+        def ask(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
+            block = Block(rows, length, period)
+            found = [(one, two) for _, _, _, one, two, _ in block.windows(shared_by(block, answered), *by_window.span(turn))]
+            none = np.zeros(0, np.uint64)
+            one, two, _, _ = _distinct(np.concatenate([none, *(x[0] for x in found)]), np.concatenate([none, *(x[1] for x in found)]))
+            return _requests(key[0].as_py(), one, two, None, by_window, turn)
+
+        return ask
+
+    for turn in range(NAME_ROUNDS):
+        replies = replies.unionByName(settled(blocks.applyInArrow(asking_names(turn), _REQUEST), _shared_names, f"names-{turn}"))
+    named = replies
+    for turn in range(WINDOW_ROUNDS):
+        asked = blocks.cogroup(named.groupBy("block")).applyInArrow(asking_windows(turn), _REQUEST)
+        replies = replies.unionByName(settled(asked, _earlier_windows, f"windows-{turn}"))
+
+    def decide(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
+        block = Block(rows, length, period)
+        none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        found = [none]
+        for i, off, start, one, two, doc in block.windows(shared_by(block, answered)):
+            found.append([one, two, i + doc, start - off[doc]])
+        one, two, doc, start = (np.concatenate([x[k] for x in found]) for k in range(4))
+        names, _, order, new = _distinct(one, two)
+        hit = _replied(answered, by_window, by_window.edges(names))
+        # neighbours of equal names: the texts after the first id are repeats even where no earlier block has the window
+        group = np.cumsum(new) - 1
+        rank = block.rank[doc[order]]
+        first = np.minimum.reduceat(rank, np.flatnonzero(new)) if len(names) else rank
+        again = np.zeros(len(one), bool)
+        again[order] = (hit[group] | (rank > first[group])) if len(names) else False
+        doc, start = doc[again], start[again]
+        by_doc = np.argsort(doc, kind="stable")
+        doc, start = doc[by_doc], start[by_doc]
+        edges = np.searchsorted(doc, np.arange(len(block.rows) + 1))
+        sizes, spans, kept = [], [], []
+        for k, text in enumerate(block.rows["t"]):
+            data = np.frombuffer(text.as_buffer(), np.uint8)
+            sizes.append(len(data))
+            at = start[edges[k] : edges[k + 1]]
+            if not len(at):
+                spans.append([])
+                kept.append(data.tobytes())
+                continue
+            step = np.zeros(len(data) + 1, np.int32)
+            np.add.at(step, at, 1)
+            np.add.at(step, at + length, -1)
+            gone = np.cumsum(step[:-1]) > 0
+            spans.append([{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in _runs_of(gone)), strict=True)])
+            kept.append(data[~gone].tobytes())
+        pairs = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        return pa.table({"id": block.rows["id"], "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(spans, pairs), "kept": pa.array(kept, pa.binary())})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return blocks.cogroup(replies.groupBy("block")).applyInArrow(decide, f"id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+
+
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, period: int = PERIOD) -> DataFrame:
     """One row per row of ``docs``: id, ``n_bytes``, ``n_removed``, ``spans`` (array of start and
     end bytes, end exclusive, of the maximal removed ranges) and ``kept`` (the bytes left).
 
     A byte goes when a ``length``-byte string over it also starts in a document with a
     smaller id; strings are judged on the input and never cross documents.  Null text counts
-    as empty.  A null id is above all others, and rows that share an id, repeated rows among
-    them, never remove each other's bytes.  Texts shorter than ``length`` stay whole.  An empty
-    table gives an empty result.  Other columns are not read.
+    as empty.  Ids are of any type that Spark can sort; a null id is above all others, and rows
+    that share an id, repeated rows among them, never remove each other's bytes.  Texts
+    shorter than ``length`` stay whole.  An empty table gives an empty result.  Other columns
+    are not read.  ``period``: one of ``COVERS``; ``length`` is ``period + 7`` at least.
+
+    The result reads the blocks and replies in the shared folder, so these stay there.
     """
-    copies, spans = repeated_spans(docs, id_col=id_col, text_col=text_col, length=length, gram=gram)
-    marked = copies.select("ord", "h", F.lit(True).alias("copy")).join(spans, ["ord", "h"], "full_outer")
-    marked = written(marked.withColumn("key", F.xxhash64("ord", "h")), "marked")
-    known = docs.sparkSession.sparkContext.broadcast(bit_filter(marked, "key", DOCUMENT_BITS))
-    kind = docs.schema[id_col].dataType.simpleString()
+    if period not in COVERS or length < period + 7:
+        raise ValueError(f"no cover of period {period} for strings of {length} bytes")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffix-dedup")
     t = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(t).alias("h"), t.alias("t"))
-    rows = rows.withColumn("key", F.xxhash64("ord", "h"))
-
-    def touched(want: bool):
-        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(in_filter(known.value, b.column(4).to_numpy()) == want))
-
-        return rows.mapInArrow(some, f"id {kind}, ord long, h long, t string, key long")
-
-    clean = touched(False).select("id", F.octet_length("t").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.col("t").cast("binary").alias("kept"))
-    joined = touched(True).join(marked.drop("key"), ["ord", "h"], "left")
-    n = F.octet_length("t")
-    whole = F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))
-    found = F.when(F.col("copy") & (n >= length), whole).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
-    joined = joined.select("id", F.col("t").cast("binary").alias("b"), n.cast("long").alias("n_bytes"), found.alias("spans"))
+    rows = docs.select(F.col(id_col).alias("id"), t.alias("t"), F.unhex(F.sha2(t, 256)).alias("digest"))
+    sizes = rows.select("id", "digest", F.octet_length("t").cast("long").alias("size"))
+    digests = sizes.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.count("id").alias("named"), F.max("size").alias("size"))
+    digests = scratch.written(digests, "digests")
+    copied = digests.where("first < last or (named > 0 and named < n)").select(F.col("digest").alias("copied"), "first")
+    small = copied.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    marked = rows.join(F.broadcast(copied) if small else copied, F.col("digest") == F.col("copied"), "left")
+    copy = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
+    total = digests.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+
+    n_blocks = max(shuffle_partitions(spark), -(-total // BLOCK_BYTES))
+    ordered = marked.where(~copy).select("id", "t").repartitionByRange(n_blocks, F.col("id").asc_nulls_last())
+    texts = scratch.bucketed(ordered.select(F.spark_partition_id().alias("block"), "id", "t"), "texts", "block", n_blocks)
+    release_shuffles(spark)
+
+    found = repeated(texts, n_blocks, total, scratch, length=length, period=period)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
-    # what is left lies between the end of one removed range and the start of the next
-    ends = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["end"]))
-    starts = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.col("n_bytes").cast("int")))
-    pieces = F.zip_with(ends, starts, lambda a, b: F.substring(F.col("b"), a + 1, b - a))
-    kept = F.aggregate(pieces, F.lit(b""), lambda a, x: F.concat(a, x))
-    joined = joined.select("id", "n_bytes", removed.alias("n_removed"), "spans", kept.alias("kept"))
-    return clean.unionByName(joined).withColumnRenamed("id", id_col)
+    found = found.select("id", "n_bytes", removed.alias("n_removed"), "spans", "kept")
+    n = F.octet_length("t")
+    long = n >= length
+    whole = F.when(long, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    copies = marked.where(copy).select("id", n.cast("long").alias("n_bytes"), F.when(long, n).otherwise(0).cast("long").alias("n_removed"), whole.alias("spans"), F.when(long, F.lit(b"")).otherwise(F.col("t").cast("binary")).alias("kept"))
+    return found.unionByName(copies).withColumnRenamed("id", id_col)
 
 
 DEDUP_SQL = """

@@ -218,7 +218,7 @@ def test_winnowing_guarantee():
     hashes = []
     for _ in range(50):
         t = " ".join([*(str(rng.random()) for _ in range(rng.randint(0, 9))), *span, *(str(rng.random()) for _ in range(5))])
-        for _, _, _, _, _, found in decontaminate._grams(pa.array([t]), 13, 5, [13], ByteHash(5)):
+        for *_, found, _ in decontaminate._grams(pa.array([t]), 13, 5, [13], ByteHash(5)):
             hashes += [set(found[0][3].tolist())]
     assert set.intersection(*hashes)
 
@@ -509,3 +509,64 @@ def test_suffix_dedup_of_near_copies_and_short_periods(spark):
             if first[t[k : k + 50]] < i:
                 gone[k : k + 50] = [True] * 50
         assert got[i] == "".join(c for c, g in zip(t, gone, strict=True) if not g)
+
+
+def thue_morse(n, a, b):
+    """Two texts of ``n`` characters that sums of powers modulo 2 ** 64 cannot tell apart."""
+    x = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join((a, b)[k] for k in x), "".join((b, a)[k] for k in x)
+
+
+def test_alike_but_unequal_strings_stay_apart(spark, labels_of_none):
+    x, y = thue_morse(1024, "a", "b")
+    docs = spark.createDataFrame([(1, f"{x}\n{y}"), (2, f"{x} {x} {x} {y} {y} {y}"), (3, f"{x}\n{x}")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.judged(docs, labels_of_none).collect()}
+    assert [got[k]["n_dup_lines"] for k in (1, 2, 3)] == [0, 0, 1]
+    assert got[2]["n_repeat_words"] == 0
+    u, v = thue_morse(512, "a", "b")
+    bench = spark.createDataFrame([("i", u)], "item_id string, text string")
+    hits = decontaminate.contamination(spark.createDataFrame([(1, u), (2, v)], "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"]: r["n_hit"] for r in hits} == {1: 1, 2: 0}
+    kept = suffix_dedup.deduplicated(spark.createDataFrame([(1, x[:64]), (2, y[:64]), (3, x[:64] + y[:64])], "doc_id long, text string")).collect()
+    want = brute_removed([(1, x[:64]), (2, y[:64]), (3, x[:64] + y[:64])])
+    assert {r["doc_id"]: r["n_removed"] for r in kept} == want
+
+
+def brute_removed(rows):
+    first, gone = {}, {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k : k + 50], i)
+    for i, t in rows:
+        b = t.encode()
+        gone[i] = len({p for k in range(len(b) - 49) if first[b[k : k + 50]] < i for p in range(k, k + 50)})
+    return gone
+
+
+@pytest.fixture(scope="module")
+def labels_of_none(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("period", sorted(suffix_dedup.COVERS))
+def test_cover_has_every_difference(period):
+    cover = suffix_dedup.COVERS[period]
+    assert {(a - b) % period for a in cover for b in cover} == set(range(period))
+
+
+@pytest.mark.parametrize("period", [7, 13, 21, 31])
+def test_suffix_dedup_by_any_cover_id_type_and_block(spark, period, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(suffix_dedup, "SORT_ROWS", 300)
+    rng = random.Random(period)
+    base = text(rng, 300)
+    rows = []
+    for i in range(60):
+        a = rng.randint(0, 1500)
+        rows.append((i, base[a : a + rng.randint(20, 300)] + rng.choice(["", "!", " und so"]) + base[300 : 300 + rng.randint(0, 90)]))
+    docs = spark.createDataFrame([(f"{i:03d}", t, 1) for i, t in rows], "key string, body string, spans int")
+    got = suffix_dedup.deduplicated(docs, id_col="key", text_col="body", period=period).collect()
+    assert {int(r["key"]): r["n_removed"] for r in got} == brute_removed(rows)
+    with pytest.raises(ValueError):
+        suffix_dedup.deduplicated(docs, length=20)
