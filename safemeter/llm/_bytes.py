@@ -86,8 +86,8 @@ class ByteHash:
         return one, mix(two)
 
 
-def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of runs of whole texts; null counts as empty."""
+def runs(texts: pa.Array, limit: int = RUN_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of runs of whole texts, ``rows`` of them at most; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -100,7 +100,7 @@ def runs(texts: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
 

@@ -1,6 +1,7 @@
 """Language identification by nearest centroid.
 
-A text is a vector of hashed byte n-grams, weighted by TF-IDF and scaled to length 1.  Each
+A text, with a blank before and after it, is a vector of hashed byte n-grams, weighted by
+TF-IDF and scaled to length 1.  Each
 language has several centroids, clustered by spherical k-means, and a text gets the language
 of the centroid nearest by cosine.  A text farther from it than any of the texts of that
 centroid, but for a small share, is marked as rejected.
@@ -30,6 +31,8 @@ ITERATIONS = 12
 #: Share of a centroid's own sample that lies beyond its rejection distance.
 REJECTED_SHARE = 0.002
 UNDETERMINED = "und"
+#: Texts made into vectors together, and languages a model may have: both bound memory.
+ROWS, MOST_LANGUAGES = 256, 500
 
 _CLEAN = np.full(256, 0x20, np.uint8)
 _CLEAN[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -47,10 +50,12 @@ def cleaned(data: np.ndarray) -> np.ndarray:
 
 def vectors(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """(first row, end row, n-gram counts as rows of ``DIMENSIONS``) of runs of texts."""
-    for i, j, data, off in runs(texts):
-        low = cleaned(data)
+    for i, j, data, off in runs(texts, rows=ROWS):
+        size = np.diff(off)
+        low = np.full(len(data) + 2 * (j - i), 0x20, np.uint8)
+        low[np.arange(len(data)) + 2 * np.repeat(np.arange(j - i), size) + 1] = cleaned(data)
         total = np.zeros((j - i) * DIMENSIONS, np.int64)
-        of = np.repeat(np.arange(j - i), np.diff(off))
+        of = np.repeat(np.arange(j - i), size + 2)
         for n in NGRAMS:
             size = len(low) - n + 1
             if size <= 0:
@@ -101,7 +106,8 @@ def inverse_frequency(texts: DataFrame) -> np.ndarray:
 
 def clustered(x: np.ndarray, k: int, rounds: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means of the rows of ``x``, in an order of their own: centroids and their rejection cosines."""
-    x = x[np.lexsort(x[:, :64].T)]
+    raw = [r.tobytes() for r in np.ascontiguousarray(x)]
+    x = x[sorted(range(len(raw)), key=raw.__getitem__)]  # float sums then do not hang on the order of arrival
     centre = [x.mean(axis=0)]
     near = x @ centre[0]
     chosen = [int(np.argmax(near))]
@@ -138,7 +144,7 @@ class Model:
             score[i:j] = np.clip(cosine[np.arange(j - i), best], 0, 1)
             far[i:j] = score[i:j] < self.least[best]
             for k in range(i, j):
-                if x[k - i].any() and has_letter(texts[k].as_py()):
+                if has_letter(texts[k].as_py()):
                     label[k] = self.languages[best[k - i]]
         none = np.array([v == UNDETERMINED for v in label])
         score[none], far[none] = 0, True
@@ -148,17 +154,19 @@ class Model:
 def trained(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """A model from the rows of ``docs`` that are not held out and have a language.
 
-    The number of languages bounds what comes to the driver: ``centroids`` vectors each.
-    Null and letterless texts teach nothing.  Without labelled rows the model has no
-    language and predicts ``und``.
+    What comes to the driver is ``centroids`` vectors for each of at most ``MOST_LANGUAGES``
+    languages; a column with more values is an error.  Null texts teach nothing, texts without
+    n-grams no centroid.  Repeated rows count as often as they occur; rows with a null id
+    are trained on.  Rows of one language, whatever their order, give the same centroids.
+    Without labelled rows the model has no language and predicts ``und``.
     """
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
     idf = inverse_frequency(known.select("t"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    share = F.lit(1.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    if sizes.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
     pick = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 30)) < share * (1 << 30)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +181,7 @@ def trained(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
         c, least = clustered(x, centroids)
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": [r.tobytes() for r in c], "least": least})
 
-    embedded = known.where(pick).select("t", "lang").mapInArrow(embed, "lang string, vector binary")
+    embedded = known.join(F.broadcast(sizes), "lang").where(pick).select("t", "lang").mapInArrow(embed, "lang string, vector binary")
     found = embedded.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, least double").toPandas()
     found = found.sort_values(["lang", "centroid"], ignore_index=True)
     c = np.frombuffer(b"".join(found["centroid"]), np.float64).reshape(len(found), DIMENSIONS)
@@ -184,7 +192,7 @@ def identified(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id, ``language``, ``score`` (cosine to the nearest centroid, 0 to 1) and ``rejected``.
 
     The language is that of the nearest centroid even where it is rejected for its distance;
-    null and letterless texts are ``und`` with score 0 and rejected.  Ties go to the language
+    null and letterless texts, and no others, are ``und`` with score 0 and rejected.  Ties go to the language
     that sorts first.  Repeated rows give repeated rows; empty tables an empty result.  Other
     columns are not read.
     """
