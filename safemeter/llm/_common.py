@@ -36,9 +36,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -107,6 +109,24 @@ def by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == F.col(flag), how)
 
 
+#: A key that more than one row in so many has is hot: there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def skew_join(rows: DataFrame, values: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row per ``key``, not null), by an inner join.
+
+    ``counts``: a written table with a row per ``key`` of ``rows`` and the number ``n`` of its
+    rows.  Hot keys are fewer than ``HOT_SHARE``, so their values are broadcast; the others are
+    joined by a shuffle, in which no key stands out.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT_SHARE > total).where("n > 1").select(key)
+    few = F.broadcast(values.join(F.broadcast(hot), key, "left_semi"))
+    others = rows.join(F.broadcast(hot), key, "left_anti").join(values.hint("shuffle_merge"), key)
+    return rows.join(few, key).unionByName(others)
+
+
 #: Bits of a row of ``bit_filter``: what Spark's bitmap aggregate holds.
 _BITMAP = 1 << 15
 

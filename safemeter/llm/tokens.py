@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from importlib.metadata import version
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty
+from ._common import Scratch, bit_filter, in_filter, skew_join, text_or_empty
 
 LIBRARY = {".json": "tokenizers", ".tiktoken": "tiktoken", ".model": "sentencepiece"}
-#: Distinct pieces that a task remembers the counts of, before it starts anew.
-MEMO = 300_000
+#: Bytes of pieces whose counts a task remembers before it starts anew, and characters of the longest such piece.
+MEMO_BYTES, MEMO_PIECE = 32 << 20, 64
+#: What a remembered piece takes beside its own bytes.
+_ENTRY_BYTES = 150
+#: Bits of the filter that tells texts encoded in place from those that are joined first.
+FILTER_BITS = 1 << 24
 #: Before white space that follows a visible character below U+1680 every byte-level
 #: pattern ends a token, so the pieces between such places can be counted apart.
 _CUT = "(?<=[!-~\xa1-ᙿ])(?=[ \t-\r])"
@@ -36,6 +41,18 @@ def tokenizer_digest(path: str) -> str:
     return hashlib.sha256(f"{library} {version(library)}\n".encode() + Path(path).read_bytes()).hexdigest()
 
 
+def ends_before_white_space(facts: dict) -> bool:
+    """Whether the tokenizer ends a token before white space that follows a visible character, whatever surrounds it.
+
+    So it is for byte-level pre-tokenizing by the usual pattern without a normalizer, unless
+    an added token holds white space or takes in its neighbours.
+    """
+    split = facts.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    reach = any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or re.search(r"\s", x["content"]) for x in facts.get("added_tokens") or ())
+    return plain and not facts.get("normalizer") and not reach
+
+
 def counter(suffix: str, vocabulary: bytes, pattern: str | None = None) -> Callable[[list[str]], list[int]]:
     """A function from texts to token counts; no added tokens, whole texts."""
     if suffix == ".json":
@@ -45,19 +62,22 @@ def counter(suffix: str, vocabulary: bytes, pattern: str | None = None) -> Calla
         tok.no_truncation()
         tok.no_padding()
         encode = lambda texts: list(map(len, tok.encode_batch_fast(texts, add_special_tokens=False)))
-        head = vocabulary[:8192]
-        if b'"normalizer":null' not in head.replace(b" ", b"").replace(b"\n", b"") or b"ByteLevel" not in head:
+        if not ends_before_white_space(json.loads(vocabulary)):
             return encode
-        cut, memo = re.compile(_CUT), {}
+        cut, memo, held = re.compile(_CUT), {}, 0
 
         def by_piece(texts: list[str]) -> list[int]:
+            nonlocal held
             parts = [cut.split(t) for t in texts]
-            if len(memo) > MEMO:
+            if held > MEMO_BYTES:
                 memo.clear()
-            new = list({p for ps in parts for p in ps if p not in memo})
-            for k in range(0, len(new), 20_000):
-                memo.update(zip(new[k : k + 20_000], encode(new[k : k + 20_000]), strict=True))
-            return [sum(map(memo.__getitem__, ps)) for ps in parts]
+                held = 0
+            new = list({p for ps in parts for p in ps if len(p) <= MEMO_PIECE and p not in memo})
+            memo.update(zip(new, encode(new), strict=True))
+            held += sum(map(len, new)) + _ENTRY_BYTES * len(new)
+            long = [p for ps in parts for p in ps if len(p) > MEMO_PIECE]
+            rest = iter(encode(long) if long else ())
+            return [sum(memo[p] if len(p) <= MEMO_PIECE else next(rest) for p in ps) for ps in parts]
 
         return by_piece
     if suffix == ".tiktoken":
@@ -75,11 +95,13 @@ def counter(suffix: str, vocabulary: bytes, pattern: str | None = None) -> Calla
 def encoded(texts: DataFrame, path: str, *, text_col: str = "text", pattern: str | None = None) -> DataFrame:
     """``texts`` without ``text_col``, with ``n_tokens`` of it; the vocabulary travels with the job.
 
-    Null text counts as empty.
+    Null text counts as empty.  An ``n_tokens`` column that was there is replaced.  Repeated rows
+    are encoded each; an empty table gives an empty result.
     """
     vocabulary = texts.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
     suffix = Path(path).suffix
-    others = [c for c in texts.columns if c != text_col]
+    others = [c for c in texts.columns if c != text_col and c.lower() != "n_tokens"]
+    kept = [texts.columns.index(c) for c in others]
     place = texts.columns.index(text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +116,7 @@ def encoded(texts: DataFrame, path: str, *, text_col: str = "text", pattern: str
                 column, n = b.column(place), []
                 for k in range(0, b.num_rows, 256):
                     n += of([x or "" for x in column.slice(k, 256).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != place), pa.array(n, pa.int64())], [*others, "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(n, pa.int64())], [*others, "n_tokens"])
         finally:
             gc.enable()
 
@@ -116,26 +138,46 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *, id_col: str = "d
 
     ``normalised``: the content that is counted, an expression over ``docs`` that must not
     change the count (the text itself, null as empty, by default).  Repeated rows and equal
-    texts are encoded once.  Missing counts are appended to ``cache_dir`` by one writer at a
-    time; should two have written the same content, the reader takes one of the equal counts.
-    Empty tables give an empty result.  Other columns are not read.
+    texts are encoded once, and so is nothing that ``cache_dir`` holds.  Missing counts are
+    appended to it by one writer at a time; should two have written the same content, the
+    reader takes one of the equal counts.  Null ids are ids like others.  Empty tables give an
+    empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "token-counts")
     tokenizer = tokenizer_digest(path)
     content = text_or_empty(text_col) if normalised is None else normalised
     keyed = docs.select(F.col(id_col), content.alias("t")).select(id_col, F.octet_length("t").cast("long").alias("n_bytes"), F.unhex(F.sha2("t", 256)).alias("content"))
     known = stored(spark, cache_dir, tokenizer)
-    texts = docs.select(content.alias("t")).select(F.unhex(F.sha2("t", 256)).alias("content"), "t").dropDuplicates(["content"])
-    if known is None or not keyed.select("content").distinct().join(known, "content", "left_anti").isEmpty():
-        missing = texts if known is None else texts.join(known.select("content").distinct(), "content", "left_anti")
-        encoded(missing, path, text_col="t", pattern=pattern).write.mode("append").parquet(f"{cache_dir}/tokenizer={tokenizer}")
+    wanted = keyed.groupBy("content").agg(F.count("*").alias("n"))
+    wanted = scratch.written(wanted.withColumn("place", F.xxhash64("content")), "wanted")
+    texts = docs.select(content.alias("t")).select(F.unhex(F.sha2("t", 256)).alias("content"), "t")
+    missing = wanted if known is None else scratch.written(wanted.join(known.select("content").distinct(), "content", "left_anti"), "missing")
+    if not missing.isEmpty():
+        # texts that are missing for sure are encoded where they are; those that may be there, or occur more than once, are joined
+        unsure = missing.where("n > 1") if known is None else missing
+        bits = bit_filter(unsure, "place", FILTER_BITS)
+        shared = spark.sparkContext.broadcast(bits)
+
+        def marked(want: bool) -> DataFrame:
+            def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    yield b.filter(pa.array(in_filter(shared.value, b.column(2).to_numpy()) == want))
+
+            placed = texts.withColumn("place", F.xxhash64("content"))
+            return placed.mapInArrow(some, "content binary, t string, place long").drop("place")
+
+        joined = marked(True).join(missing.select("content"), "content", "left_semi") if known is not None else marked(True)
+        chosen = joined.dropDuplicates(["content"])
+        for part in [chosen] if known is not None else [chosen, marked(False)]:
+            encoded(part, path, text_col="t", pattern=pattern).write.mode("append").parquet(f"{cache_dir}/tokenizer={tokenizer}")
         known = stored(spark, cache_dir, tokenizer)
+    if known is None:  # there are no rows
+        return keyed.select(id_col, "n_bytes", F.lit(None).cast("long").alias("n_tokens"))
     one = known.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")) if _many_writers(known) else known
-    return keyed.join(one.hint("shuffle_merge"), "content").select(id_col, "n_bytes", "n_tokens")
+    return skew_join(keyed, one, "content", wanted).select(id_col, "n_bytes", "n_tokens")
 
 
 def _many_writers(known: DataFrame) -> bool:
     """Whether some content is stored more than once."""
     return not known.groupBy("content").count().where("count > 1").isEmpty()
-
-
