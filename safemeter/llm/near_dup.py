@@ -2,9 +2,9 @@
 
 The fingerprints' trie is walked in pairs of nodes at once.  A pair carries the bits in
 which its two prefixes differ and is given up as soon as these exceed the budget.  The
-top levels are walked for all node pairs together as one Spark join key: a fingerprint
-goes to every node pair within the budget that its own prefix belongs to.  Each pair of
-subtrees is then walked to its leaves inside one task, in numpy, and yields a spanning
+top levels are walked in Spark, over counts of nodes: pairs within the budget that hold too
+many fingerprints go down to their descendants, and a fingerprint goes to the pairs that
+its prefixes are in.  Each pair of subtrees left is of bounded size and is walked to its leaves inside one task, in numpy, and yields a spanning
 forest of its links, so dense clusters never emit all their pairs.  Connected components
 come from alternating large-star and small-star rounds over those links.
 """
@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_id, fresh_name, text_or_empty, written
+from ._common import Scratch, by_id, fresh_name, skew_join, text_or_empty, written
 
 WORDS = 3
 BITS = 3
-#: Fingerprints that a subtree should hold on average, and the bounds of the levels that Spark walks.
-SUBTREE, LEAST_LEVELS, MOST_LEVELS = 8192, 6, 12
+#: Fingerprints that a subtree should hold on average, and at most in both nodes of a pair that one task walks.
+SUBTREE, MOST_IN_PAIR = 8192, 65536
+#: The first level at which nodes are counted is this at least; pairs that hold too many go down so many levels at a time.
+LEAST_LEVELS, STEP = 6, 4
 #: Node pairs with no more pairs of fingerprints than this are compared outright.
 LEAF_PAIRS = 48
 _CHUNK = 1 << 18
@@ -152,48 +154,83 @@ def _middle(values: np.ndarray, first: np.ndarray, bit: np.uint64) -> np.ndarray
     return np.searchsorted(values, prefix | (np.uint64(1) << bit))
 
 
-def forest_of_pair(fps: np.ndarray, levels: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest among the fingerprints of one pair of nodes at depth ``levels``."""
+def forest_of_pair(fps: np.ndarray, level: int, budget: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest among the fingerprints of one pair of nodes at depth ``level``."""
     values = np.unique(fps)
-    top = values >> np.uint64(64 - levels)
-    split = int(np.searchsorted(top, top[-1]))
     forest = Forest(len(values))
-    if top[0] == top[-1]:
-        found = linked_pairs(values, values, levels, 0, budget, True)
-        shift = 0
+    if same:
+        found, shift = linked_pairs(values, values, level, 0, budget, True), 0
     else:
-        spent = int(np.bitwise_count(top[0] ^ top[-1]))
-        found = linked_pairs(values[:split], values[split:], levels, spent, budget, False)
-        shift = split
+        top = values >> np.uint64(64 - level) if level < 64 else values
+        shift = int(np.searchsorted(top, top[-1]))
+        found = linked_pairs(values[:shift], values[shift:], level, int(np.bitwise_count(top[0] ^ top[-1])), budget, False)
     for i, j in found:
         forest.link(i, j + shift)
     other = np.flatnonzero(forest.label != np.arange(len(values)))
     return values[other], values[forest.label[other]]
 
 
+def _node(level: int):
+    """The first ``level`` bits of a fingerprint."""
+    return F.shiftrightunsigned("fingerprint", 64 - level) if level < 64 else F.col("fingerprint")
+
+
+def _sizes(fingerprints: DataFrame, level: int) -> DataFrame:
+    return fingerprints.groupBy(_node(level).alias("node")).agg(F.count("*").alias("n"))
+
+
+def node_pairs(fingerprints: DataFrame, budget: int, scratch: Scratch) -> list[tuple[int, DataFrame]]:
+    """(level, pairs of nodes ``a`` <= ``b`` of the trie): together they hold every two fingerprints within the budget.
+
+    Only nodes that hold fingerprints are paired, and only within the budget of differing
+    bits.  A pair of more than ``MOST_IN_PAIR`` fingerprints is replaced by the pairs of its
+    nodes' descendants, down to single fingerprints if need be.
+    """
+    level = min(64, max(LEAST_LEVELS, (max(1, fingerprints.count()) // SUBTREE).bit_length()))
+    masks = [sum(1 << b for b in c) for k in range(budget + 1) for c in combinations(range(level), k)]
+    nodes = scratch.written(_sizes(fingerprints, level), "nodes")
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    a = a.withColumn("b", F.col("a").bitwiseXOR(F.col("mask"))).where("a <= b").drop("mask")
+    pairs = a.join(nodes.toDF("b", "nb"), "b").select("a", "b", "na", "nb")
+    found = []
+    while True:
+        pairs = scratch.written(pairs, f"pairs-{level}")
+        crowd = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb")) > MOST_IN_PAIR
+        found.append((level, pairs.where(~crowd).select("a", "b")))
+        crowded = pairs.where(crowd).select("a", "b")
+        if level == 64 or crowded.isEmpty():
+            return found
+        step = min(STEP, 64 - level)
+        level += step
+        parents = crowded.select(F.col("a").alias("parent")).unionByName(crowded.select(F.col("b").alias("parent"))).distinct()
+        within = fingerprints.withColumn("parent", _node(level - step)).join(parents, "parent", "left_semi")
+        kids = scratch.written(_sizes(within, level).withColumn("parent", F.shiftrightunsigned("node", step)), f"nodes-{level}")
+        pairs = crowded.join(kids.toDF("ka", "na", "a"), "a").join(kids.toDF("kb", "nb", "b"), "b")
+        near = F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= budget
+        pairs = pairs.where(near & (F.when(F.col("a") == F.col("b"), F.col("ka") <= F.col("kb")).otherwise(True))).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb")
+
+
 def links(fingerprints: DataFrame, *, budget: int = BITS) -> DataFrame:
     """Links ``a``, ``b`` between distinct fingerprints whose closure is that of all pairs within ``budget`` bits.
 
     ``fingerprints``: one column ``fingerprint`` of distinct longs.
     """
-    n = fingerprints.count()
-    levels = min(MOST_LEVELS, max(LEAST_LEVELS, (max(1, n) // SUBTREE).bit_length()))
-    masks = [sum(1 << b for b in c) for k in range(budget + 1) for c in combinations(range(levels), k)]
-    own = F.shiftrightunsigned("fingerprint", 64 - levels).cast("int")
-    to = fingerprints.select("fingerprint", own.alias("own"), F.explode(F.array(*map(F.lit, masks))).alias("mask"))
-    other = F.col("own").bitwiseXOR(F.col("mask"))
-    to = to.select((F.least("own", other) * (1 << levels) + F.greatest("own", other)).alias("nodes"), "fingerprint")
+    scratch = Scratch(fingerprints.sparkSession, "trie")
+    to = None
+    for level, pairs in node_pairs(fingerprints, budget, scratch):
+        ends = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
+        part = fingerprints.withColumn("node", _node(level)).join(ends, "node").select(F.lit(level).alias("level"), "a", "b", "fingerprint")
+        to = part if to is None else to.unionByName(part)
 
     def walk(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        fps = group["fingerprint"].to_numpy().view(np.uint64)
-        lo, hi = divmod(int(key[0]), 1 << levels)
-        top = fps >> np.uint64(64 - levels)
-        if lo != hi and (not (top == lo).any() or not (top == hi).any()):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = forest_of_pair(fps, levels, budget)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        level, a, b = map(int, key)
+        x, y = forest_of_pair(group["fingerprint"].to_numpy().view(np.uint64), level, budget, a == b)
+        return pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64)})
 
-    return to.groupBy("nodes").applyInPandas(walk, "a long, b long").distinct()
+    out = scratch.written(to.groupBy("level", "a", "b").applyInPandas(walk, "a long, b long").distinct(), "links")
+    for name in scratch.names - {"links"}:
+        scratch.drop(name)
+    return out
 
 
 # ---------------------------------------------------------------- components
@@ -201,20 +238,24 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (smallest node reachable) for every node of ``edges`` (columns a, b, both long).
 
     Alternates large-star and small-star until the links no longer change; every round
-    is written, so a lost executor never sends the work back to the first round.
+    is written, so a lost executor never sends the work back to the first round, and the
+    round before is deleted.
     """
-    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
+    scratch, turn, state = Scratch(edges.sparkSession, "components"), 0, None
+    links = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links-0")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = scratch.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"near-{turn}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = scratch.written(large, f"large-{turn}")
+        least = scratch.written(large.groupBy("u").agg(F.min("v").alias("m")), f"least-{turn}")
         joined = large.join(least, "u")
         links = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        links = written(links, "links")
+        links = scratch.written(links, f"links-{turn + 1}")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        for name in (f"links-{turn}", f"near-{turn}", f"large-{turn}", f"least-{turn}"):
+            scratch.drop(name)
+        turn += 1
         if now == state:
             break
         state = now
@@ -232,13 +273,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     so a component of null ids only has component_id null.  Repeated rows give repeated
     rows.  An empty table gives an empty result.  Other columns are not read.
     """
-    rows = written(with_fingerprint(docs, id_col=id_col, text_col=text_col, size=size, seed=seed), "fingerprints")
-    distinct = written(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least_id")), "distinct")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    rows = scratch.written(with_fingerprint(docs, id_col=id_col, text_col=text_col, size=size, seed=seed), "fingerprints")
+    distinct = scratch.written(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fingerprint"), budget=budget))
-    labelled = written(distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")), "labelled")
+    labelled = scratch.written(distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")), "labelled")
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = written(labelled.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id"), "of")
-    return rows.join(of, "fingerprint").select(F.col(id_col), "fingerprint", "component_id")
+    of = scratch.written(labelled.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id"), "of")
+    return skew_join(rows, of, "fingerprint", distinct).select(F.col(id_col), "fingerprint", "component_id")
 
 
 # ---------------------------------------------------------------- by Jaccard similarity
@@ -277,18 +319,18 @@ def _sketched(docs: DataFrame, *, id_col: str, text_col: str, size: int, seed: i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], [id_col, "node", "fingerprint", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col), _node(text_col).alias("node"), text_or_empty(text_col).alias("t"))
+    narrow = docs.select(F.col(id_col), _text_node(text_col).alias("node"), text_or_empty(text_col).alias("t"))
     return narrow.mapInArrow(of, f"`{id_col}` {kind}, node long, fingerprint long, bands array<long>")
 
 
-def _node(text_col: str):
+def _text_node(text_col: str):
     return F.xxhash64(text_or_empty(text_col))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Those of the ``pairs`` (nodes a, b) whose texts' sets of shingles are similar, counted exactly."""
     need = written(pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct(), "needed")
-    texts = by_id(docs.select(_node(text_col).alias("node"), text_or_empty(text_col).alias("t")), need, "node", "left_semi").dropDuplicates(["node"])
+    texts = by_id(docs.select(_text_node(text_col).alias("node"), text_or_empty(text_col).alias("t")), need, "node", "left_semi").dropDuplicates(["node"])
     texts = written(texts, "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
