@@ -1,10 +1,13 @@
 """Each operator against brute force and on the awkward inputs its docstring defines."""
 
 import hashlib
+import hmac
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from datetime import date, timedelta
 from itertools import combinations
 
 import numpy as np
@@ -297,8 +300,8 @@ def test_similar_links_edited_copies(spark, docs, corpus, none):
     assert near_dup.similar(none).count() == 0
 
 
-@pytest.mark.parametrize("levels", [6, 7, 9])
-def test_trie_walk_finds_all_links(spark, levels, monkeypatch):
+@pytest.mark.parametrize(("levels", "most"), [(6, 65536), (3, 20)])
+def test_trie_walk_finds_all_links(spark, levels, most, monkeypatch):
     rng = np.random.default_rng(levels)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2)
     near = base[:200] ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
@@ -306,6 +309,7 @@ def test_trie_walk_finds_all_links(spark, levels, monkeypatch):
     dense = base[0] ^ np.arange(256, dtype=np.uint64)
     fps = np.unique(np.concatenate([base, near, chain, dense, [np.uint64(0), np.uint64(2**64 - 1)]]))
     monkeypatch.setattr(near_dup, "LEAST_LEVELS", levels)
+    monkeypatch.setattr(near_dup, "MOST_IN_PAIR", most)
     edges = near_dup.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fingerprint long"))
     ends = edges.collect()
     assert all((e["a"] % 2**64 ^ e["b"] % 2**64).bit_count() <= 64 for e in ends)
@@ -397,10 +401,102 @@ def test_pseudonyms_of_long_secrets_and_timestamps(spark):
     assert out[1]["text"] == f"at {new}T10:00:00Z, {new}t23 and {new}." and out[2]["text"] == rows[2][1]
 
 
+def slow_feistel(cells, radices, key, tweak):
+    n, half = len(cells), len(cells) // 2
+    for r in range(1, pii.ROUNDS + 1):
+        odd = r % 2 == 1
+        seen = cells[half:] if odd else cells[:half]
+        digest = hmac.new(key.encode(), "|".join([tweak, str(r), str(n), ",".join(map(str, seen))]).encode(), "sha256").hexdigest()
+        added = [int(digest[i % 16 * 4 : i % 16 * 4 + 4], 16) for i in range(n)]
+        cells = [(x + added[i]) % radices[i] if (i < half) == odd else x for i, x in enumerate(cells)]
+    return cells
+
+
+def slow_pseudonym(kind, v, key):
+    """The rules of each format, one value at a time; None for secrets and e-mail addresses."""
+    digits = [int(c) for c in v if c.isdigit()]
+    fill = lambda shape, new: "".join(str(new.pop(0)) if c.isdigit() else c for c in shape)
+    if kind == "ssn":
+        a, g, s = map(int, v.split("-"))
+        a, g, s = slow_feistel([a - (2 if a > 666 else 1), g - 1, s - 1], [898, 99, 9999], key, "ssn")
+        return f"{a + (2 if a >= 665 else 1):03d}-{g + 1:02d}-{s + 1:04d}"
+    if kind == "ip":
+        x = list(map(int, v.split(".")))
+        while True:
+            x = slow_feistel(x, [256] * 4, key, "ip")
+            if ".".join(map(str, x)) not in ("0.0.0.0", "127.0.0.1", "255.255.255.255"):
+                return ".".join(map(str, x))
+    if kind == "card":
+        kept = 1 if digits[0] == 4 else 4
+        new = digits[:kept] + slow_feistel(digits[kept:-1], [10] * (len(digits) - kept - 1), key, "card")
+        return fill(v, [*new, next(d for d in range(10) if luhn("".join(map(str, [*new, d]))))])
+    if kind == "phone" and not v.startswith("+"):
+        x = [d - 2 if i in (0, 3) and d > 1 else d for i, d in enumerate(digits)]
+        radices = [(8 if digits[i] > 1 else 2) if i in (0, 3) else 10 for i in range(10)]
+        new = slow_feistel(x, radices, key, "phone|" + ",".join(map(str, radices)))
+        return fill(v, [d + 2 if i in (0, 3) and digits[i] > 1 else d for i, d in enumerate(new)])
+    if kind == "date" and v[4] == "-":
+        n = (date.fromisoformat(v) - date(1800, 1, 1)).days
+        a, b = slow_feistel([n // 773, n % 773], [189, 773], key, "date")
+        return str(date(1800, 1, 1) + timedelta(a * 773 + b))
+    return None
+
+
+def test_pseudonyms_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rng = random.Random(4)
+    extra = [f"{rng.randint(1, 899):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}, 10.{rng.randint(0, 255)}.0.7 ({rng.randint(200, 999)}) {rng.randint(100, 999)}-{rng.randint(1000, 9999)} {date(1990, 1, 1) + timedelta(rng.randint(0, 9999))}." for _ in range(100)]
+    more = spark.createDataFrame(list(enumerate(extra, 10**6)), "doc_id long, text string")
+    seen, n = Counter(), 0
+    for r in pii.pseudonymised(docs.unionByName(more), "k", found_col="hits").where("size(hits) > 0").collect():
+        for h in r["hits"]:
+            want = slow_pseudonym(h["kind"], h["value"], "k")
+            if want is not None and not h["value"].startswith("666-"):
+                assert h["pseudonym"] == want, h
+                seen[h["kind"]] += 1
+            assert h["pseudonym"] in r["text"]
+            n += 1
+    assert min(seen[k] for k in ("ssn", "ip", "phone", "date")) >= 50 and n > 400
+
+
+def test_pseudonyms_are_valid_and_distinct(spark):
+    """Distinct valid values give distinct valid values; a second pass finds every one of them."""
+    rng = random.Random(8)
+    ssn = {f"{a:03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for a in range(1, 900) if a != 666 for _ in range(2)}
+    phone = {f"({rng.randint(2, 9)}{rng.randint(0, 99):02d}) {rng.randint(2, 9)}{rng.randint(0, 99):02d}-{rng.randint(0, 9999):04d}" for _ in range(1500)}
+    day = {t for k in range(0, 146097, 97) for d in [date(1800, 1, 1) + timedelta(k)] for t in (f"{d:%m/%d}/{d.year}", f"{d:%d/%m}/{d.year}")}
+    secret = {f"token={''.join(rng.choice('0123456789abcdef') for _ in range(16))}" for _ in range(500)} | {f"token={rng.randint(0, 10**16 - 1):016d}" for _ in range(200)}
+    for kind, values in (("ssn", ssn), ("phone", phone), ("date", day), ("secret", {v for v in secret if re.search("[0-9]", v)})):
+        df = spark.createDataFrame([(v,) for v in sorted(values)], "text string").repartition(8)
+        once = pii.pseudonymised(df, "k", found_col="hits").cache()
+        assert once.where("size(hits) = 1").count() == len(values), kind
+        new = {r[0] for r in once.select("text").collect()}
+        assert len(new) == len(values), kind
+        assert pii.pseudonymised(once.select("text"), "k", found_col="hits").where(F.expr(f"size(hits) = 1 and hits[0].kind = '{kind}'")).count() == len(values), kind
+        once.unpersist()
+    assert not [v for v in {pii_one(spark, v) for v in ("(212) 555-0100", "(907) 299-0000")} if not re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", v)]
+
+
+def pii_one(spark, v):
+    return pii.pseudonymised(spark.createDataFrame([(v,)], "text string"), "k").first()["text"]
+
+
+def test_the_key_is_in_no_plan(spark):
+    out = pii.pseudonymised(spark.createDataFrame([("123-45-6789",)], "text string"), "a very secret key")
+    shown = out._jdf.queryExecution().toString()
+    inner, outer = pii.Key.padded("a very secret key")
+    assert "very secret" not in shown and inner.hex() not in shown.lower() and "very secret" not in str(out._jdf.queryExecution().executedPlan())
+    with pytest.raises(ValueError):
+        pii.pseudonymised(out, "k", found_col="TEXT")
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.createDataFrame([(a, b) for a in range(7) for b in range(30)], "a int, b int")
-    moved = pii.feistel(F.array("a", "b"), F.array(F.lit(7), F.lit(30)), "k", F.lit("t"))
-    assert len({tuple(r[0]) for r in df.select(moved).collect()}) == 210
+    key = pii.Key(*map(F.lit, pii.Key.padded("k")))
+    moved = pii.feistel(F.array("a", "b"), F.array(F.lit(7), F.lit(30)), key, F.lit("t"))
+    got = {tuple(r[:2]): tuple(r[2]) for r in df.select("a", "b", moved).collect()}
+    assert len(set(got.values())) == 210
+    assert all(v == tuple(slow_feistel(list(k), [7, 30], "k", "t")) for k, v in got.items())
     days = spark.range(20000).select(F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
     assert pii.pseudonymised(days, "k").distinct().count() == 20000
 
@@ -570,3 +666,134 @@ def test_suffix_dedup_by_any_cover_id_type_and_block(spark, period, monkeypatch)
     assert {int(r["key"]): r["n_removed"] for r in got} == brute_removed(rows)
     with pytest.raises(ValueError):
         suffix_dedup.deduplicated(docs, length=20)
+
+
+def slow_vector(t, idf):
+    """TF-IDF of hashed byte 2- and 3-grams, from the rule."""
+    low = bytearray(b" ")
+    for c in t:
+        if c.isascii():
+            low += (c.lower() if c.isalpha() else " ").encode()
+        else:
+            low += (c.lower() if "À" <= c <= "Þ" and c != "×" else c).encode()
+    low += b" "
+    n = Counter()
+    for size in (2, 3):
+        for k in range(len(low) - size + 1):
+            g = bytes(low[k : k + size])
+            if g.strip(b" "):
+                n[((int.from_bytes(g, "big") + size) * 0x9E3779B97F4A7C15 % 2**64) >> 52] += 1
+    v = np.zeros(language.DIMENSIONS)
+    for d, c in n.items():
+        v[d] = math.log(1 + c) * idf[d]
+    return v / (np.sqrt((v * v).sum()) or 1)
+
+
+def test_language_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    model = language.trained(docs, sample=40)
+    again = language.trained(docs.repartition(5), sample=40)
+    assert model.languages == again.languages and (model.centroids == again.centroids).all()
+    train = docs.where(~language.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()
+    seen = np.zeros(language.DIMENSIONS)
+    for r in train:
+        seen += slow_vector(r["text"], np.ones(language.DIMENSIONS)) > 0
+    assert np.allclose(model.idf, np.log((1 + len(train)) / (1 + seen)) + 1)
+    got = {r["doc_id"]: r for r in language.identified(docs, model).collect()}
+    for r in docs.where("text is not null").limit(60).collect():
+        cosine = model.centroids @ slow_vector(r["text"], model.idf)
+        mine = got[r["doc_id"]]
+        if not any(c.isalpha() for c in r["text"]):
+            assert mine["language"] == "und"
+            continue
+        assert math.isclose(mine["score"], min(1, max(0, cosine.max())), abs_tol=1e-6)
+        assert mine["language"] in {model.languages[k] for k in np.flatnonzero(cosine > cosine.max() - 1e-9)}
+
+
+def test_language_of_short_many_and_odd_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.trained(docs, sample=40)
+    rows = [(1, "a", 9, "x"), (1, "a", 9, "x"), (2, "x", 9, "x"), (3, "é", 9, "x"), (4, "漢", 9, "x"), (5, "...", 9, "x"), (None, "und das ist gut", 9, "x"), (6, "퟿", 9, "x")]
+    got = language.identified(spark.createDataFrame(rows, "doc_id long, text string, score int, language string"), model).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"] for r in got if r["language"] == "und"} == {5, 6}
+    assert len({(r["language"], r["score"]) for r in got if r["doc_id"] == 1}) == 1
+    import pyarrow as pa
+
+    assert max(j - i for i, j, _ in language.vectors(pa.array(["ab cd ef"] * 5000))) <= language.ROWS
+    many = spark.range(2000).selectExpr("id as doc_id", "'a b' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError):
+        language.trained(many)
+
+
+def test_an_added_token_with_a_space_is_counted_whole():
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    facts = json.loads(Path(tokenizer_path(BYTE_BPE_JSON)).read_text())
+    assert tokens.ends_before_white_space(facts)
+    facts["added_tokens"].append({"id": 60000, "content": "so long", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    assert not tokens.ends_before_white_space(facts)
+    tok = Tokenizer.from_str(json.dumps(facts))
+    texts = ["well so long then", "so  long", "so long so long"]
+    assert tokens.counter(".json", json.dumps(facts).encode())(texts) == [len(tok.encode(t, add_special_tokens=False)) for t in texts]
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}):
+        assert not tokens.ends_before_white_space(json.loads(Path(tokenizer_path(BYTE_BPE_JSON)).read_text()) | change)
+
+
+def test_remembered_pieces_are_bounded_by_bytes(monkeypatch):
+    from pathlib import Path
+
+    vocabulary = Path(tokenizer_path(BYTE_BPE_JSON)).read_bytes()
+    rng = random.Random(2)
+    texts = ["漢字" * rng.randint(1, 400) + text(rng, 40) for _ in range(60)]
+    want = tokens.counter(".json", vocabulary)(texts)
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 500)
+    of = tokens.counter(".json", vocabulary)
+    assert [n for k in range(0, 60, 7) for n in of(texts[k : k + 7])] == want
+
+
+def test_warm_cache_encodes_only_what_is_missing(spark, tmp_path, monkeypatch):
+    path, cache = tokenizer_path(BYTE_BPE_JSON), str(tmp_path / "cache")
+    rng = random.Random(6)
+    rows = [(i, text(rng, 20)) for i in range(200)] + [(i, "the same again") for i in range(200, 600)] + [(None, None), (None, ""), (7, "the same again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = tokens.tokenizer_digest(path)
+    tokens.count_tokens(docs.where("doc_id % 2 = 0"), path, cache).count()
+    first = tokens.stored(spark, cache, digest).count()
+    assert first == 101  # a hundred texts of their own and the one that many share
+    seen = []
+    encoded = tokens.encoded
+    monkeypatch.setattr(tokens, "encoded", lambda df, *a, **k: (seen.append(df.count()), encoded(df, *a, **k))[1])
+    got = tokens.count_tokens(docs, path, cache)
+    cold = tokens.count_tokens(docs, path, str(tmp_path / "cold"))
+    assert sum(seen[:1]) == 101 and tokens.stored(spark, cache, digest).count() == 202  # the other hundred and the empty text
+    assert sorted(map(str, got.collect())) == sorted(map(str, cold.collect())) and got.count() == len(rows)
+    clash = docs.withColumns({"N_Tokens": F.lit("x"), "n_bytes": F.lit(1), "content": F.lit("c"), "n": F.lit(0)})
+    assert tokens.count_tokens(clash, path, cache).count() == len(rows)
+    assert tokens.encoded(clash, path).columns == ["doc_id", "n_bytes", "content", "n", "n_tokens"]
+
+
+def test_trie_of_one_crowded_prefix(spark, monkeypatch):
+    """All fingerprints share their first 40 bits: pairs go down until they are of bounded size."""
+    monkeypatch.setattr(near_dup, "MOST_IN_PAIR", 200)
+    rng = np.random.default_rng(3)
+    fps = np.unique(rng.integers(0, 1 << 24, 3000, dtype=np.uint64) | np.uint64(0xABCDE12345 << 24))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fingerprint long")
+    sizes = []
+    for level, pairs in near_dup.node_pairs(df, 3, near_dup.Scratch(spark, "t")):
+        top = fps >> np.uint64(64 - level)
+        n = Counter(top.tolist())
+        sizes += [n[r["a"]] + (n[r["b"]] if r["a"] != r["b"] else 0) for r in pairs.collect()]
+    assert max(sizes) <= 200 and min(sizes) > 0
+    got = {r["node"]: r["root"] for r in near_dup.components(near_dup.links(df)).collect()}
+    forest = near_dup.Forest(len(fps))
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
+    forest.link(i, j)
+    signed = fps.view(np.int64).tolist()
+    least = {}
+    for k, r in enumerate(forest.label.tolist()):
+        least[r] = min(least.get(r, 2**63), signed[k])
+    assert {s: got.get(s, s) for s in signed} == {s: least[r] for s, r in zip(signed, forest.label.tolist(), strict=True)}
