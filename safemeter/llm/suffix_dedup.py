@@ -15,8 +15,8 @@ common shift below ``PERIOD``.
 
 Texts are dealt, in the order of their ids, into blocks of about ``BLOCK_BYTES``.  A block sends
 its distinct names, sorted and as differences, to the tasks that hold a range of names each,
-and gets one bit for each of them back.  So a name that every text has is sent once per
-block.  Ranges of names are sorted one after another (``ROUNDS``), and each is cleared away
+and gets the shared ones back, of windows one bit each.  So a name that every text has is
+sent once per block.  Ranges of names are sorted one after another (``ROUNDS``), and each is cleared away
 before the next, so the disk holds a fraction of all suffixes at a time.  For windows a name
 is 96 bits of hash and the bit says whether an earlier block has it; repeats inside a block
 are found in the block.  Copies of whole texts are set apart first, by SHA-256.
@@ -43,14 +43,14 @@ BLOCK_BYTES = 8 << 20
 #: Suffixes, on average, that one task of a sort gets at once.
 SORT_ROWS = 2_000_000
 #: Ranges of names that are sorted one after another.
-NAME_ROUNDS, WINDOW_ROUNDS = 2, 4
+NAME_ROUNDS, WINDOW_ROUNDS = 1, 2
 #: Bits of a sampled name; a name shared by chance only adds work.
 NAME_BITS = 40
 #: Digests of repeated texts are broadcast up to this many (40 bytes each, and an id); beyond it the join shuffles.
 BROADCAST_COPIES = 200_000
 
 _REQUEST = "bucket int, block int, n int, names binary, more binary"
-_REPLY = "kind int, block int, bucket int, bits binary"
+_REPLY = "kind int, block int, bucket int, answer binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -67,6 +67,13 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def _ascending(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and where each begins in the sorted values."""
+    values = np.sort(values)
+    begins = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[begins], begins
+
+
 class Sort:
     """How the names of ``bits`` bits are cut into buckets and the buckets into rounds."""
 
@@ -105,13 +112,15 @@ class Block:
 
     def sampled(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled places that a whole gram follows in their text, and the text of each."""
+        size = np.diff(off)
+        room = np.maximum(size - self.gram + 1, 0)
         cover = np.zeros(self.period, bool)
         cover[list(COVERS[self.period])] = True
-        size = np.diff(off)
-        of = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(data)) - off[of]
-        at = np.flatnonzero(cover[place % self.period] & (place + self.gram <= size[of]))
-        return at, of[at]
+        chosen = np.flatnonzero(np.resize(cover, room.max(initial=0)))
+        count = np.searchsorted(chosen, room)
+        of = np.repeat(np.arange(len(size)), count)
+        rank = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        return chosen[rank] + off[of], of
 
     def names(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct names, ascending, and whether texts of two ids or more have them."""
@@ -120,10 +129,10 @@ class Block:
             at, of = self.sampled(data, off)
             one, _ = self.hasher.at(data, at, self.gram)
             # a name and a rank side by side in one number: the ranks of a block are far below 2 ** 24
-            keys.append(np.unique((one >> np.uint64(64 - NAME_BITS)) << np.uint64(64 - NAME_BITS) | self.rank[i + of].astype(np.uint64)))
-        key = np.unique(np.concatenate(keys))
-        name, n = np.unique(key >> np.uint64(64 - NAME_BITS), return_counts=True)
-        return name, n > 1
+            keys.append((one >> np.uint64(64 - NAME_BITS)) << np.uint64(64 - NAME_BITS) | self.rank[i + of].astype(np.uint64))
+        key, _ = _ascending(np.concatenate(keys))
+        name, begins = _ascending(key >> np.uint64(64 - NAME_BITS))
+        return name, np.diff(begins, append=len(key)) > 1
 
     def windows(self, shared: np.ndarray, low: int = 0, high: int = 2**64 - 1):
         """For each run (first row, offsets, window starts, two hashes, text of each window) within reach of a shared name.
@@ -161,18 +170,24 @@ def _replied(replies: pa.Table, sort: Sort, edges: list[int]) -> np.ndarray:
     """The bits that came back for the ascending names of a block."""
     out = np.zeros(edges[-1], bool)
     mine = replies.filter(pc.equal(replies["kind"], sort.kind))
-    for bucket, bits in zip(mine["bucket"].to_pylist(), mine["bits"], strict=True):
+    for bucket, bits in zip(mine["bucket"].to_pylist(), mine["answer"], strict=True):
         a, b = edges[bucket], edges[bucket + 1]
         out[a:b] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a).astype(bool)
     return out
 
 
+def _shared_by(replies: pa.Table) -> np.ndarray:
+    """The shared names of a block, ascending."""
+    mine = replies.filter(pc.equal(replies["kind"], 0)).sort_by("bucket")
+    return np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x.as_py()) for x in mine["answer"])])
+
+
 def _table(schema: list[tuple[str, pa.DataType]], columns: list[list]) -> pa.Table:
     return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(schema, columns, strict=True)})
 
 
 _REQUEST_TYPES = [("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("more", pa.binary())]
-_REPLY_TYPES = [("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())]
+_REPLY_TYPES = [("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("answer", pa.binary())]
 
 
 def _requests(block: int, names: np.ndarray, more: np.ndarray | None, flags: np.ndarray | None, sort: Sort, turn: int) -> pa.Table:
@@ -200,13 +215,16 @@ def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _shared_names(group: pa.Table) -> pa.Table:
-    """One bit per requested name: whether texts of two ids have it."""
+    """Of each block's names those that texts of two ids have."""
     parts = [_unpacked(x.as_py()) for x in group["names"]]
     several = [p[np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(p)).astype(bool)] for p, x in zip(parts, group["more"], strict=True)]
-    names, n = np.unique(np.concatenate(parts), return_counts=True)
-    shared = np.union1d(names[n > 1], np.unique(np.concatenate(several)))
-    bits = [np.packbits(_among(p, shared)).tobytes() for p in parts]
-    return _table(_REPLY_TYPES, [[0] * len(bits), group["block"].to_pylist(), group["bucket"].to_pylist(), bits])
+    every = np.concatenate(parts)
+    names, begins = _ascending(every)
+    shared, _ = _ascending(np.concatenate([names[np.diff(begins, append=len(every)) > 1], *several]))
+    found = [p[_among(p, shared)] for p in parts]
+    some = [k for k, p in enumerate(found) if len(p)]
+    columns = [[group[c][k].as_py() for k in some] for c in ("block", "bucket")]
+    return _table(_REPLY_TYPES, [[0] * len(some), *columns, [_packed(found[k]) for k in some]])
 
 
 def _earlier_windows(group: pa.Table) -> pa.Table:
@@ -233,12 +251,7 @@ def repeated(texts: DataFrame, n_blocks: int, n_bytes: int, scratch: Scratch, *,
     density = len(COVERS[period]) / period
     by_name, by_window = Sort(0, NAME_BITS, n_bytes * density, NAME_ROUNDS), Sort(1, 64, n_bytes, WINDOW_ROUNDS)
     blocks = texts.groupBy("block")
-    replies = spark.createDataFrame([], _REPLY)
-
-    def settled(requests: DataFrame, answer, label: str) -> DataFrame:
-        out = scratch.written(requests.groupBy("bucket").applyInArrow(answer, _REPLY), label)
-        release_shuffles(spark)
-        return out
+    replies = spark.createDataFrame([], _REPLY)  # names, then windows
 
     def asking_names(turn: int):
         def ask(key: tuple, rows: pa.Table) -> pa.Table:
@@ -247,32 +260,37 @@ def repeated(texts: DataFrame, n_blocks: int, n_bytes: int, scratch: Scratch, *,
 
         return ask
 
-    def shared_by(block: Block, answered: pa.Table) -> np.ndarray:
-        names, _ = block.names()
-        return names[_replied(answered, by_name, by_name.edges(names))]
-
     def asking_windows(turn: int):
         def ask(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
             block = Block(rows, length, period)
-            found = [(one, two) for _, _, _, one, two, _ in block.windows(shared_by(block, answered), *by_window.span(turn))]
+            found = [(one, two) for _, _, _, one, two, _ in block.windows(_shared_by(answered), *by_window.span(turn))]
             none = np.zeros(0, np.uint64)
             one, two, _, _ = _distinct(np.concatenate([none, *(x[0] for x in found)]), np.concatenate([none, *(x[1] for x in found)]))
             return _requests(key[0].as_py(), one, two, None, by_window, turn)
 
         return ask
 
+    def names_of(turn: int) -> DataFrame:
+        asked = blocks.applyInArrow(asking_names(turn), _REQUEST)
+        return scratch.written(asked.groupBy("bucket").applyInArrow(_shared_names, _REPLY), f"names-{turn}")
+
+    def windows_of(turn: int, named: DataFrame) -> DataFrame:
+        asked = blocks.cogroup(named.groupBy("block")).applyInArrow(asking_windows(turn), _REQUEST)
+        return scratch.written(asked.groupBy("bucket").applyInArrow(_earlier_windows, _REPLY), f"windows-{turn}")
+
     for turn in range(NAME_ROUNDS):
-        replies = replies.unionByName(settled(blocks.applyInArrow(asking_names(turn), _REQUEST), _shared_names, f"names-{turn}"))
+        replies = replies.unionByName(names_of(turn))
+        release_shuffles(spark)
     named = replies
     for turn in range(WINDOW_ROUNDS):
-        asked = blocks.cogroup(named.groupBy("block")).applyInArrow(asking_windows(turn), _REQUEST)
-        replies = replies.unionByName(settled(asked, _earlier_windows, f"windows-{turn}"))
+        replies = replies.unionByName(windows_of(turn, named))
+        release_shuffles(spark)
 
     def decide(key: tuple, rows: pa.Table, answered: pa.Table) -> pa.Table:
         block = Block(rows, length, period)
         none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         found = [none]
-        for i, off, start, one, two, doc in block.windows(shared_by(block, answered)):
+        for i, off, start, one, two, doc in block.windows(_shared_by(answered)):
             found.append([one, two, i + doc, start - off[doc]])
         one, two, doc, start = (np.concatenate([x[k] for x in found]) for k in range(4))
         names, _, order, new = _distinct(one, two)
