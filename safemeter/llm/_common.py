@@ -1,31 +1,16 @@
-"""Shared pieces of the operators: the shared folder, cut lineage, table reading."""
+"""Shared pieces of the operators: what a run writes, broadcasts of proven size, hot keys."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
+import time
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDER: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (one local process, as in tests) a
-    temporary folder of this process takes its place.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _OWN_FOLDER:
-        _OWN_FOLDER.append(tempfile.mkdtemp(prefix="safemeter-"))
-    return "file://" + _OWN_FOLDER[0]
-
+from ..sources.shared import remove, shared_folder
 
 class Scratch:
     """A folder of its own in the shared folder, for what one run of an operator writes.
@@ -57,6 +42,37 @@ class Scratch:
         remove(self.spark, f"{self.root}/{name}")
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more.
+
+    Spark deletes them when the driver collects its garbage, which a heap with room puts off
+    for long.  The first collection frees what Python held, the second the plans behind it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        self.names.add(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, name: str, by: str, n: int) -> DataFrame:
+        """``df`` written in ``n`` buckets of column ``by``, so that grouping by it later moves no row."""
+        label = f"{name}_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(n, by).saveAsTable(label)
+        out = self.spark.table(label)
+        self.spark.sql(f"DROP TABLE {label}")  # the entry only: the files are the folder's
+        return out
+
+    def drop(self, name: str = "") -> None:
+        """Delete what was written under ``name``, or all of it."""
+        remove(self.spark, f"{self.root}/{name}")
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more.
 
@@ -71,12 +87,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return Scratch(df.sparkSession, label).written(df, "rows")
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in the store that Spark itself uses."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
