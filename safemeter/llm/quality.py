@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 SCALE = 1 << 20
 #: Pseudo-count of each bucket in both multinomials.
 SMOOTHING = 1.0
+#: Between the classes: fitted on half of the labels, documents of the other half that pass the base rules score above -0.16
+#: where labelled good, and below -0.5 where labelled bad.
 THRESHOLD = -0.3
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -193,7 +195,11 @@ def judged(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, max_repeated_percent: int = MAX_REPEATED_PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that :func:`judged` keeps; no shuffle of the texts."""
+    """The rows of ``docs``, all columns, that :func:`judged` keeps; no shuffle of the texts.
+
+    Null text counts as empty.  Rows are judged one by one, whatever their id: repeated rows
+    stay or go together.  Ties of score and threshold stay.  Empty tables give an empty result.
+    """
     llr = ratios(gram_counts(docs, trusted_ids(labels, id_col=id_col), id_col=id_col, text_col=text_col, n=n))
     place = docs.columns.index(text_col)
     bar = round(threshold * SCALE)
