@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import remove, shared_folder
 
+
 class Scratch:
     """A folder of its own in the shared folder, for what one run of an operator writes.
 
@@ -54,34 +55,6 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        self.names.add(name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def bucketed(self, df: DataFrame, name: str, by: str, n: int) -> DataFrame:
-        """``df`` written in ``n`` buckets of column ``by``, so that grouping by it later moves no row."""
-        label = f"{name}_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(n, by).saveAsTable(label)
-        out = self.spark.table(label)
-        self.spark.sql(f"DROP TABLE {label}")  # the entry only: the files are the folder's
-        return out
-
-    def drop(self, name: str = "") -> None:
-        """Delete what was written under ``name``, or all of it."""
-        remove(self.spark, f"{self.root}/{name}")
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let go of the shuffle files of plans that nothing refers to any more.
-
-    Spark deletes them when the driver collects its garbage, which a small driver's heap may put off for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written in a folder of its own in the shared folder, and read back."""
     return Scratch(df.sparkSession, label).written(df, "rows")
@@ -107,15 +80,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Ids that may be broadcast; more of them are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids that may be broadcast, and their bytes written out; more of either are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """``docs`` joined with one column of ids, ``left_anti`` or ``left_semi``; a null id matches none."""
     flag = fresh_name(docs.columns, "listed_id")
     ids = ids.toDF(flag)
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    first = ids.limit(BROADCAST_IDS + 1).select(F.octet_length(F.to_json(F.struct(flag))).cast("long").alias("size"))
+    n, size = first.agg(F.count("*"), F.sum("size")).first()
+    small = n <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES
     return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == F.col(flag), how)
 
 
