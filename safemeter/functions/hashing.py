@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .numbering import numbered
 
 # The fields that make up a configuration and a canonical record.
@@ -64,10 +65,11 @@ def dataset_hash_tree(prompts: DataFrame, order: list[str]) -> DataFrame:
     the digest of no bytes.
     """
     level = numbered(prompts.select(*order, record_digest().alias("digest")), order, "i").select("i", "digest")
-    while True:
+    while True:  # one level is 1,024 times smaller than the one before
         chunks = level.groupBy(F.floor(F.col("i") / CHUNK_ROWS).alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", F.hex("digest").alias("h")))).alias("rows"))
         level = chunks.select("i", F.unhex(F.sha2(F.array_join(F.transform("rows", lambda x: x["h"]), ""), 256)).alias("digest"))
-        if level.limit(2).count() < 2:
+        level = written(level, "digests")
+        if level.count() < 2:
             break
     top = level.agg(F.max("digest").alias("digest"))
     return top.select(F.concat(F.lit("sha256-tree:"), F.coalesce(F.lower(F.hex("digest")), F.sha2(F.lit(""), 256))).alias("dataset_hash"))

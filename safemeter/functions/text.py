@@ -36,13 +36,13 @@ def base64_decodings(text: Column) -> Column:
     A token counts when it has 12 characters or more, is alphanumeric before its trailing
     ``=`` signs, and these are enough for its length.
     """
-    tokens = F.regexp_extract_all(text, F.lit(r"(?U)[^\s]+"), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?U)[^\s]{{{BASE64_LENGTH},}}+"), F.lit(0))
     parts = F.transform(tokens, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, "=+$", "").alias("body")))
 
     def decodable(x: Column) -> Column:
         c, p = F.length(x["body"]), F.length(x["t"]) - F.length(x["body"])
         padded = (c % 4 == 0) | ((c % 4 == 2) & (p >= 2)) | ((c % 4 == 3) & (p >= 1))
-        return (F.length(x["t"]) >= BASE64_LENGTH) & x["body"].rlike("^[A-Za-z0-9]+$") & padded
+        return x["body"].rlike("^[A-Za-z0-9]+$") & padded
 
     def decoded(x: Column) -> Column:
         whole = F.rpad(x["body"], (F.ceil(F.length(x["body"]) / 4) * 4).cast("int"), "=")
@@ -58,5 +58,6 @@ def effective_text(text: Column) -> Column:
 
 
 def contains_any(text: Column, phrases: list[str] | tuple[str, ...]) -> Column:
-    """Whether ``text`` holds one of ``phrases``; one pattern, so the text is computed once."""
-    return text.rlike("|".join(rf"\Q{p}\E" for p in phrases))
+    """Whether ``text`` holds one of ``phrases``; the text is bound to a name, so it is computed once."""
+    listed = F.array(*map(F.lit, phrases))
+    return F.element_at(F.transform(F.array(text), lambda t: F.exists(listed, lambda p: t.contains(p))), 1)

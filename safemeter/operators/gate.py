@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from .compare import lineage
 
 
+def limits_in_order(warn, fail):
+    """Whether 0 <= warn <= fail <= 1; for numbers or for columns."""
+    return (warn >= 0) & (warn <= fail) & (fail <= 1)
+
+
 @dataclass(frozen=True)
 class RegressionPolicy:
     """Degradation that warns and that fails; reaching a limit exactly does neither."""
@@ -23,7 +28,7 @@ class RegressionPolicy:
         catch = (self.warn_family_catch_rate_drop, self.fail_family_catch_rate_drop)
         burden = (self.warn_false_positive_rate_increase, self.fail_false_positive_rate_increase)
         for warn, fail in (catch, burden):
-            if not 0 <= warn <= fail <= 1:
+            if not limits_in_order(warn, fail):
                 raise ValueError("a policy needs 0 <= warn <= fail <= 1")
 
 

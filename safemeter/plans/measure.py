@@ -56,9 +56,10 @@ def land(store: RunStore, tables: RunTables) -> dict[str, int]:
     return counts
 
 
-def measured(t: RunTables, *, keep: bool = True) -> Models:
+def measured(t: RunTables, *, keep: bool | Callable[[DataFrame], DataFrame] = True) -> Models:
+    """``keep``: whether the facts are kept in memory, or what keeps them, such as writing them."""
     rows = facts.fct_classifications(t.events, t.ground_truth, t.detections, with_text=False)
-    rows = rows.persist() if keep else rows
+    rows = keep(rows) if callable(keep) else rows.persist() if keep else rows
     burden = metrics.false_positive_burden(rows)
     cases = compare.case_comparisons(t.runs, rows)
     return Models(rows, burden, metrics.performance_by_family(rows, burden), metrics.tier_contribution(rows), cases, compare.run_comparisons(t.runs, cases, burden))

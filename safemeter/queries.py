@@ -6,18 +6,19 @@ driver's tables; ``RUN_SQL`` repeats the mapping of ``plans.driver_tables``.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing, text
-from .operators import checks, compare, facts, fast_tier, gate, generate, judge, metrics, routing, staging
+from .operators import checks, compare, facts, fast_tier, gate, judge, metrics, routing, staging
 from .plans import driver_tables as tables
 from .plans import measure
 from .schemas import RunTables
 from .sources.corpus import read_corpus, write_corpus
+from .sources.shared import new_folder, written
 from .sources.store import RunStore
 from .streaming import replay
 
@@ -35,12 +36,6 @@ def _query(sql: str | None = None):
     return register
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared folder of the cluster, or in the warehouse where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ------------------------------------------------------------------ the mapping, in SQL
 RUN_SQL = """
 with run_rows(run_id, k, low_threshold, high_threshold, baseline_run_id) as (
@@ -127,6 +122,12 @@ def _measured(spark: SparkSession, sf_dir: str) -> tuple[RunTables, measure.Mode
     return t, measure.measured(t, keep=False)
 
 
+def _gated(spark: SparkSession, sf_dir: str) -> tuple[RunTables, measure.Models]:
+    """As ``_measured``, with the facts written once: the gate reads them for each of its metrics."""
+    t = tables.measurement(spark, sf_dir)
+    return t, measure.measured(t, keep=lambda rows: written(rows, "facts"))
+
+
 # ------------------------------------------------------------------ projections and scalars
 @_query("select event_id, substr(sha256(event_type || ' ' || props), 1, 16) as prompt_hash from events")
 def p1_prompt_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,8 +200,36 @@ def p9_p10_stg_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.stg_runs(t.runs).join(n, "run_id").select("run_id", "run_status", "events", "configuration_hash")
 
 
-@_query()
+def _json_text(column: str) -> str:
+    """A string as JSON with characters beyond printable ASCII escaped, in SQL."""
+    hexed = "printf('\\u%04x', {})".format
+    code = "unicode(c)"
+    return (
+        f"case when {column} is null then 'null' else '\"' || coalesce(array_to_string(list_transform(regexp_extract_all({column}, '(?s).'), lambda c: "
+        f"case when c = '\"' then '\\\"' when c = '\\' then '\\\\' when c = chr(8) then '\\b' when c = chr(12) then '\\f' when c = chr(10) then '\\n' "
+        f"when c = chr(13) then '\\r' when c = chr(9) then '\\t' when {code} between 32 and 126 then c when {code} < 65536 then {hexed(code)} "
+        f"else {hexed(f'55296 + ({code} - 65536) // 1024')} || {hexed(f'56320 + ({code} - 65536) % 1024')} end), ''), '') || '\"' end"
+    )
+
+
+_LINES = _CLOCK + f""", lines as (
+  select doc_id, i, '{{"family":"' || family || '","is_synthetic":true,"label":"' || label || '","objective":"none","source":' || {_json_text("source")} || ',"text":' || {_json_text("text")} || '}}' || chr(10) as line from placed)
+"""
+
+
+@_query(_LINES + "select 'sha256:' || sha256(coalesce(string_agg(line, '' order by doc_id), '')) as dataset_hash from lines")
+def p11_dataset_hash_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digest: ordered lines through one digest, and so through the driver."""
+    return spark.createDataFrame([(hashing.dataset_hash_exact(tables.prompts(spark, sf_dir), ["doc_id"]),)], "dataset_hash string")
+
+
+@_query(
+    _LINES + ", one as (select i // 1024 as c, sha256(string_agg(upper(sha256(line)), '' order by i)) as d from lines group by 1), "
+    "two as (select c // 1024 as c, sha256(string_agg(upper(d), '' order by c)) as d from one group by 1) "
+    "select 'sha256-tree:' || case when (select count(*) from one) = 1 then (select d from one) when (select count(*) from two) = 1 then (select d from two) else sha256('') end as dataset_hash"
+)
 def p11_dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parallel scheme; its SQL has the two levels that suffice for a million rows."""
     return hashing.dataset_hash_tree(tables.prompts(spark, sf_dir), ["doc_id"])
 
 
@@ -225,11 +254,29 @@ with tailed as (
 """
 
 
-@_query("select doc_id, doc_id % 6 = 2 as holds_phrase from documents")
+# Tokens that can be base64, decoded to hexadecimal digits; then the well-formed UTF-8 sequences in those, U+FFFD left out.
+_UTF8 = (
+    "F0[9AB][0-9A-F](?:[89AB][0-9A-F]){2}|F[1-3](?:[89AB][0-9A-F]){3}|F48[0-9A-F](?:[89AB][0-9A-F]){2}|E0[AB][0-9A-F][89AB][0-9A-F]|"
+    "E[1-9A-CEF](?:[89AB][0-9A-F]){2}|ED[89][0-9A-F][89AB][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|[0-9A-F]{2}"
+)
+_DECODED = _TAILS + rf""", tokens as (
+  select doc_id, text, list_transform(regexp_extract_all(text, '[^\t-\r\x{{85}}\p{{Z}}]{{12,}}'), lambda t: {{'body': regexp_replace(t, '=+$', ''), 'pad': length(t) - length(regexp_replace(t, '=+$', ''))}}) as found from tailed),
+usable as (
+  select doc_id, text, list_filter(found, lambda x: regexp_full_match(x.body, '[A-Za-z0-9]+') and
+    (length(x.body) % 4 = 0 or length(x.body) % 4 = 2 and x.pad >= 2 or length(x.body) % 4 = 3 and x.pad >= 1)) as found from tokens),
+hexed as (select doc_id, text, list_transform(found, lambda x: hex(from_base64(rpad(x.body, cast(ceil(length(x.body) / 4) * 4 as int), '=')))) as found from usable),
+decoded as (
+  select doc_id, text, list_transform(found, lambda h: decode(unhex(coalesce(array_to_string(list_filter(regexp_extract_all(h, '{_UTF8}'),
+    lambda p: (length(p) > 2 or p < '80') and p <> 'EFBFBD'), ''), '')))) as found from hexed)
+"""
+_TURN = "translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')"
+
+
+@_query(_DECODED + f"select doc_id, len(found) as n_decoded, md5(coalesce(array_to_string(found, '|'), '')) as decoded, list_contains(list_transform(found, lambda x: contains(x, '{tables.PHRASE}')), true) as holds_phrase from decoded")
 def u1_base64_decodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long words of the prose decode to chance bytes too, so the query asks for the planted phrase."""
-    found = F.exists(text.base64_decodings(F.col("text")), lambda t: t.contains(tables.PHRASE))
-    return tables.judged_texts(spark, sf_dir).select("doc_id", found.alias("holds_phrase"))
+    """All decodings of each text, those of long words of the prose included."""
+    out = tables.judged_texts(spark, sf_dir).select("doc_id", text.base64_decodings(F.col("text")).alias("d"))
+    return out.select("doc_id", F.size("d").cast("long").alias("n_decoded"), F.md5(F.array_join("d", "|")).alias("decoded"), F.exists("d", lambda t: t.contains(tables.PHRASE)).alias("holds_phrase"))
 
 
 @_query(
@@ -240,9 +287,9 @@ def u2_u3_rot13_unleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.judged_texts(spark, sf_dir).select("doc_id", F.md5(text.rot13(F.col("text"))).alias("turned"), F.md5(text.unleet(F.col("text"))).alias("unleet"))
 
 
-@_query("select doc_id, doc_id % 6 > 0 as holds_phrase from documents")
+@_query(_DECODED + f"select doc_id, md5(lower(text) || ' ' || coalesce(array_to_string(list_transform(found, lambda x: lower(x) || ' '), ''), '') || lower({_TURN}) || ' ' || lower(translate(text, '4310$7', 'aeiost'))) as effective from decoded")
 def u4_effective_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.judged_texts(spark, sf_dir).select("doc_id", text.effective_text(F.col("text")).contains(tables.PHRASE).alias("holds_phrase"))
+    return tables.judged_texts(spark, sf_dir).select("doc_id", F.md5(text.effective_text(F.col("text"))).alias("effective"))
 
 
 @_query(
@@ -255,14 +302,25 @@ def u5_u6_stub_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "v.is_attack", "v.rationale", "v.cost_usd", "v.model")
 
 
-_REPLIES = ('{"verdict": "attack", "reason": "r"}', '{"verdict": "benign"}', "Looks like an ATTACK to me", "['attack']", '{"verdict":"attack"} and more', "no")
+# By id modulo 6: JSON with a reason, without one, prose about an attack, a list, JSON with more after it, plain prose.
+_REPLIES = """
+with replies as (
+  select doc_id, doc_id % 6 as k, source, case doc_id % 6 when 0 then '{"verdict": "attack", "reason": "' || source || '"}' when 1 then '{"verdict": "' || lang || '"}'
+    when 2 then 'Looks like an ATTACK: ' || coalesce(text, '') when 3 then '["attack"] ' || source when 4 then '{"verdict":"attack"} ' || coalesce(text, '') else coalesce(text, '') end as raw
+  from documents)
+"""
 
 
-@_query("select doc_id, doc_id % 6 in (0, 2, 3, 4) as is_attack, case doc_id % 6 when 0 then 'r' when 1 then '' when 2 then 'Looks like an ATTACK to me' when 3 then '[''attack'']' when 4 then '{\"verdict\":\"attack\"} and more' else 'no' end as rationale from documents")
+@_query(_REPLIES + "select doc_id, case when k = 0 then true when k = 1 then false else contains(lower(raw), 'attack') end as is_attack, case when k = 0 then source when k = 1 then '' else substr(raw, 1, 120) end as rationale from replies where raw is not null")
 def u7_parse_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reply = F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % 6).cast("int") + 1)
-    out = tables.table(spark, sf_dir, "documents").select("doc_id", judge.parse_reply(reply).alias("v"))
-    return out.select("doc_id", "v.is_attack", "v.rationale")
+    k, prose = F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"verdict": "attack", "reason": "'), "source", F.lit('"}'))).when(k == 1, F.concat(F.lit('{"verdict": "'), "lang", F.lit('"}')))
+        .when(k == 2, F.concat(F.lit("Looks like an ATTACK: "), prose)).when(k == 3, F.concat(F.lit('["attack"] '), "source"))
+        .when(k == 4, F.concat(F.lit('{"verdict":"attack"} '), prose)).otherwise(prose)
+    )
+    out = tables.table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).where("raw is not null")
+    return out.select("doc_id", judge.parse_reply("raw").alias("v")).select("doc_id", "v.is_attack", "v.rationale")
 
 
 @_query("select doc_id, case when doc_id % 2 = 0 then n_chars / 1e6 * 5.0::double + (doc_id % 64) / 1e6 * 25.0::double else 0.0::double end as cost_usd from documents")
@@ -311,6 +369,35 @@ def m3_m5_fast_tier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier.score(prompts).select("doc_id", "label", "held_out", "tier1_score")
 
 
+#: Coefficients by term that SQL can repeat, and the intercept.
+_INTERCEPT = 0.25
+
+
+def _coefficient(term: str) -> float:
+    return ((len(term) * 7 + ord(term[0])) % 11 - 5) / 4
+
+
+_SCORED = _TERMS + rf""", train as (select doc_id from documents join labels using (doc_id) where doc_id % 2 = 0 and toxic is not null),
+size as (select count(*) as n from train),
+known as (select term, ln((n + 1.0::double) / (count(distinct doc_id) + 1.0::double)) + 1 as idf from terms semi join train using (doc_id) cross join size group by term, n having count(distinct doc_id) >= 2),
+weights as (select doc_id, term, count(*) * any_value(idf) as w from terms join known using (term) group by doc_id, term),
+sums as (select doc_id, sum(w * (((length(term) * 7 + unicode(term)) % 11 - 5) / 4.0::double)) / sqrt(sum(w * w)) as dot from weights group by doc_id),
+scored as (select doc_id, 1.0::double / (1 + exp(-({_INTERCEPT}::double + coalesce(dot, 0)))) as score, row_number() over (order by doc_id) - 1 as i from documents left join sums using (doc_id))
+"""
+
+
+def _given_tier(spark: SparkSession, sf_dir: str) -> tuple[fast_tier.FastTier, DataFrame]:
+    prompts = tables.scored_prompts(spark, sf_dir)
+    return fast_tier.with_coefficients(prompts.where("not held_out"), _coefficient, _INTERCEPT), prompts
+
+
+@_query(_SCORED + "select doc_id, round(score, 6) as tier1_score from scored")
+def m3_m5_given_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF and score with the training half's vocabulary and coefficients that are not fitted, so that SQL can follow."""
+    tier, prompts = _given_tier(spark, sf_dir)
+    return tier.score(prompts).select("doc_id", F.round("tier1_score", 6).alias("tier1_score"))
+
+
 # ------------------------------------------------------------------ facts, metrics, comparison, gate
 @_query(RUN_SQL + "select * from facts")
 def j1_p8_fct_classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -426,14 +513,29 @@ from (select distinct candidate_run_id, baseline_run_id from comparisons) c left
 
 @_query(RUN_SQL + _STATUS)
 def g5_g6_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, m = _measured(spark, sf_dir)
+    t, m = _gated(spark, sf_dir)
     return measure.gated(t, m)
 
 
-@_query()
+@_query(
+    RUN_SQL + ", status as (" + _STATUS + ") select s.candidate_run_id, s.baseline_run_id, s.status, f.metric, f.evaluation_family, f.observed_degradation, f.threshold, f.status as finding_status "
+    "from status s left join findings f using (candidate_run_id, baseline_run_id)"
+)
 def s7_gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, m = _measured(spark, sf_dir)
-    return gate.report(measure.gated(t, m), gate.findings(m.comparisons, gate.RegressionPolicy()))
+    """The reports, read back from their JSON."""
+    t, m = _gated(spark, sf_dir)
+    made = gate.report(measure.gated(t, m), gate.findings(m.comparisons, gate.RegressionPolicy()))
+    item = "metric string, evaluation_family string, observed_degradation double, threshold double, status string"
+    read = made.select(F.from_json("report", f"candidate_run_id string, baseline_run_id string, status string, findings array<struct<{item.replace(' ', ':').replace(',:', ',')}>>").alias("r"))
+    flat = read.select("r.candidate_run_id", "r.baseline_run_id", "r.status", F.explode_outer("r.findings").alias("f"))
+    return flat.select("candidate_run_id", "baseline_run_id", "status", "f.metric", "f.evaluation_family", "f.observed_degradation", "f.threshold", F.col("f.status").alias("finding_status"))
+
+
+@_query("select event_id, (event_id % 7) / 5.0::double <= (event_id % 11) / 10.0::double and (event_id % 11) / 10.0::double <= 1 as in_order from events")
+def g1_policy_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that a policy checks its pairs of limits by, on pairs made from event ids."""
+    n = F.col("event_id")
+    return tables.table(spark, sf_dir, "events").select("event_id", gate.limits_in_order((n % 7) / F.lit(5.0), (n % 11) / F.lit(10.0)).alias("in_order"))
 
 
 # ------------------------------------------------------------------ checks on planted faults
@@ -448,11 +550,23 @@ def c1_label_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.label_family_mismatch(truth.withColumn("label", F.when(bad, "attack").otherwise(F.col("label")))).select("run_id", "event_id")
 
 
-@_query(RUN_SQL + "select run_id, event_id, case when n % 34 = 0 then 'prompt_hash,text' else 'text' end as null_columns from rows where n % 17 = 0")
+def _blanked(df: DataFrame, column: str, every: int) -> DataFrame:
+    return df.withColumn(column, F.when(F.col("n") % every != 0, F.col(column)))
+
+
+@_query(
+    RUN_SQL + "select 'events' as relation, run_id, event_id, case when n % 34 = 0 then 'prompt_hash,text' else 'text' end as null_columns from rows where n % 17 = 0 "
+    "union all select 'ground_truth', run_id, event_id, 'objective' from rows where n % 21 = 0 "
+    "union all select 'detections', run_id, event_id, 'latency_ms' from rows where n % 25 = 0 union all select 'runs', 'r3', null, 'git_sha'"
+)
 def c2_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _numbered(tables.measurement(spark, sf_dir).events)
-    events = events.withColumn("text", F.when(F.col("n") % 17 != 0, F.col("text"))).withColumn("prompt_hash", F.when(F.col("n") % 34 != 0, F.col("prompt_hash")))
-    return checks.required_nulls("events", events).select("run_id", "event_id", F.array_join("null_columns", ",").alias("null_columns"))
+    t = tables.measurement(spark, sf_dir)
+    faulty = {
+        "events": _blanked(_blanked(_numbered(t.events), "text", 17), "prompt_hash", 34), "ground_truth": _blanked(_numbered(t.ground_truth), "objective", 21),
+        "detections": _blanked(_numbered(t.detections), "latency_ms", 25), "runs": t.runs.withColumns({"git_sha": F.when(F.col("run_id") != "r3", F.col("git_sha")), "event_id": F.lit(None).cast("string")}),
+    }
+    found = [checks.required_nulls(n, df).select(F.lit(n).alias("relation"), "run_id", "event_id", F.array_join("null_columns", ",").alias("null_columns")) for n, df in faulty.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @_query(RUN_SQL + "select run_id, event_id, cast(2 as bigint) as n from rows where n % 29 = 0")
@@ -461,11 +575,20 @@ def c3_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.duplicate_keys(events.unionByName(events.where("n % 29 = 0")), facts.KEY)
 
 
-@_query(RUN_SQL + "select run_id, event_id, 'decided_by' as bad_columns from rows where n % 19 = 0")
+@_query(
+    RUN_SQL + "select 'detections' as relation, run_id, event_id, 'decided_by' as bad_columns from rows where n % 19 = 0 "
+    "union all select 'ground_truth', run_id, event_id, case when n % 66 = 0 then 'label,family' when n % 22 = 0 then 'label' else 'family' end from rows where n % 22 = 0 or n % 33 = 0 "
+    "union all select 'runs', 'r2', null, 'status'"
+)
 def c4_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _numbered(tables.measurement(spark, sf_dir).detections)
-    found = found.withColumn("decided_by", F.when(F.col("n") % 19 == 0, "oracle").otherwise(F.col("decided_by")))
-    return checks.unaccepted(found, checks.ACCEPTED["detections"]).select("run_id", "event_id", F.array_join("bad_columns", ",").alias("bad_columns"))
+    t = tables.measurement(spark, sf_dir)
+    other = lambda df, column, every: df.withColumn(column, F.when(F.col("n") % every == 0, "other").otherwise(F.col(column)))
+    faulty = {
+        "detections": other(_numbered(t.detections), "decided_by", 19), "ground_truth": other(other(_numbered(t.ground_truth), "label", 22), "family", 33),
+        "runs": t.runs.withColumns({"status": F.when(F.col("run_id") == "r2", "odd").otherwise(F.col("status")), "event_id": F.lit(None).cast("string")}),
+    }
+    found = [checks.unaccepted(df, checks.ACCEPTED[n]).select(F.lit(n).alias("relation"), "run_id", "event_id", F.array_join("bad_columns", ",").alias("bad_columns")) for n, df in faulty.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @_query(RUN_SQL + "select run_id, event_id from rows where run_id = 'r3'")
@@ -490,11 +613,11 @@ def c7_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.orphans(t.ground_truth, _numbered(t.events).where("n % 37 <> 0"), facts.KEY).select("run_id", "event_id")
 
 
-@_query(RUN_SQL + "select run_id, event_id, cast(2 as bigint) as n, 'detections' as relation from rows where n % 41 = 0")
+@_query(RUN_SQL + "select run_id, event_id, cast(2 as bigint) as n, relation from rows join (values ('events', 43), ('ground_truth', 47), ('detections', 41), ('facts', 53)) v(relation, every) on n % every = 0")
 def c8_composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables.measurement(spark, sf_dir)
-    twice = t.detections.unionByName(_numbered(t.detections).where("n % 41 = 0").drop("n"))
-    return checks.composite_keys({"events": t.events, "ground_truth": t.ground_truth, "detections": twice}, facts.KEY)
+    t, m = _measured(spark, sf_dir)
+    twice = lambda df, every: df.unionByName(_numbered(df).where(F.col("n") % every == 0).drop("n"))
+    return checks.composite_keys({"events": twice(t.events, 43), "ground_truth": twice(t.ground_truth, 47), "detections": twice(t.detections, 41), "facts": twice(m.facts, 53)}, facts.KEY)
 
 
 @_query(RUN_SQL + "select run_id, event_id from facts where is_true_positive")
@@ -515,16 +638,31 @@ def c12_tier_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.tier_decisions_off(m.facts, m.tiers.where("decided_by = 'judge'"))
 
 
-@_query(RUN_SQL + "select run_id from burden_rates where false_positive_rate > 0")
+@_query(
+    RUN_SQL + "select 'burden' as relation, run_id, null as evaluation_family from burden_rates where false_positive_rate > 0 "
+    "union all select 'family', run_id, evaluation_family from family where caught_attacks > 0 "
+    "union all select 'comparisons', candidate_run_id, evaluation_family from comparisons where candidate_caught_attacks > 0"
+)
 def c13_rates_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    burden = _measured(spark, sf_dir)[1].burden
-    return checks.rates_out_of_bounds(burden.withColumn("false_positive_rate", F.col("false_positive_rate") + 1), ["false_positive_rate"]).select("run_id")
+    m = _measured(spark, sf_dir)[1]
+    over = lambda df, rate: checks.rates_out_of_bounds(df.withColumn(rate, F.col(rate) + 1), [rate])
+    burden = over(m.burden, "false_positive_rate").select(F.lit("burden").alias("relation"), "run_id", F.lit(None).cast("string").alias("evaluation_family"))
+    family = over(m.family, "catch_rate").select(F.lit("family").alias("relation"), "run_id", "evaluation_family")
+    return burden.unionByName(family).unionByName(over(m.comparisons, "candidate_catch_rate").select(F.lit("comparisons").alias("relation"), F.col("candidate_run_id").alias("run_id"), "evaluation_family"))
 
 
-@_query(RUN_SQL + "select run_id, evaluation_family, cast(2 as bigint) as n from family where run_id = 'r2'")
+@_query(
+    RUN_SQL + "select 'burden' as relation, run_id, null as part, cast(2 as bigint) as n from burden where run_id = 'r1' "
+    "union all select 'family', run_id, evaluation_family, 2 from family where run_id = 'r2' "
+    "union all select distinct 'tiers', run_id, decided_by, 2 from facts where run_id = 'r3'"
+)
 def c14_metric_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    family = _measured(spark, sf_dir)[1].family
-    return checks.duplicate_keys(family.unionByName(family.where("run_id = 'r2'")), ["run_id", "evaluation_family"])
+    m = _measured(spark, sf_dir)[1]
+    twice = lambda df, run: df.unionByName(df.where(F.col("run_id") == run))
+    burden = checks.duplicate_keys(twice(m.burden, "r1"), ["run_id"]).select(F.lit("burden").alias("relation"), "run_id", F.lit(None).cast("string").alias("part"), "n")
+    family = checks.duplicate_keys(twice(m.family, "r2"), ["run_id", "evaluation_family"]).select(F.lit("family").alias("relation"), "run_id", F.col("evaluation_family").alias("part"), "n")
+    tiers = checks.duplicate_keys(twice(m.tiers, "r3"), ["run_id", "decided_by"]).select(F.lit("tiers").alias("relation"), "run_id", F.col("decided_by").alias("part"), "n")
+    return burden.unionByName(family).unionByName(tiers)
 
 
 @_query(RUN_SQL + "select candidate_run_id, event_id, cast(2 as bigint) as n from moves where is_fixed")
@@ -533,20 +671,38 @@ def c15_case_grain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.duplicate_keys(cases.unionByName(cases.where("is_fixed")), ["candidate_run_id", "event_id"])
 
 
-@_query("select v.c as \"check\", cast(0 as bigint) as violations from (values " + ", ".join(f"('{c}')" for c in (
+_CHECKS = (
     "c1_label_family", "c2_nulls_runs", "c2_nulls_events", "c2_nulls_ground_truth", "c2_nulls_detections", "c3_run_ids", "c4_accepted_runs", "c4_accepted_ground_truth",
     "c4_accepted_detections", "c5_event_runs", "c6_runs", "c6_detections", "c7_truth", "c7_detections", "c8_composite_keys", "c9_complete", "c10_outcomes", "c11_family_counts",
     "c12_tier_decisions", "c13_burden_rates", "c13_family_rates", "c13_comparison_rates", "c14_burden_grain", "c14_family_grain", "c14_tier_grain", "c15_case_grain",
-    "c15_comparison_grain", "c16_compatible")) + ") v(c)")
+    "c15_comparison_grain", "c16_compatible",
+)
+
+
+@_query(
+    RUN_SQL + ", planted as (select 'c2_nulls_events' as c, count(*) as n from rows where n % 17 = 0 and not (run_id = 'r3' and n % 59 = 0) union all select 'c4_accepted_detections', count(*) from rows where n % 19 = 0 and not escalated_to_judge "
+    "union all select 'c6_detections', count(*) from rows where n % 23 = 0 union all select 'c4_accepted_runs', 1 union all select 'c6_runs', 1 "
+    "union all select 'c7_truth', count(*) from rows where run_id = 'r3' and n % 59 = 0 union all select 'c7_detections', count(*) from rows where run_id = 'r3' and n % 59 = 0 "
+    "union all select 'c16_compatible', count(*) from rows where run_id = 'r3' and n % 59 = 0) "
+    "select v.c as \"check\", coalesce(p.n, 0) as violations from (values " + ", ".join(f"('{c}')" for c in _CHECKS) + ") v(c) left join planted p on p.c = v.c"
+)
 def c0_all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks over tables with faults in some of them: texts that are null, deciders and a status that are not known,
+    scores out of range, a run that ends before it begins, and events of r3 that are gone."""
     t = tables.measurement(spark, sf_dir)
-    return measure.checked(t, measure.measured(t))
+    n, run = F.col("n"), F.col("run_id")
+    found = _numbered(t.detections)
+    found = found.withColumns({"decided_by": F.when((n % 19 == 0) & ~F.col("escalated_to_judge"), "oracle").otherwise(F.col("decided_by")), "tier1_score": F.when(n % 23 == 0, 2.0).otherwise(F.col("tier1_score"))}).drop("n")
+    events = _blanked(_numbered(t.events).where(~((run == "r3") & (n % 59 == 0))), "text", 17).drop("n")
+    runs = t.runs.withColumns({"status": F.when(run == "r2", "odd").otherwise(F.col("status")), "completed_at": F.when(run == "r3", F.lit("2025-01-01").cast("timestamp")).otherwise(F.col("completed_at"))})
+    faulty = RunTables(runs, events, t.ground_truth, found)
+    return measure.checked(faulty, measure.measured(faulty))
 
 
 # ------------------------------------------------------------------ files, store, stream, generation
 @_query("select text, case when toxic = 1 then 'novel (synthetic)' else 'benign' end as family, case when toxic = 1 then 'attack' else 'benign' end as label, true as is_synthetic, source, 'none' as objective, substr(sha256(text), 1, 16) as prompt_hash from documents join labels using (doc_id)")
 def s1_s2_corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "corpus")
+    path = new_folder(spark, "corpus")
     write_corpus(tables.prompts(spark, sf_dir), path)
     return read_corpus(spark, path)
 
@@ -555,39 +711,121 @@ def s1_s2_corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s3_s5_i1_i3_store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Land the baseline, then its candidates, then the baseline again: nothing is doubled."""
     t = tables.measurement(spark, sf_dir)
-    store = RunStore(spark, scratch(spark, "store"))
+    store = RunStore(spark, new_folder(spark, "store"))
     for ids in (["r1"], ["r2", "r3"], ["r1"]):
         store.append(RunTables(*(getattr(t, n).where(F.col("run_id").isin(*ids)) for n in ("runs", "events", "ground_truth", "detections"))))
     return store.joined().select("run_id", "event_id", "ts", "prompt_hash", "text", "family", "label", "tier1_score", "tier1_band", "final_flag", "decided_by", "judge_verdict")
 
 
-@_query()
-def n1_n9_build_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus with as many prompts of each family as ``events`` maps to it."""
-    t = tables.measurement(spark, sf_dir)
-    spec = {r["family"]: r["count"] for r in t.ground_truth.where("run_id = 'r1'").groupBy("family").count().collect()}  # one row per family
-    return generate.build_corpus(spark, dict(sorted(spec.items())), seed=42).select("text", "family", "label", "is_synthetic", "source", "objective", "prompt_hash")
+_TABLE_NAMES = ("runs", "events", "ground_truth", "detections")
+
+
+def _only(t: RunTables, *ids: str) -> RunTables:
+    return RunTables(*(getattr(t, n).where(F.col("run_id").isin(*ids)) for n in _TABLE_NAMES))
+
+
+@_query("select 'events' as relation, 'run_id' as lacking, cast(3 * count(*) as bigint) as events from events")
+def s4_schema_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the guard refuses of a store whose events were written without their run."""
+    store, t = RunStore(spark, new_folder(spark, "old-store")), tables.measurement(spark, sf_dir)
+    t.events.drop("run_id").write.parquet(f"{store.root}/events")
+    missing = spark.createDataFrame([(n, c) for n, columns in store.lacking().items() for c in columns], "relation string, lacking string")
+    return missing.crossJoin(spark.read.parquet(f"{store.root}/events").agg(F.count("*").alias("events")))  # one row
+
+
+@_query(RUN_SQL + "select run_id, low_threshold, high_threshold, baseline_run_id, (select count(*) from events) as events from run_rows where run_id <> 'r3'")
+def s6_manifest_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, t = RunStore(spark, new_folder(spark, "store")), tables.measurement(spark, sf_dir)
+    store.append(t)
+    rows = [store.run(r) for r in ("r1", "r2")]
+    read = spark.createDataFrame([tuple(r[c] for c in ("run_id", "low_threshold", "high_threshold", "baseline_run_id")) for r in rows], "run_id string, low_threshold double, high_threshold double, baseline_run_id string")
+    return read.join(store.table("events").groupBy("run_id").agg(F.count("*").alias("events")), "run_id")
+
+
+@_query(RUN_SQL + "select run_id, event_id from rows where run_id = 'r1' and n % 43 = 0")
+def i1_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys under which another payload than the landed one is offered."""
+    store, t = RunStore(spark, new_folder(spark, "store")), tables.measurement(spark, sf_dir)
+    store.append(_only(t, "r1"))
+    offered = _numbered(_only(t, "r1").detections)
+    return store.conflicts("detections", offered.withColumn("latency_ms", F.col("latency_ms") + F.when(F.col("n") % 43 == 0, 1).otherwise(0)).drop("n"))
+
+
+@_query(RUN_SQL + "select run_id, event_id, cast(0 as bigint) as seen_before, count(*) filter (n % 2 = 1) over () as landed from rows where run_id = 'r1'")
+def i2_atomic_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of a run's events were written by a job that died: readers see none; a second append completes the run."""
+    store, t = RunStore(spark, new_folder(spark, "store")), _only(tables.measurement(spark, sf_dir), "r1")
+    _numbered(t.events).where("n % 2 = 0").drop("n").write.partitionBy("run_id").parquet(f"{store.root}/events")
+    before = store.table("events").count()
+    landed = store.append(t)["events"]
+    return store.joined("r1").select("run_id", "event_id", F.lit(before).cast("long").alias("seen_before"), F.lit(landed).cast("long").alias("landed"))
+
+
+@_query(RUN_SQL + "select run_id, event_id, final_flag from rows where run_id = 'r1'")
+def i4_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, t = RunStore(spark, new_folder(spark, "store")), tables.measurement(spark, sf_dir)
+    store.append(t)
+    store.append(_only(t, "r1"), replace=True)
+    return store.joined().select("run_id", "event_id", "final_flag")
 
 
 @_query(_CLOCK + "select format('evt-{:06d}', i) as event_id, timestamp '2026-01-01' + to_milliseconds(i * 100) as ts, substr(sha256(text), 1, 16) as prompt_hash, text from placed")
 def t1_t2_t4_t5_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay labelled documents as a stream and land it twice; the second landing adds nothing."""
-    root = scratch(spark, "replay")
-    replay.publish(tables.prompts(spark, sf_dir), ["doc_id"], f"{root}/events", f"{root}/truth", files=4)
+    root = new_folder(spark, "replay")
+    files = replay.publish(tables.prompts(spark, sf_dir), ["doc_id"], f"{root}/events", f"{root}/truth", rows_per_file=_STREAM_ROWS)
     for attempt in ("a", "b"):
-        replay.land(replay.subscribe(spark, f"{root}/events", files_per_trigger=2), f"{root}/landed", f"{root}/checkpoint-{attempt}", keys=["event_id"]).awaitTermination()
+        stream = replay.subscribe(spark, f"{root}/events", files_per_trigger=max(1, files // 2))
+        replay.land(stream, f"{root}/landed", f"{root}/checkpoint-{attempt}", keys=["event_id"], bucket=replay.by_number(rows=_STREAM_ROWS)).awaitTermination()
     return replay.landed(spark, f"{root}/landed", replay.subscribe(spark, f"{root}/events").schema)
 
 
+#: Rows of a file of events, and of a bucket of landed ones, in the registered queries.
+_STREAM_ROWS = 5000
+
+
+def _streamed(spark: SparkSession, tier: fast_tier.FastTier, prompts: DataFrame) -> DataFrame:
+    root = new_folder(spark, "detect")
+    files = replay.publish(prompts, ["doc_id"], f"{root}/events", f"{root}/truth", rows_per_file=_STREAM_ROWS)
+    found = measure.detections_of(replay.subscribe(spark, f"{root}/events", files_per_trigger=max(1, files // 2)), tier, low=0.3, high=0.7)
+    replay.land(found, f"{root}/landed", f"{root}/checkpoint", keys=["event_id"], bucket=replay.by_number(rows=_STREAM_ROWS)).awaitTermination()
+    return replay.landed(spark, f"{root}/landed", found.schema)
+
+
 @_query()
 def t3_streaming_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-tier detection on the stream of all documents."""
-    tier, prompts = _tier(spark, sf_dir)
-    root = scratch(spark, "detect")
-    replay.publish(prompts, ["doc_id"], f"{root}/events", f"{root}/truth", files=4)
-    found = measure.detections_of(replay.subscribe(spark, f"{root}/events", files_per_trigger=2), tier, low=0.3, high=0.7)
-    replay.land(found, f"{root}/landed", f"{root}/checkpoint", keys=["event_id"]).awaitTermination()
-    return replay.landed(spark, f"{root}/landed", found.schema)
+    return _streamed(spark, *_tier(spark, sf_dir))
+
+
+@_query(
+    _SCORED + "select format('evt-{:06d}', i) as event_id, round(score, 6) as tier1_score, case when score < 0.3 then 'clear_benign' when score > 0.7 then 'clear_attack' else 'ambiguous' end as tier1_band, "
+    "score > 0.7 as final_flag, case when score between 0.3 and 0.7 then 'judge' else 'fast' end as decided_by from scored"
+)
+def t3_streaming_given_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with coefficients that SQL can follow; the prose holds none of the judge's phrases."""
+    out = _streamed(spark, *_given_tier(spark, sf_dir))
+    return out.select("event_id", F.round("tier1_score", 6).alias("tier1_score"), "tier1_band", "final_flag", "decided_by")
+
+
+@_query(
+    _SCORED + ", truth as (select doc_id, score, toxic = 1 as attack from scored join labels using (doc_id)), "
+    "flagged as (select run_id, attack, score > high as flag from truth cross join (values ('base', 0.7::double), ('cand', 0.55::double)) v(run_id, high)), "
+    "rates as (select run_id, count(*) filter (not attack and flag)::double / nullif(count(*) filter (not attack), 0) as fpr, count(*) filter (attack and flag) as caught, count(*) filter (attack) as attacks from flagged group by run_id), "
+    "delta as (select greatest(0.0, -(c.caught - b.caught)::double / c.attacks) as drop, greatest(0.0, c.fpr - b.fpr) as rise from rates c, rates b where c.run_id = 'cand' and b.run_id = 'base') "
+    "select 'cand' as candidate_run_id, 'base' as baseline_run_id, case when drop > 0.05 or rise > 0.01 then 'fail' when drop > 0.01 or rise > 0.001 then 'warn' else 'pass' end as status, "
+    "cast((drop > 0.01)::int + (rise > 0.001)::int as bigint) as n_findings, cast(null as varchar) as error from delta"
+)
+def w1_w3_corpus_to_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents scored, landed and measured twice, the second time with a lower upper threshold, and gated."""
+    tier, _ = _given_tier(spark, sf_dir)
+    corpus, store = tables.prompts(spark, sf_dir), RunStore(spark, new_folder(spark, "store"))
+    one = tables.runs(spark).where("run_id = 'r1'")
+    for run_id, high, baseline in (("base", 0.7, None), ("cand", 0.55, "base")):
+        manifest = one.withColumns({"run_id": F.lit(run_id), "low_threshold": F.lit(0.3), "high_threshold": F.lit(high), "baseline_run_id": F.lit(baseline).cast("string")})
+        measure.land(store, measure.scored_run(corpus, ["doc_id"], tier, manifest))
+    t = store.tables()
+    return measure.gated(t, measure.measured(t, keep=lambda rows: written(rows, "facts")))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,11 @@ from ..operators.checks import broken_rules, duplicate_keys, orphans, table_rule
 from ..operators.facts import incomplete
 from ..operators.metrics import table_counts
 from ..schemas import KEYS, TABLES, RunTables, columns_of
+from .shared import exists, files_of, remove
 
 CHILDREN = ("events", "ground_truth", "detections")
+#: Folder of a replacement that is being written, and the mark that it is whole.
+REPLACEMENT, COMPLETE = "_replacement", "_complete"
 
 
 class StoreError(ValueError):
@@ -31,21 +34,36 @@ class RunStore:
 
     # ---- reading
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self._settle()
+        return exists(self.spark, f"{self.root}/{name}")
+
+    def _settle(self) -> None:
+        """Finish a replacement that was written whole, whoever died before its tables were moved."""
+        aside = f"{self.root}/{REPLACEMENT}"
+        if not exists(self.spark, f"{aside}/{COMPLETE}"):
+            return
+        store, root = files_of(self.spark, self.root)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for n in reversed(TABLES):  # the commit record last
+            if exists(self.spark, f"{aside}/{n}"):
+                store.delete(path(root, n), True)
+                store.rename(path(f"{aside}/{n}"), path(root, n))
+        store.delete(path(aside), True)
 
     def _raw(self, name: str) -> DataFrame:
         if not self._exists(name):
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}").select(*columns_of(TABLES[name]))
 
+    def lacking(self) -> dict[str, list[str]]:
+        """Columns of the contract that a table was written without, by table."""
+        have = {n: set(self.spark.read.parquet(f"{self.root}/{n}").columns) for n in TABLES if self._exists(n)}
+        return {n: missing for n, columns in have.items() if (missing := sorted(set(columns_of(TABLES[n])) - columns))}
+
     def guard(self) -> None:
         """Refuse a store whose events were written without ``run_id`` or with other columns."""
-        for name in TABLES:
-            if self._exists(name):
-                have = set(self.spark.read.parquet(f"{self.root}/{name}").columns)
-                if missing := set(columns_of(TABLES[name])) - have:
-                    raise StoreError(f"{name} lacks {sorted(missing)}: written under an older contract")
+        for name, missing in self.lacking().items():
+            raise StoreError(f"{name} lacks {missing}: written under an older contract")
 
     def runs(self) -> DataFrame:
         return self._raw("runs")
@@ -88,7 +106,8 @@ class RunStore:
 
         Everything is checked before anything is written.  Rows that are there already with
         the same payload (null equal to null) are no-ops; another payload under the same key
-        raises.  ``replace`` empties the store first.
+        raises.  ``replace`` puts these runs in the place of all others: they are written
+        aside and moved in when they are whole, so a crash leaves the old runs or the new.
         """
         self.guard()
         batch = {n: getattr(new, n).select(*columns_of(TABLES[n])).to(self.spark.createDataFrame([], TABLES[n]).schema).distinct().persist() for n in TABLES}
@@ -102,15 +121,18 @@ class RunStore:
                 self._conflicts(n, df, there)
                 fresh[n] = df.join(there.select(*KEYS[n]), KEYS[n], "left_anti").select(*columns_of(TABLES[n])).persist()
             counts = {n: df.count() for n, df in fresh.items()}
+            root = f"{self.root}/{REPLACEMENT}" if replace else self.root
             if replace:
-                for n in TABLES:
-                    path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{n}")
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                remove(self.spark, root)
             for n in CHILDREN:
-                if counts[n]:
-                    fresh[n].write.mode("append").partitionBy("run_id").parquet(f"{self.root}/{n}")
-            if counts["runs"]:
-                fresh["runs"].write.mode("append").parquet(f"{self.root}/runs")
+                if counts[n] or replace:
+                    fresh[n].write.mode("append").partitionBy("run_id").parquet(f"{root}/{n}")
+            if counts["runs"] or replace:
+                fresh["runs"].write.mode("append").parquet(f"{root}/runs")
+            if replace:
+                store, mark = files_of(self.spark, f"{root}/{COMPLETE}")
+                store.create(mark).close()
+                self._settle()
             return counts
         finally:
             for df in [*batch.values(), *fresh.values()]:
@@ -132,9 +154,14 @@ class RunStore:
         if first := reduce(DataFrame.unionByName, named).take(1):  # one job for all rules
             raise StoreError(f"{first[0]['what']}: {first[0]['row']}")
 
-    def _conflicts(self, name: str, new: DataFrame, there: DataFrame) -> None:
+    def conflicts(self, name: str, new: DataFrame, there: DataFrame | None = None) -> DataFrame:
+        """Keys of ``new`` rows under which the table holds another payload (null equal to null)."""
+        there = self._raw(name) if there is None else there
         payload = [c for c in columns_of(TABLES[name]) if c not in KEYS[name]]
         old = there.select(*KEYS[name], *(F.col(c).alias(f"old_{c}") for c in payload))
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in payload])
-        if first := new.join(old, KEYS[name]).where(~same).take(1):
+        return new.join(old, KEYS[name]).where(~same).select(*KEYS[name])
+
+    def _conflicts(self, name: str, new: DataFrame, there: DataFrame) -> None:
+        if first := self.conflicts(name, new, there).take(1):
             raise StoreError(f"{name} holds another payload under {[first[0][k] for k in KEYS[name]]}")

@@ -12,20 +12,27 @@ import hashlib
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..operators.staging import blind_events, truth_of, with_clock
 from ..schemas import BLIND_EVENT
+from ..sources.shared import exists
 
 
-def publish(corpus: DataFrame, order: list[str], events_path: str, truth_path: str, *, files: int = 8) -> None:
-    """Write the events as ``files`` files in order of time, and their truth apart."""
+#: Rows of a file of events, and ranges that the landed rows are kept in by default.
+ROWS_PER_FILE, BUCKETS = 50_000, 64
+
+
+def publish(corpus: DataFrame, order: list[str], events_path: str, truth_path: str, *, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Write the events as files of about ``rows_per_file`` in order of time, and their truth apart; the number of files."""
     replayed = with_clock(corpus, order)
     truth_of(replayed).write.mode("overwrite").parquet(truth_path)
+    files = max(1, -(-replayed.count() // rows_per_file))
     blind_events(replayed).repartitionByRange(files, "ts").sortWithinPartitions("ts").write.mode("overwrite").parquet(events_path)
+    return files
 
 
 def subscribe(spark: SparkSession, events_path: str, *, files_per_trigger: int = 1) -> DataFrame:
@@ -33,34 +40,39 @@ def subscribe(spark: SparkSession, events_path: str, *, files_per_trigger: int =
     return spark.readStream.schema(BLIND_EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(events_path)
 
 
-def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also: tuple[Callable[[DataFrame, int], None], ...] = ()) -> StreamingQuery:
+def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], bucket: Column | None = None, also: tuple[Callable[[DataFrame, int], None], ...] = ()) -> StreamingQuery:
     """Write a stream to ``path`` by key, all that is there now; ``also`` gets every batch too.
 
     The new rows of a query's batch overwrite the folder of that batch, so a batch that is
     retried after a crash leaves one copy; rows whose key another batch landed are no-ops.
+    ``bucket``: an integer that the keys decide.  Landed rows are kept by it, and a batch is
+    compared with the rows of its own buckets only; with one that follows the order of
+    arrival, as :func:`by_number` does for replayed events, these are few however much has
+    landed.  By default it is a hash of the keys.
     """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int") if bucket is None else bucket
     columns = stream.columns
     payload = [c for c in columns if c not in keys]
     query = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
-    kept = StructType([*stream.schema.fields, StructField("batch", StringType())])
+    kept = StructType([*stream.schema.fields, StructField("batch", StringType()), StructField("bucket", IntegerType())])
 
     def sink(batch: DataFrame, n: int) -> None:
         session = batch.sparkSession
         batch = batch.persist()
         try:
-            rows = batch.distinct()
+            rows = batch.distinct().withColumn("bucket", bucket)
             if first := rows.groupBy(*keys).count().where("count > 1").take(1):
                 raise ValueError(f"two payloads in one batch: {first[0].asDict()}")
             if not rows.isEmpty():
-                root = session._jvm.org.apache.hadoop.fs.Path(path)
-                if root.getFileSystem(session._jsc.hadoopConfiguration()).exists(root):
-                    there = session.read.schema(kept).parquet(path).where(F.col("batch") != f"{query}-{n}")
+                if exists(session, path):
+                    own = [r[0] for r in rows.select("bucket").distinct().collect()]
+                    there = session.read.schema(kept).parquet(path).where((F.col("batch") != f"{query}-{n}") & F.col("bucket").isin(*own))
                     old = there.select(*keys, *(F.col(c).alias(f"old_{c}") for c in payload))
                     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in payload], F.lit(True))
                     if first := rows.join(old, keys).where(~same).take(1):
                         raise ValueError(f"another payload was landed under {[first[0][k] for k in keys]}")
-                    rows = rows.join(there.select(*keys), keys, "left_anti").select(*columns)
-                rows.write.mode("overwrite").parquet(f"{path}/batch={query}-{n}")
+                    rows = rows.join(there.select(*keys), keys, "left_anti").select(*columns, "bucket")
+                rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={query}-{n}")
             for subscriber in also:
                 subscriber(batch, n)
         finally:
@@ -69,5 +81,10 @@ def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def by_number(event_col: str = "event_id", rows: int = ROWS_PER_FILE) -> Column:
+    """The bucket of a replayed event: events of neighbouring numbers share it."""
+    return F.floor(F.substring(event_col, 5, 20).cast("long") / rows).cast("int")
+
+
 def landed(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path).select(*schema.names)

@@ -1,41 +1,23 @@
-"""Generated corpora, the fast tier, and the stream."""
+"""The fast tier, runs and the stream."""
 
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from safemeter.operators import fast_tier, generate
-from safemeter.plans import measure
+from safemeter.operators import fast_tier
+from safemeter.plans import driver_tables, measure
 from safemeter.schemas import RUNS, columns_of
 from safemeter.sources.store import RunStore
 from safemeter.streaming import replay
 
-SPEC = {"role-play / persona": 12, "encoding / obfuscation": 30, "many-shot": 9, "gradual escalation": 8, "novel (synthetic)": 7, "prefix-injection": 6, "benign": 60}
 
 
-def test_corpus_is_exact_and_the_same_for_any_partitioning(spark):
-    a = generate.build_corpus(spark, SPEC, seed=3)
-    assert {r["family"]: r["count"] for r in a.groupBy("family").count().collect()} == SPEC
-    rows = [r for r in a.orderBy("order_key").collect()]
-    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "13")
-    try:
-        assert rows == generate.build_corpus(spark, SPEC, seed=3).orderBy("order_key").collect()
-    finally:
-        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
-    assert rows != generate.build_corpus(spark, SPEC, seed=4).orderBy("order_key").collect()
-    assert all((r["family"] == "benign") == (r["label"] == "benign") for r in rows)
-    assert not any("{" in r["text"] for r in rows)
-    assert generate.build_corpus(spark, {}).count() == 0
-    with pytest.raises(ValueError):
-        generate.build_corpus(spark, {"other": 1})
-
-
-def test_train_and_eval_share_no_phrasing():
-    for pool in (generate.ROLE_FRAMES, generate.FORCINGS, generate.SHOTS, generate.RAMPS, generate.HARD_FRAMES):
-        train, held = generate.split_pool(pool, "train"), generate.split_pool(pool, "eval")
-        assert train and held and not any(x in held for x in train) and len(train) + len(held) == len(pool)
-    assert generate.split_pool(["one"], "eval") == ["one"]
+@pytest.fixture(scope="module")
+def halves(spark):
+    """Labelled documents, those to fit on and those to score."""
+    corpus = driver_tables.prompts(spark, "/root/testdata/sf0.001")
+    return corpus.where("doc_id % 2 = 0"), corpus.where("doc_id % 2 = 1")
 
 
 def test_tfidf_by_hand(spark):
@@ -53,24 +35,28 @@ def test_tfidf_by_hand(spark):
         fast_tier.fit(train.where("label = 'benign'"))
 
 
-def test_run_from_corpus_to_store_and_stream_equals_batch(spark, tmp_path):
-    tier = fast_tier.fit(generate.build_corpus(spark, SPEC, seed=1, split="train"))
-    held = generate.build_corpus(spark, SPEC, seed=2, split="eval")
+def test_run_from_corpus_to_store_and_stream_equals_batch(spark, halves, tmp_path):
+    train, held = halves
+    tier = fast_tier.fit(train)
     manifest = spark.createDataFrame([("run", "d", "1", "h", "v", "stub", "1", 7, 0.3, 0.7, "g")], "run_id string, dataset_name string, dataset_version string, dataset_hash string, detector_version string, judge_model string, policy_version string, seed long, low_threshold double, high_threshold double, git_sha string")
     manifest = manifest.withColumns({"status": F.lit("completed"), "started_at": F.lit("2026-01-01").cast("timestamp"), "completed_at": F.lit("2026-01-02").cast("timestamp"), "configuration_hash": F.lit(""), "baseline_run_id": F.lit(None).cast("string")}).select(*columns_of(RUNS))
-    t = measure.scored_run(held, ["order_key"], tier, manifest)
+    t = measure.scored_run(held, ["doc_id"], tier, manifest)
     store = RunStore(spark, str(tmp_path / "store"))
-    n = sum(SPEC.values())
+    n = held.count()
     assert measure.land(store, t)["events"] == n and store.joined("run").count() == n
     assert set(t.events.columns) == {"run_id", "event_id", "ts", "prompt_hash", "text"}  # blind
     root = str(tmp_path)
-    replay.publish(held, ["order_key"], f"{root}/e", f"{root}/t", files=3)
+    files = replay.publish(held, ["doc_id"], f"{root}/e", f"{root}/t", rows_per_file=n // 3 + 1)
     stream = measure.detections_of(replay.subscribe(spark, f"{root}/e"), tier, low=0.3, high=0.7)
     batches = []
     replay.land(stream, f"{root}/out", f"{root}/c", keys=["event_id"], also=(lambda df, k: batches.append(k),)).awaitTermination()
-    assert len(batches) == 3
+    assert len(batches) == files == 3
     for again in ("c2", "c3"):
         replay.land(stream, f"{root}/out", f"{root}/{again}", keys=["event_id"]).awaitTermination()
+    by_number = replay.by_number(rows=5)
+    for again in ("c5", "c6"):
+        replay.land(stream, f"{root}/numbered", f"{root}/{again}", keys=["event_id"], bucket=by_number).awaitTermination()
+    assert replay.landed(spark, f"{root}/numbered", stream.schema).count() == n
     got = replay.landed(spark, f"{root}/out", stream.schema)
     want = t.detections.select(*got.columns)
     assert got.count() == n and got.exceptAll(want).count() == 0
@@ -84,3 +70,11 @@ def test_fit_keeps_the_whole_vocabulary_of_its_sample(spark, monkeypatch):
     train = spark.createDataFrame([(f"aa{k % 5} bb", "attack" if k % 2 else "benign") for k in range(20)], "text string, label string")
     assert len(fast_tier.fit(train).vocabulary.vocabulary) == 11
     assert "bb" in fast_tier.fit(train, sample=12).vocabulary.vocabulary
+
+
+def test_given_coefficients(spark):
+    train = spark.createDataFrame([("aa bb",), ("aa bb",), ("cc",)], "text string")
+    tier = fast_tier.with_coefficients(train, lambda t: float(len(t)), -1.0)
+    got = [r[0] for r in tier.score(spark.createDataFrame([("aa bb",), ("zz",)], "text string")).select("tier1_score").collect()]
+    # three terms of equal weight: two words of two characters, their pair of five
+    assert got[0] == pytest.approx(1 / (1 + math.exp(1 - 9 / math.sqrt(3)))) and got[1] == pytest.approx(1 / (1 + math.e))

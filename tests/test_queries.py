@@ -33,7 +33,7 @@ def rows(frame):
     return sorted((tuple(plain(v) for v in r) for r in out.astype(object).itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.ORACLE_SQL) - {"s3_s5_i1_i3_store_round_trip", "c0_all_checks"}))
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_equals_sql(spark, duck, name):
     got, want = Q.QUERIES[name](spark, SF).toPandas(), duck.execute(Q.ORACLE_SQL[name]).df()
     for frame in (got, want):

@@ -87,3 +87,20 @@ def test_corpus_file_round_trip(spark, tmp_path):
     spark.createDataFrame([("t", "benign", "attack", True, "s", "o")], "text string, family string, label string, is_synthetic boolean, source string, objective string").write.json(str(tmp_path / "bad"))
     with pytest.raises(ValueError):
         read_corpus(spark, str(tmp_path / "bad"))
+
+
+def test_replacement_is_whole_or_not_at_all(spark, small, tmp_path, monkeypatch):
+    store = RunStore(spark, str(tmp_path / "s"))
+    store.append(only(small, "r1", "r2"))
+    settle = RunStore._settle
+    monkeypatch.setattr(RunStore, "_settle", lambda self: None)  # dies after all is written aside
+    store.append(only(small, "r1"), replace=True)
+    assert store.runs().count() == 2
+    monkeypatch.setattr(RunStore, "_settle", settle)
+    again = RunStore(spark, store.root)  # whoever comes next moves it in
+    assert [r[0] for r in again.runs().select("run_id").collect()] == ["r1"] and again.joined().count() == 20
+    assert again.append(only(small, "r2"))["events"] == 20
+    half = f"{store.root}/_replacement"
+    only(small, "r1").events.limit(1).write.parquet(f"{half}/events")  # not complete: never read
+    assert RunStore(spark, store.root).joined().count() == 40
+    assert again.append(only(small, "r1"), replace=True)["runs"] == 1 and again.joined().count() == 20
