@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: Places hashed together: their arrays stay in the processor's cache.
 _CHUNK = 1 << 15
 

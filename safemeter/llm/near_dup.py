@@ -31,7 +31,7 @@ SUBTREE, MOST_IN_PAIR = 8192, 65536
 LEAST_LEVELS, STEP = 6, 4
 #: Node pairs with no more pairs of fingerprints than this are compared outright.
 LEAF_PAIRS = 48
-_CHUNK = 1 << 18
+_CHUNK = 1 << 16
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -141,7 +141,7 @@ def linked_pairs(left: np.ndarray, right: np.ndarray, level: int, spent: int, bu
 
 def _slices(pairs: np.ndarray) -> Iterator[slice]:
     """Cuts of the node pairs into runs of a bounded number of fingerprint pairs."""
-    block = np.cumsum(pairs) // (1 << 20)
+    block = np.cumsum(pairs) // (1 << 18)
     edges = np.flatnonzero(np.diff(block)) + 1
     bounds = [0, *edges.tolist(), len(pairs)]
     yield from (slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b > a)
@@ -288,6 +288,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 SIMILAR_WORDS, SIMILAR = 5, (4, 5)
 #: MinHash bands and rows: a pair of similarity 0.8 shares none of the bands with probability 0.0004.
 BANDS, ROWS = 20, 5
+#: Rows whose texts are taken out of Arrow at a time.
+_ROWS = 256
 
 
 def shingles(text: str | None, size: int) -> set[bytes]:
@@ -313,10 +315,12 @@ def _sketched(docs: DataFrame, *, id_col: str, text_col: str, size: int, seed: i
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            fp = np.fromiter((fingerprint(t, size, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
-            bands = [sketch(t, size, seed) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], [id_col, "node", "fingerprint", "bands"])
+            for k in range(0, b.num_rows, _ROWS):
+                part = b.slice(k, _ROWS)
+                texts = part.column(2).to_pylist()
+                fp = np.fromiter((fingerprint(t, size, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
+                bands = [sketch(t, size, seed) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], [id_col, "node", "fingerprint", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = docs.select(F.col(id_col), _text_node(text_col).alias("node"), text_or_empty(text_col).alias("t"))
