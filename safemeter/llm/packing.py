@@ -73,7 +73,8 @@ def packed(lengths: DataFrame, *, id_col: str = "doc_id", length_col: str = "n_t
     ``max_length`` and so is cut), ``start``, ``length``, ``bucket``, ``padded_length``,
     ``batch`` (dense over all buckets) and ``slot`` in the batch.
 
-    A batch has at most ``token_budget // padded_length`` sequences, one at least.  Null or
+    Which sequences of a bucket share a batch follows the order in which the input was read:
+    another split of the same rows gives other batches of the same sizes.  A batch has at most ``token_budget // padded_length`` sequences, one at least.  Null or
     zero length gives one empty sequence, in the first bucket.  Ties and repeated rows are
     packed each.  An empty table gives an empty result.  Other columns are not read.
     """

@@ -212,3 +212,33 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
             yield b.filter(pa.array(keep))
 
     return docs.mapInArrow(good, docs.schema)
+
+
+JUDGED_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+base as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines from w),
+places as (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w where len(w) >= 3),
+threes as (select doc_id, i, count(*) over (partition by doc_id, w[i:i + 2]) as often from places),
+covered as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest(range(i, i + 3)) as p from threes where often > 1) group by doc_id),
+b as (select doc_id, hex(encode(t)) as h from d),
+starts as (select doc_id, h, unnest(range(0, length(h) // 2 - {NGRAM - 1})) as i from b where length(h) >= {2 * NGRAM}),
+grams as (select doc_id, substr(h, 2 * i + 1, {2 * NGRAM}) as g, count(*) as n from starts group by 1, 2),
+placed as (
+  select doc_id, cast((cast(cast('0x' || g as ubigint) as hugeint) * 11400714819323198485 % 18446744073709551616) // 281474976710656 % {BUCKETS} as int) as bucket, sum(n) as n from grams group by 1, 2),
+good as (select doc_id from labels where doc_id is not null group by doc_id having bool_and(coalesce(quality = 1 and coalesce(toxic, 0) = 0, false))),
+counts as (select bucket, sum(n) as raw, coalesce(sum(n) filter (doc_id in (select doc_id from good)), 0) as target from placed group by bucket),
+sums as (select sum(raw) as raws, sum(target) as targets from counts),
+ratio as (
+  select bucket, case when targets = 0 then 0 else cast(round((ln((target + {SMOOTHING}::double) / (targets + {SMOOTHING * BUCKETS}::double)) - ln((raw + {SMOOTHING}::double) / (raws + {SMOOTHING * BUCKETS}::double))) * {SCALE}) as bigint) end as r
+  from counts cross join sums),
+score as (select doc_id, cast(sum(n) as bigint) as n_grams, cast(sum(n * r) as bigint) as llr_sum from placed join ratio using (bucket) group by doc_id),
+judged as (
+  select *, coalesce(c.n_repeat_words, 0) as repeated from base left join covered c using (doc_id) left join score using (doc_id)),
+failed as (select *, n_words < {MIN_WORDS} or 100 * repeated > {MAX_REPEATED_PERCENT} * n_words as base_failed from judged)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, cast(repeated as bigint) as n_repeat_words, base_failed,
+  not base_failed and coalesce(llr_sum, 0) >= {round(THRESHOLD * SCALE)} * coalesce(n_grams, 0) as kept, llr_sum::double / n_grams / {float(SCALE)}::double as llr
+from failed
+"""

@@ -91,6 +91,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality.JUDGED_SQL,
     "op5_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
     "op7_chat_formatting": chat.ROTATED_SQL,
     "op10_suffix_array_dedup": suffix_dedup.DEDUP_SQL,

@@ -175,7 +175,8 @@ def sharded(docs: DataFrame, *, shards: int = SHARDS, id_col: str = "doc_id", te
     is as small as that allows; within it the other cuts lie near equal shares.  Null text
     counts as empty and so goes with the empty texts.  Repeated rows each get a slot.  With
     fewer groups than shards, some shards are empty.  An empty table gives an empty result.
-    Other columns are not read.
+    Other columns are not read.  The shard of a text hangs on the texts alone; the slots in a
+    shard follow the order in which the input was read.
     """
     t = text_or_empty(text_col)
     rows = docs.select(
