@@ -234,14 +234,14 @@ def links(fingerprints: DataFrame, *, budget: int = BITS) -> DataFrame:
 
 
 # ---------------------------------------------------------------- components
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node``, ``root`` (smallest node reachable) for every node of ``edges`` (columns a, b, both long).
 
     Alternates large-star and small-star until the links no longer change; every round
     is written, so a lost executor never sends the work back to the first round, and the
     round before is deleted.
     """
-    scratch, turn, state = Scratch(edges.sparkSession, "components"), 0, None
+    scratch, turn, state = scratch or Scratch(edges.sparkSession, "components"), 0, None
     links = scratch.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links-0")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -264,7 +264,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- the operator
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, budget: int = BITS, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, budget: int = BITS, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id, ``fingerprint`` (long) and ``component_id``.
 
     component_id is the smallest id among the documents reachable over links of at most
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     so a component of null ids only has component_id null.  Repeated rows give repeated
     rows.  An empty table gives an empty result.  Other columns are not read.
     """
-    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    scratch = scratch or Scratch(docs.sparkSession, "near-duplicates")
     rows = scratch.written(with_fingerprint(docs, id_col=id_col, text_col=text_col, size=size, seed=seed), "fingerprints")
     distinct = scratch.written(rows.groupBy("fingerprint").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fingerprint"), budget=budget))
@@ -288,6 +288,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 SIMILAR_WORDS, SIMILAR = 5, (4, 5)
 #: MinHash bands and rows: a pair of similarity 0.8 shares none of the bands with probability 0.0004.
 BANDS, ROWS = 20, 5
+#: Texts of a band that are compared with one another, or with as many others, in one task; shingles counted at a time.
+BLOCK_ROWS, _COLUMNS = 512, 2048
 #: Rows whose texts are taken out of Arrow at a time.
 _ROWS = 256
 
@@ -331,11 +333,11 @@ def _text_node(text_col: str):
     return F.xxhash64(text_or_empty(text_col))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Those of the ``pairs`` (nodes a, b) whose texts' sets of shingles are similar, counted exactly."""
-    need = written(pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct(), "needed")
+    need = scratch.written(pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct(), f"needed-{label}")
     texts = by_id(docs.select(_text_node(text_col).alias("node"), text_or_empty(text_col).alias("t")), need, "node", "left_semi").dropDuplicates(["node"])
-    texts = written(texts, "texts")
+    texts = scratch.written(texts, f"texts-{label}")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,53 +349,127 @@ def _verified(pairs: DataFrame, docs: DataFrame, *, text_col: str, size: int, si
                 near.append(similarity[1] * shared >= similarity[0] * (len(x) + len(y) - shared))
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(of, "a long, b long"), "verified")
+    out = scratch.written(both.select("a", "b", "ta", "tb").mapInArrow(of, "a long, b long"), f"verified-{label}")
+    scratch.drop(f"texts-{label}")
+    return out
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each of ``left`` (arrays without repeats) shares with each of ``right``."""
+    parts = [*left, *right]
+    owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    _, column, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    some = n[column] > 1
+    owner, column = owner[some], np.unique(column[some], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, column.max(initial=-1) + 1 + _COLUMNS, _COLUMNS))
+    for k, (x, y) in enumerate(zip(edges, edges[1:], strict=False)):
+        has = np.zeros((len(parts), _COLUMNS), np.float32)
+        has[owner[x:y], column[x:y] - k * _COLUMNS] = 1
+        total += has[: len(left)] @ has[len(left) :].T
+    return total.astype(np.int64)
+
+
+def _between(members: DataFrame, docs: DataFrame, scratch: Scratch, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links between ``members`` (band, root, node, n: members of the band) of one band and different roots.
+
+    The members of a band are dealt into blocks, and every two blocks meet in one task, which
+    compares them all and yields a spanning forest of the links: no pair is ever a row, and
+    no group of any size lies in one task.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "band"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "node")
+    need = scratch.written(members.select("node").distinct(), "needed-between")
+    texts = by_id(docs.select(_text_node(text_col).alias("node"), text_or_empty(text_col).alias("t")), need, "node", "left_semi").dropDuplicates(["node"])
+    texts = scratch.written(texts, "texts-between")
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        own, root, node, text = (rows[c].to_numpy() if c != "t" else rows[c] for c in ("own", "root", "node", "t"))
+        hashes = [np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(t.as_py(), size)], np.uint64)) for t in text]
+        a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        sizes = np.array([len(h) for h in hashes])
+        shared = _overlaps([hashes[k] for k in a], [hashes[k] for k in b]) if len(a) and len(b) else np.zeros((len(a), len(b)), np.int64)
+        near = (similarity[1] * shared >= similarity[0] * (sizes[a][:, None] + sizes[b][None, :] - shared)) & (root[a][:, None] != root[b][None, :])
+        group = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while group[r] != r:
+                r = group[r]
+            return r
+
+        out = [[], []]
+        for x, y in zip(*(k.tolist() for k in np.nonzero(near)), strict=True):
+            x, y = int(a[x]), int(b[y])
+            p, q = top(int(root[x])), top(int(root[y]))
+            if p == q:
+                continue
+            one, two = shingles(text[x].as_py(), size), shingles(text[y].as_py(), size)
+            if similarity[1] * len(one & two) >= similarity[0] * len(one | two):
+                group[max(p, q)] = min(p, q)
+                out[0].append(int(node[x]))
+                out[1].append(int(node[y]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    met = dealt.join(texts, "node").groupBy("band", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    out = scratch.written(met, "linked-between")
+    scratch.drop("texts-between")
+    return out
 
 
-def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS, similarity: tuple[int, int] = SIMILAR, budget: int = BITS, seed: int = 42) -> DataFrame:
+def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIMILAR_WORDS, similarity: tuple[int, int] = SIMILAR, budget: int = BITS, seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """Id and ``component_id`` of every row, as in ``near_duplicates``, linked by Jaccard similarity.
 
     Candidates are the links of the fingerprints' trie and the texts that share a MinHash
     band; each is checked exactly.  At similarity 0.8 fingerprints differ in about ten
     bits, where a trie prunes next to nothing, so the bands carry the recall.  Of a band's
-    texts the first check is with one of them; then whatever is still in different
-    components is compared in all pairs, so large groups do not emit theirs.
+    texts the first check is with one of them; then what is still in different components
+    is compared block by block, and only links become rows.
     """
-    rows = written(_sketched(docs, id_col=id_col, text_col=text_col, size=size, seed=seed), "sketches")
-    nodes = written(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), "nodes")
+    scratch = scratch or Scratch(docs.sparkSession, "similar")
+
+    def rooted_by(edges: DataFrame, label: str) -> DataFrame:
+        own = Scratch(docs.sparkSession, "components")
+        found = scratch.written(components(edges, own), label)
+        own.drop()
+        return found
+
+    rows = scratch.written(_sketched(docs, id_col=id_col, text_col=text_col, size=size, seed=seed), "sketches")
+    nodes = scratch.written(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    banded = written(banded.join(shared, "band"), "banded")
+    banded = scratch.written(banded.join(shared, "band"), "banded")
     exact = {"text_col": text_col, "size": size, "similarity": similarity}
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
-    named = written(nodes.groupBy("fingerprint").agg(F.min("node").alias("named")), "named")
+    named = scratch.written(nodes.groupBy("fingerprint").agg(F.min("node").alias("named")), "named")
     trie = links(named.select("fingerprint"), budget=budget)
     trie = trie.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select("x", "y")
     equal = nodes.select("node", "fingerprint").join(named, "fingerprint").select(F.col("node").alias("x"), F.col("named").alias("y"))
     # four orders of the nodes, so that a group is not hung on one text alone
     first = banded.groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.col("band") % 4)).alias("y"))
     stars = banded.join(first, "band").select(F.col("node").alias("x"), "y")
-    pairs = written(ordered(trie.unionByName(equal).unionByName(stars)), "pairs")
-    edges = _verified(pairs, docs, **exact)
-    roots = written(components(edges), "roots")
+    pairs = scratch.written(ordered(trie.unionByName(equal).unionByName(stars)), "pairs")
+    edges = _verified(pairs, docs, scratch, "first", **exact)
+    roots = rooted_by(edges, "roots")
 
     def rooted(df: DataFrame) -> DataFrame:
         return df.join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").withColumn("root", F.coalesce("root", "node")).drop("at")
 
-    sets = rooted(banded).groupBy("band", "root").agg(F.collect_list("node").alias("members"))
-    several = sets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    sets = written(sets.join(several, "band"), "sets")
-    across = sets.select("band", F.col("root").alias("r"), F.col("members").alias("x")).join(sets.select("band", F.col("root").alias("s"), F.col("members").alias("y")), "band").where("r < s")
-    across = ordered(across.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y")))
-    more = written(across.join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        roots = written(components(edges.unionByName(_verified(more, docs, **exact))), "roots")
-    found = written(rooted(rows.select(id_col, "node")), "rooted")
-    least = found.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    return found.join(least, "root").select(F.col(id_col), "component_id")
+    members = rooted(banded).select("band", "root", "node")
+    several = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
+    members = scratch.written(members.join(several, "band"), "members")
+    if not members.isEmpty():
+        more = _between(members, docs, scratch, **exact)
+        roots = rooted_by(edges.unionByName(more), "roots-of-all")
+    found = scratch.written(rooted(rows.select(id_col, "node")), "rooted")
+    least = scratch.written(found.groupBy("root").agg(F.min(id_col).alias("component_id"), F.count("*").alias("n")), "least")
+    return skew_join(found, least.drop("n"), "root", least).select(F.col(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", of=near_duplicates, **params) -> DataFrame:
@@ -406,10 +482,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     key = fresh_name(docs.columns, "row_key")
     own_key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest")))
     keyed = docs.withColumn(key, own_key)
-    found = of(keyed, id_col=key, text_col=text_col, **params)
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = of(keyed, id_col=key, text_col=text_col, scratch=scratch, **params)
     own = F.coalesce(F.col(key) == F.col("component_id"), F.lit(False))
     ids = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(own).alias("kept"), F.count("*").alias("n")).where("not kept or n > 1")
     ids = written(ids, "dropped-or-repeated")
+    scratch.drop()
     kept = by_id(keyed, ids.where("not kept").select(key), key, "left_anti")
     again = ids.where("kept").select(key)
     if again.isEmpty():

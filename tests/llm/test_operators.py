@@ -797,3 +797,31 @@ def test_trie_of_one_crowded_prefix(spark, monkeypatch):
     for k, r in enumerate(forest.label.tolist()):
         least[r] = min(least.get(r, 2**63), signed[k])
     assert {s: got.get(s, s) for s in signed} == {s: least[r] for s, r in zip(signed, forest.label.tolist(), strict=True)}
+
+
+def test_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 9000, n).astype(np.uint64) * np.uint64(2**50 + 1)) for n in (0, 1, 50, 3000, 4000, 4001)]
+    want = [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets[:4]]
+    assert near_dup._overlaps(sets[:4], sets[1:]).tolist() == want
+
+
+@pytest.mark.parametrize("rows", [512, 7])
+def test_similar_texts_without_their_original(spark, rows, monkeypatch):
+    """Edited copies of a text that is not there: few are similar to one another, and no link is lost."""
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", rows)
+    rng = random.Random(12)
+    base = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(160)]
+    texts = []
+    for _ in range(70):
+        w = list(base)
+        for k in rng.sample(range(160), rng.choice([1, 2, 3, 4])):
+            w[k] = f"edit{rng.random()}"
+        texts.append(" ".join(w))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    sets = [near_dup.shingles(t, 5) for t in texts]
+    forest = near_dup.Forest(len(texts))
+    linked = [(i, j) for i, j in combinations(range(len(texts)), 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    forest.link(*(np.array(x) for x in zip(*linked, strict=True)))
+    assert 1 < len(set(forest.label.tolist())) < len(texts)
+    assert got == dict(enumerate(forest.label.tolist()))
