@@ -84,14 +84,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
+def small_enough(df: DataFrame, rows: int = BROADCAST_IDS) -> bool:
+    """Whether ``df`` has no more than ``rows`` rows and ``BROADCAST_BYTES``, whatever its columns hold."""
+    first = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long").alias("size"))
+    n, size = first.agg(F.count("*"), F.sum("size")).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
+
+
 def by_id(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """``docs`` joined with one column of ids, ``left_anti`` or ``left_semi``; a null id matches none."""
     flag = fresh_name(docs.columns, "listed_id")
     ids = ids.toDF(flag)
-    first = ids.limit(BROADCAST_IDS + 1).select(F.octet_length(F.to_json(F.struct(flag))).cast("long").alias("size"))
-    n, size = first.agg(F.count("*"), F.sum("size")).first()
-    small = n <= BROADCAST_IDS and (size or 0) <= BROADCAST_BYTES
-    return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == F.col(flag), how)
+    return docs.join(F.broadcast(ids) if small_enough(ids) else ids, docs[id_col] == F.col(flag), how)
 
 
 #: A key that more than one row in so many has is hot: there are fewer such keys than this.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import ByteHash, runs
-from ._common import Scratch, release_shuffles, shuffle_partitions, text_or_empty
+from ._common import Scratch, release_shuffles, shuffle_partitions, small_enough, text_or_empty
 
 LENGTH = 50
 #: Every difference modulo the period is one of two residues of its cover (fixed values).
@@ -350,8 +350,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     digests = sizes.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n"), F.count("id").alias("named"), F.max("size").alias("size"))
     digests = scratch.written(digests, "digests")
     copied = digests.where("first < last or (named > 0 and named < n)").select(F.col("digest").alias("copied"), "first")
-    small = copied.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
-    marked = rows.join(F.broadcast(copied) if small else copied, F.col("digest") == F.col("copied"), "left")
+    marked = rows.join(F.broadcast(copied) if small_enough(copied, BROADCAST_COPIES) else copied, F.col("digest") == F.col("copied"), "left")
     copy = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
     total = digests.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
 
