@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import BLANK, ByteHash, mix, runs, windows, words
-from ._common import fresh_name
+from ._common import fresh_name, small_enough
 
 NGRAM = 4
 BUCKETS = 1 << 16
@@ -31,8 +31,6 @@ THRESHOLD = -0.3
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 WINDOW = 3
-#: Trusted ids are broadcast up to this many; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -66,8 +64,7 @@ def gram_counts(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_i
     """
     flag = fresh_name(docs.columns, "trusted")
     ids = trusted_ids.toDF(flag)
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    side = F.broadcast(ids) if small else ids.hint("shuffle_hash")
+    side = F.broadcast(ids) if small_enough(ids) else ids.hint("shuffle_hash")
     marked = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
     marked = marked.join(side, marked["k"] == F.col(flag), "left").select("t", F.col(flag).isNotNull().alias("trusted"))
 
