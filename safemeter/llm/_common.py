@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,3 +142,54 @@ def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values have their bit set."""
     p = (values.astype(np.uint64) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
     return (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+
+
+#: ``monotonically_increasing_id`` holds the partition above these bits and the row in it below.
+_ROW_BITS = 33
+
+
+def ranked(df: DataFrame, order: list[str], scratch: Scratch, label: str, name: str = "i") -> DataFrame:
+    """``df`` with ``name``: 0, 1, 2 ... by the columns ``order``, nulls first; rows that tie come in any order.
+
+    A range sort deals the rows out and is written once with each row's place; the sizes of
+    the partitions before are added on reading.  Ties are dealt out too, by a seeded number.
+    """
+    tie = fresh_name(df.columns, "tie")
+    keys = [*order, tie]
+    dealt = df.withColumn(tie, F.rand(7)).repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    dealt = scratch.written(dealt.drop(tie).withColumn("_place", F.monotonically_increasing_id()), label).withColumn("_part", F.shiftright("_place", _ROW_BITS))
+    sizes = dict(map(tuple, dealt.groupBy("_part").count().collect()))  # a row per partition
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    offsets = df.sparkSession.createDataFrame(sorted(before.items()), "_part long, _before long")
+    return dealt.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).alias(name))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: int, rows: int) -> Iterator[pa.Table]:
+    """About ``rows`` rows at a time, in tasks, that end where the first ``by`` columns (not null) change; equal ones must follow one another."""
+    kept, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            kept.append(b)
+            n += b.num_rows
+        if n < rows:
+            continue
+        t = pa.Table.from_batches(kept).combine_chunks()
+        same = np.ones(n, bool)
+        for c in range(by):
+            same &= pc.equal(t.column(c), t.column(c)[-1]).to_numpy()
+        other = np.flatnonzero(~same)
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield t.slice(0, cut)
+        kept, n = t.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text."""
+    step = "lambda r, k: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end"
+    each = f"lambda a, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::bigint[], {step}, xor(a, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint), {each}, 4294967295::bigint), 4294967295::bigint)"

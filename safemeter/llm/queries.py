@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, near_dup, packing, pii, quality, sharding, suffix_dedup, tokens
+from . import chat, decontaminate, factorisation, language, merkle, near_dup, packing, pii, prefix_trie, quality, sharding, suffix_dedup, tokens
 from ._common import shared_folder, table
 
 #: Where the vocabulary files of the public tokenizers lie, unless a caller says otherwise.
@@ -83,11 +83,25 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorisation.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.verified(table(spark, sf_dir, "documents"), tampered=changed)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_language_id, op3_quality_rules, op4_packing, op5_benchmark_decontamination,
         op6_simhash_near_dedup, op7_chat_formatting, op8_pii, op9_sharding, op10_suffix_array_dedup,
+        op11_quality_classifier, op12_merkle_manifest, op13_prefix_trie,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +109,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_decontamination": decontaminate.CONTAMINATION_SQL,
     "op7_chat_formatting": chat.ROTATED_SQL,
     "op10_suffix_array_dedup": suffix_dedup.DEDUP_SQL,
+    "op12_merkle_manifest": merkle.VERIFIED_SQL,
+    "op13_prefix_trie": prefix_trie.TRIE_SQL,
 }
