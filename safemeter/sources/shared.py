@@ -48,3 +48,48 @@ def exists(spark: SparkSession, path: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     store, at = files_of(spark, path)
     store.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    store, at = files_of(spark, path)
+    stream = store.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    store, at = files_of(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its content at once; False if it is there already, which leaves it as it is.
+
+    The content is written aside first, so nobody sees half of it.  The name is then taken by
+    a rename that never overwrites, atomic where the file system's renames are; on a local
+    file system, where they are not, by a hard link, which is.
+    """
+    folder, _, name = path.rpartition("/")
+    store, aside = files_of(spark, f"{folder}/.{name}-{uuid.uuid4().hex}")
+    stream = store.create(aside)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    hadoop, jvm = spark._jvm.org.apache.hadoop.fs, spark._jvm
+    try:
+        if store.getUri().getScheme() == "file":
+            of = lambda p: jvm.java.io.File(hadoop.Path(p).toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(of(path), of(aside.toString()))
+        else:
+            never = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+            hadoop.FileContext.getFileContext(store.getUri(), spark._jsc.hadoopConfiguration()).rename(aside, hadoop.Path(path), never)
+    except Exception:
+        if not exists(spark, path):
+            raise
+        return False
+    finally:
+        store.delete(aside, False)
+    return True

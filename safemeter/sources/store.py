@@ -1,13 +1,23 @@
-"""The run store: Parquet tables by run, appended whole or not at all.
-
-The ``runs`` table is the commit record.  A run's events, truth and detections are written
-first and its row in ``runs`` last; readers see only runs that are in ``runs``.  An append
-that died half way is completed by running it again, because rows that are already there
-with the same payload are skipped.  One writer per run is assumed.
+"""The run store: immutable Parquet segments by run, and snapshots that name them.
+
+An append or a replacement writes its rows into a segment, folders of its own that nothing
+refers to yet, and then publishes a snapshot: one small file with the next number that names
+all segments of the store.  A number can be taken once; who finds it taken starts again from
+the newer snapshot, checks included.  So writers may run side by side, a job that dies leaves
+no trace that a reader sees, and a replacement appears whole.  Readers resolve one snapshot
+and read its files; nothing that a snapshot names is ever moved or deleted by a reader or a
+writer, only by :meth:`RunStore.vacuum`.
+
+Tables that lie loose in the store's root, as older jobs left them, count as a segment until
+a replacement.  A run is visible once its row in ``runs`` is: events of a run that died half
+way stay out of sight, and appending the run again adds what is missing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +27,25 @@ from ..operators.checks import broken_rules, duplicate_keys, orphans, table_rule
 from ..operators.facts import incomplete
 from ..operators.metrics import table_counts
 from ..schemas import KEYS, TABLES, RunTables, columns_of
-from .shared import exists, files_of, remove
+from .shared import exists, names_in, put_if_absent, read_text, remove
 
 CHILDREN = ("events", "ground_truth", "detections")
-#: Folder of a replacement that is being written, and the mark that it is whole.
-REPLACEMENT, COMPLETE = "_replacement", "_complete"
+#: Folders of the snapshots and of the segments.
+LOG, SEGMENTS = "_snapshots", "_segments"
+#: How often a writer starts again because others were faster.
+ATTEMPTS = 20
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """``number`` (0: nothing was published yet), names of the segments, and whether loose tables count."""
+
+    number: int = 0
+    segments: tuple[str, ...] = ()
+    loose: bool = True
+
+    def text(self) -> str:
+        return json.dumps({"number": self.number, "segments": self.segments, "loose": self.loose})
 
 
 class StoreError(ValueError):
@@ -29,35 +53,71 @@ class StoreError(ValueError):
 
 
 class RunStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    """A store as it is at each call; with ``at``, as it was at that snapshot."""
+
+    def __init__(self, spark: SparkSession, root: str, at: Snapshot | None = None):
+        self.spark, self.root, self._at = spark, root.rstrip("/"), at
+
+    # ---- snapshots
+    def snapshot(self) -> Snapshot:
+        """The newest snapshot, or the one this store is fixed at."""
+        if self._at is not None:
+            return self._at
+        numbers = [x for x in names_in(self.spark, f"{self.root}/{LOG}") if not x.startswith(".")]
+        if not numbers:
+            return Snapshot()
+        found = json.loads(read_text(self.spark, f"{self.root}/{LOG}/{max(numbers)}"))
+        return Snapshot(found["number"], tuple(found["segments"]), found["loose"])
+
+    def pinned(self) -> RunStore:
+        """This store at its newest snapshot: all reads see the same runs."""
+        return RunStore(self.spark, self.root, self.snapshot())
+
+    def _publish(self, new: Snapshot) -> bool:
+        return put_if_absent(self.spark, f"{self.root}/{LOG}/{new.number:020d}", new.text())
+
+    def _discard(self, segment: str) -> None:
+        for n in TABLES:
+            remove(self.spark, self._folder(n, segment))
+
+    def vacuum(self) -> list[str]:
+        """Delete what the newest snapshot does not name, and the older snapshots; the names of the segments deleted.
+
+        For times without writers, and without readers of older snapshots.
+        """
+        now = self.snapshot()
+        there = {x.removeprefix("segment=") for n in TABLES for x in names_in(self.spark, f"{self.root}/{SEGMENTS}/{n}")}
+        spent = sorted(there - set(now.segments))
+        for x in spent:
+            self._discard(x)
+        for x in names_in(self.spark, f"{self.root}/{LOG}"):
+            if x.startswith(".") or int(x) < now.number:
+                remove(self.spark, f"{self.root}/{LOG}/{x}")
+        if not now.loose:
+            for n in TABLES:
+                remove(self.spark, f"{self.root}/{n}")
+        return spent
 
     # ---- reading
-    def _exists(self, name: str) -> bool:
-        self._settle()
-        return exists(self.spark, f"{self.root}/{name}")
-
-    def _settle(self) -> None:
-        """Finish a replacement that was written whole, whoever died before its tables were moved."""
-        aside = f"{self.root}/{REPLACEMENT}"
-        if not exists(self.spark, f"{aside}/{COMPLETE}"):
-            return
-        store, root = files_of(self.spark, self.root)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        for n in reversed(TABLES):  # the commit record last
-            if exists(self.spark, f"{aside}/{n}"):
-                store.delete(path(root, n), True)
-                store.rename(path(f"{aside}/{n}"), path(root, n))
-        store.delete(path(aside), True)
+    def _folder(self, name: str, segment: str) -> str:
+        return f"{self.root}/{SEGMENTS}/{name}/segment={segment}"
+
+    def _parts(self, name: str) -> list[DataFrame]:
+        """The loose table and the segments of a table, as far as there are any, at one snapshot."""
+        at, read = self.snapshot(), self.spark.read.schema(TABLES[name])
+        loose = [read.parquet(f"{self.root}/{name}")] if at.loose and exists(self.spark, f"{self.root}/{name}") else []
+        folders = [p for x in at.segments if exists(self.spark, p := self._folder(name, x))]
+        return loose + ([read.option("basePath", f"{self.root}/{SEGMENTS}/{name}").parquet(*folders)] if folders else [])
 
     def _raw(self, name: str) -> DataFrame:
-        if not self._exists(name):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}").select(*columns_of(TABLES[name]))
+        parts = [df.select(*columns_of(TABLES[name])) for df in self._parts(name)]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], TABLES[name])
 
     def lacking(self) -> dict[str, list[str]]:
-        """Columns of the contract that a table was written without, by table."""
-        have = {n: set(self.spark.read.parquet(f"{self.root}/{n}").columns) for n in TABLES if self._exists(n)}
+        """Columns of the contract that a loose table was written without, by table; segments are written by this class."""
+        if not self.snapshot().loose:
+            return {}
+        have = {n: set(self.spark.read.parquet(f"{self.root}/{n}").columns) for n in TABLES if exists(self.spark, f"{self.root}/{n}")}
         return {n: missing for n, columns in have.items() if (missing := sorted(set(columns_of(TABLES[n])) - columns))}
 
     def guard(self) -> None:
@@ -72,10 +132,12 @@ class RunStore:
         """Rows of finished runs only."""
         if name == "runs":
             return self.runs()
-        return self._raw(name).join(self.runs().select("run_id"), "run_id", "left_semi").select(*columns_of(TABLES[name]))
+        at = self.pinned()
+        return at._raw(name).join(at.runs().select("run_id"), "run_id", "left_semi").select(*columns_of(TABLES[name]))
 
     def tables(self) -> RunTables:
-        return RunTables(*(self.table(n) for n in TABLES))
+        at = self.pinned()
+        return RunTables(*(at.table(n) for n in TABLES))
 
     def run(self, run_id: str) -> dict:
         found = self.runs().where(F.col("run_id") == run_id).limit(2).collect()
@@ -85,7 +147,8 @@ class RunStore:
 
     def joined(self, run_id: str | None = None, *, strict: bool = True) -> DataFrame:
         """Joined results of one run or all, by run and event; ``strict`` raises on events without truth or detection."""
-        parts = [self.table(n) if run_id is None else self.table(n).where(F.col("run_id") == run_id) for n in CHILDREN]
+        at = self.pinned()
+        parts = [at.table(n) if run_id is None else at.table(n).where(F.col("run_id") == run_id) for n in CHILDREN]
         if strict:
             missing = incomplete(*parts).orderBy("run_id", "event_id").limit(5).collect()
             if missing:
@@ -95,7 +158,8 @@ class RunStore:
 
     def counts(self, run_id: str | None = None) -> DataFrame:
         """Rows of the four tables and of their join."""
-        names = {n: self.table(n) for n in TABLES} | {"joined_results": self.joined(strict=False)}
+        at = self.pinned()
+        names = {n: at.table(n) for n in TABLES} | {"joined_results": at.joined(strict=False)}
         if run_id is not None:
             names = {n: df.where(F.col("run_id") == run_id) for n, df in names.items()}
         return table_counts(names)
@@ -106,36 +170,48 @@ class RunStore:
 
         Everything is checked before anything is written.  Rows that are there already with
         the same payload (null equal to null) are no-ops; another payload under the same key
-        raises.  ``replace`` puts these runs in the place of all others: they are written
-        aside and moved in when they are whole, so a crash leaves the old runs or the new.
+        raises.  ``replace`` puts these runs in the place of all others.  Either way the new
+        rows appear at once, or not at all; readers go on with the snapshot they have.
         """
-        self.guard()
         batch = {n: getattr(new, n).select(*columns_of(TABLES[n])).to(self.spark.createDataFrame([], TABLES[n]).schema).distinct().persist() for n in TABLES}
-        fresh: dict[str, DataFrame] = {}
         try:
-            known = {n: self.spark.createDataFrame([], TABLES[n]) if replace else self._raw(n) for n in TABLES}
-            self._check(batch, known["runs"])
-            run_ids = [r[0] for r in batch["runs"].select("run_id").collect()]  # as many as runs are landed at once
+            for _ in range(ATTEMPTS):
+                counts = self.pinned()._append_once(batch, replace)
+                if counts is not None:
+                    return counts
+            raise StoreError(f"other writers were faster {ATTEMPTS} times")
+        finally:
+            for df in batch.values():
+                df.unpersist()
+
+    def _append_once(self, batch: dict[str, DataFrame], replace: bool) -> dict[str, int] | None:
+        """One attempt from this snapshot; None if another writer has published the next one."""
+        at = self.snapshot()
+        if not replace:
+            self.guard()
+        known = {n: self.spark.createDataFrame([], TABLES[n]) if replace else self._raw(n) for n in TABLES}
+        self._check(batch, known["runs"])
+        run_ids = [r[0] for r in batch["runs"].select("run_id").collect()]  # as many as runs are landed at once
+        segment, fresh = uuid.uuid4().hex, {}
+        try:
             for n, df in batch.items():
                 there = known[n].where(F.col("run_id").isin(*run_ids))  # one partition per run
                 self._conflicts(n, df, there)
                 fresh[n] = df.join(there.select(*KEYS[n]), KEYS[n], "left_anti").select(*columns_of(TABLES[n])).persist()
             counts = {n: df.count() for n, df in fresh.items()}
-            root = f"{self.root}/{REPLACEMENT}" if replace else self.root
-            if replace:
-                remove(self.spark, root)
-            for n in CHILDREN:
-                if counts[n] or replace:
-                    fresh[n].write.mode("append").partitionBy("run_id").parquet(f"{root}/{n}")
-            if counts["runs"] or replace:
-                fresh["runs"].write.mode("append").parquet(f"{root}/runs")
-            if replace:
-                store, mark = files_of(self.spark, f"{root}/{COMPLETE}")
-                store.create(mark).close()
-                self._settle()
-            return counts
+            if not any(counts.values()) and not replace:
+                return counts
+            for n in (*CHILDREN, "runs"):
+                if counts[n]:
+                    rows = fresh[n].write if n == "runs" else fresh[n].write.partitionBy("run_id")
+                    rows.parquet(self._folder(n, segment))
+            kept = () if replace else at.segments
+            if self._publish(Snapshot(at.number + 1, (*kept, segment), at.loose and not replace)):
+                return counts
+            self._discard(segment)  # nothing refers to it
+            return None
         finally:
-            for df in [*batch.values(), *fresh.values()]:
+            for df in fresh.values():
                 df.unpersist()
 
     def _check(self, batch: dict[str, DataFrame], known_runs: DataFrame) -> None:

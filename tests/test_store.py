@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from safemeter.plans import driver_tables
 from safemeter.schemas import RunTables
 from safemeter.sources.corpus import read_corpus, write_corpus
+from safemeter.sources.shared import names_in, put_if_absent, read_text
 from safemeter.sources.store import RunStore, StoreError
 
 
@@ -89,18 +90,76 @@ def test_corpus_file_round_trip(spark, tmp_path):
         read_corpus(spark, str(tmp_path / "bad"))
 
 
+def crash(*_):
+    raise RuntimeError("died")
+
+
 def test_replacement_is_whole_or_not_at_all(spark, small, tmp_path, monkeypatch):
     store = RunStore(spark, str(tmp_path / "s"))
     store.append(only(small, "r1", "r2"))
-    settle = RunStore._settle
-    monkeypatch.setattr(RunStore, "_settle", lambda self: None)  # dies after all is written aside
-    store.append(only(small, "r1"), replace=True)
-    assert store.runs().count() == 2
-    monkeypatch.setattr(RunStore, "_settle", settle)
-    again = RunStore(spark, store.root)  # whoever comes next moves it in
-    assert [r[0] for r in again.runs().select("run_id").collect()] == ["r1"] and again.joined().count() == 20
-    assert again.append(only(small, "r2"))["events"] == 20
-    half = f"{store.root}/_replacement"
-    only(small, "r1").events.limit(1).write.parquet(f"{half}/events")  # not complete: never read
-    assert RunStore(spark, store.root).joined().count() == 40
-    assert again.append(only(small, "r1"), replace=True)["runs"] == 1 and again.joined().count() == 20
+    with monkeypatch.context() as m:
+        m.setattr(RunStore, "_publish", crash)  # dies after all is written aside
+        with pytest.raises(RuntimeError):
+            store.append(only(small, "r1"), replace=True)
+    reader, before = RunStore(spark, store.root).pinned(), store.joined()
+    assert store.runs().count() == 2 and before.count() == 40
+    assert store.append(only(small, "r1"), replace=True)["runs"] == 1
+    assert [r[0] for r in store.runs().select("run_id").collect()] == ["r1"] and store.joined().count() == 20
+    assert reader.joined().count() == 40 and before.count() == 40  # who read before goes on reading
+    assert store.append(only(small, "r2"))["events"] == 20 and store.joined().count() == 40
+    assert len(store.vacuum()) == 2 and RunStore(spark, store.root).joined().count() == 40  # the dead job's and the replaced segment
+    assert store.append(only(small, "r1"), replace=True)["runs"] == 1 and store.joined().count() == 20
+
+
+def test_two_readers_and_a_dead_writer_lose_nothing(spark, small, tmp_path, monkeypatch):
+    """A writer dies at each of its steps; two readers look in between; the second attempt is whole."""
+    steps = {"write": ("pyspark.sql.readwriter.DataFrameWriter.parquet", 2), "publish": ("safemeter.sources.store.put_if_absent", 0)}
+    for name, (target, after) in steps.items():
+        store, calls = RunStore(spark, str(tmp_path / name)), []
+        store.append(only(small, "r1"))
+        module, _, attribute = target.rpartition(".")
+        with monkeypatch.context() as m:
+            import pyspark.sql.readwriter
+
+            owner = pyspark.sql.readwriter.DataFrameWriter if name == "write" else __import__(module, fromlist=["x"])
+            real = getattr(owner, attribute)
+
+            def dying(*a, _real=real, _after=after, _calls=calls, **b):
+                _calls.append(1)
+                return crash() if len(_calls) > _after else _real(*a, **b)
+
+            m.setattr(owner, attribute, dying)
+            with pytest.raises(RuntimeError):
+                store.append(only(small, "r1", "r2"), replace=True)
+        one, two = RunStore(spark, store.root), RunStore(spark, store.root)
+        assert one.joined().count() == two.joined().count() == 20 and one.counts().count() == two.counts().count()
+        assert one.append(only(small, "r2"))["events"] == 20 and two.joined().count() == 40
+
+
+def test_two_writers_side_by_side(spark, small, tmp_path, monkeypatch):
+    """Another writer publishes while this one is about to: it starts again and both are there."""
+    store, other, real = RunStore(spark, str(tmp_path / "s")), RunStore(spark, str(tmp_path / "s")), RunStore._publish
+    store.append(only(small, "r1"))
+    turns = []
+
+    def publish(self, new):
+        if not turns:
+            turns.append(1)
+            other.append(only(small, "r3"))
+        return real(self, new)
+
+    monkeypatch.setattr(RunStore, "_publish", publish)
+    assert store.append(only(small, "r2"))["events"] == 20
+    assert sorted(r[0] for r in store.runs().select("run_id").collect()) == ["r1", "r2", "r3"] and store.joined().count() == 60
+    turns.clear()
+    changed = only(small, "r2")
+    changed = RunTables(changed.runs, changed.events, changed.ground_truth, changed.detections.withColumn("latency_ms", F.lit(7.5)))
+    monkeypatch.setattr(RunStore, "_publish", real)
+    with pytest.raises(StoreError, match="another payload"):
+        other.append(changed)
+
+
+def test_a_number_is_taken_once(spark, tmp_path):
+    path = f"{tmp_path}/log/1"
+    assert put_if_absent(spark, path, "one") and not put_if_absent(spark, path, "two")
+    assert read_text(spark, path) == "one" and names_in(spark, f"{tmp_path}/log") == ["1"] and names_in(spark, f"{tmp_path}/none") == []
