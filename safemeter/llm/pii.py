@@ -179,8 +179,11 @@ def _iban_remainder(iban: Column) -> Column:
 
 
 def _email(m: Column, key: Key) -> Column:
+    """The local part is permuted; one with other than ASCII characters, or that the permutation leaves as it is, becomes a keyed digest."""
     local = F.substring_index(m, "@", 1)
-    return F.concat(_permuted_letters(local, key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    name = F.substring(key.digest(F.concat_ws("|", F.lit("email digest"), local)), 1, 32)
+    plain = _let(_permuted_letters(local, key, "email"), lambda x: F.when(x == local, name).otherwise(x))
+    return F.concat(F.when(local.rlike(r"[^\x00-\x7F]"), name).otherwise(plain), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _secret(m: Column, key: Key) -> Column:
@@ -332,7 +335,7 @@ def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", found_co
     """``docs`` with each validated item in ``text_col`` replaced; other columns as they are.
 
     ``found_col``: name of a further column, an array of (kind, value, pseudonym) in the
-    order of the text, candidates that failed validation left out; it is an error if ``docs``
+    order of the text, candidates that failed validation or map to themselves left out; it is an error if ``docs``
     has that column.  Null text stays null, an empty text empty, and rows without a candidate
     keep their text as it is, whatever its length.  Repeated rows give equal results.  An
     empty table gives an empty result.
@@ -357,7 +360,7 @@ def pseudonymised(docs: DataFrame, key: str, *, text_col: str = "text", found_co
     changed = _text(F.zip_with(pieces, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))))
     out = out.withColumn(text_col, F.when(F.size(found) > 0, changed).otherwise(text))
     if found_col:
-        kept = F.filter(F.col(found), lambda x: x["pseudonym"].isNotNull())
+        kept = F.filter(F.col(found), lambda x: x["pseudonym"] != x["value"])
         none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
         return out.withColumn(found_col, F.coalesce(kept, none)).select(*taken, found_col)
     return out.select(*taken)
