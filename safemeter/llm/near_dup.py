@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, by_id, fresh_name, skew_join, text_or_empty, written
+from ._common import Scratch, by_id, fresh_name, ranked, skew_join, text_or_empty, written
 
 WORDS = 3
 BITS = 3
@@ -313,7 +313,7 @@ def sketch(text: str | None, size: int, seed: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, *, id_col: str, text_col: str, size: int, seed: int) -> DataFrame:
-    """Id, ``node`` (digest of the text), ``fingerprint`` and ``bands`` of every row."""
+    """Id, ``digest`` of the text, ``fingerprint`` and ``bands`` of every row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -322,22 +322,29 @@ def _sketched(docs: DataFrame, *, id_col: str, text_col: str, size: int, seed: i
                 texts = part.column(2).to_pylist()
                 fp = np.fromiter((fingerprint(t, size, seed) for t in texts), np.uint64, len(texts)).view(np.int64)
                 bands = [sketch(t, size, seed) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], [id_col, "node", "fingerprint", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(bands, pa.list_(pa.int64()))], [id_col, "digest", "fingerprint", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col), _text_node(text_col).alias("node"), text_or_empty(text_col).alias("t"))
-    return narrow.mapInArrow(of, f"`{id_col}` {kind}, node long, fingerprint long, bands array<long>")
+    narrow = docs.select(F.col(id_col), _digest(text_col).alias("digest"), text_or_empty(text_col).alias("t"))
+    return narrow.mapInArrow(of, f"`{id_col}` {kind}, digest binary, fingerprint long, bands array<long>")
 
 
-def _text_node(text_col: str):
-    return F.xxhash64(text_or_empty(text_col))
+def _digest(text_col: str):
+    """SHA-256: what tells texts apart, as shorter hashes of different texts can be made equal."""
+    return F.unhex(F.sha2(text_or_empty(text_col), 256))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, label: str, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
+def _texts(docs: DataFrame, names: DataFrame, need: DataFrame, scratch: Scratch, label: str, *, text_col: str) -> DataFrame:
+    """``node`` and ``t`` of the needed nodes (one column); ``names``: ``digest`` and ``node`` of all."""
+    need = scratch.written(names.join(need.toDF("needed"), F.col("node") == F.col("needed")).select("digest", "node"), f"needed-{label}")
+    found = by_id(docs.select(_digest(text_col).alias("digest"), text_or_empty(text_col).alias("t")), need.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    return scratch.written(found.join(need, "digest").select("node", "t"), f"texts-{label}")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, scratch: Scratch, label: str, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Those of the ``pairs`` (nodes a, b) whose texts' sets of shingles are similar, counted exactly."""
-    need = scratch.written(pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct(), f"needed-{label}")
-    texts = by_id(docs.select(_text_node(text_col).alias("node"), text_or_empty(text_col).alias("t")), need, "node", "left_semi").dropDuplicates(["node"])
-    texts = scratch.written(texts, f"texts-{label}")
+    need = pairs.select(F.col("a").alias("need")).unionByName(pairs.select(F.col("b").alias("need"))).distinct()
+    texts = _texts(docs, names, need, scratch, label, text_col=text_col)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +379,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _between(members: DataFrame, docs: DataFrame, scratch: Scratch, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
+def _between(members: DataFrame, docs: DataFrame, names: DataFrame, scratch: Scratch, *, text_col: str, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Links between ``members`` (band, root, node, n: members of the band) of one band and different roots.
 
     The members of a band are dealt into blocks, and every two blocks meet in one task, which
@@ -382,9 +389,7 @@ def _between(members: DataFrame, docs: DataFrame, scratch: Scratch, *, text_col:
     blocks = F.ceil(F.col("n") / BLOCK_ROWS)
     dealt = members.withColumn("own", F.pmod(F.xxhash64("node", "band"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "node")
-    need = scratch.written(members.select("node").distinct(), "needed-between")
-    texts = by_id(docs.select(_text_node(text_col).alias("node"), text_or_empty(text_col).alias("t")), need, "node", "left_semi").dropDuplicates(["node"])
-    texts = scratch.written(texts, "texts-between")
+    texts = _texts(docs, names, members.select("node").distinct(), scratch, "between", text_col=text_col)
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
@@ -438,7 +443,11 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return found
 
     rows = scratch.written(_sketched(docs, id_col=id_col, text_col=text_col, size=size, seed=seed), "sketches")
-    nodes = scratch.written(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")), "nodes")
+    # texts are told apart by SHA-256 and go on under numbers in the order of their digests
+    texts = rows.groupBy("digest").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    nodes = scratch.written(ranked(texts, ["digest"], scratch, "ranked", "node"), "nodes")
+    scratch.drop("ranked")
+    names = nodes.select("digest", "node")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     banded = scratch.written(banded.join(shared, "band"), "banded")
@@ -455,7 +464,7 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = banded.groupBy("band").agg(F.min_by("node", F.xxhash64("node", F.col("band") % 4)).alias("y"))
     stars = banded.join(first, "band").select(F.col("node").alias("x"), "y")
     pairs = scratch.written(ordered(trie.unionByName(equal).unionByName(stars)), "pairs")
-    edges = _verified(pairs, docs, scratch, "first", **exact)
+    edges = _verified(pairs, docs, names, scratch, "first", **exact)
     roots = rooted_by(edges, "roots")
 
     def rooted(df: DataFrame) -> DataFrame:
@@ -465,9 +474,10 @@ def similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     several = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
     members = scratch.written(members.join(several, "band"), "members")
     if not members.isEmpty():
-        more = _between(members, docs, scratch, **exact)
+        more = _between(members, docs, names, scratch, **exact)
         roots = rooted_by(edges.unionByName(more), "roots-of-all")
-    found = scratch.written(rooted(rows.select(id_col, "node")), "rooted")
+    named = skew_join(rows.select(id_col, "digest"), rooted(nodes.select("digest", "node")).select("digest", "root"), "digest", nodes.select("digest", "n"))
+    found = scratch.written(named.select(id_col, "root"), "rooted")
     least = scratch.written(found.groupBy("root").agg(F.min(id_col).alias("component_id"), F.count("*").alias("n")), "least")
     return skew_join(found, least.drop("n"), "root", least).select(F.col(id_col), "component_id")
 
@@ -480,7 +490,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     with a null id cannot be named by a component and stay.
     """
     key = fresh_name(docs.columns, "row_key")
-    own_key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("digest")))
+    own_key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.coalesce(F.unhex(F.sha2(F.col(text_col).cast("string"), 256)), F.lit(b"")).alias("digest")))
     keyed = docs.withColumn(key, own_key)
     scratch = Scratch(docs.sparkSession, "keep-one")
     found = of(keyed, id_col=key, text_col=text_col, scratch=scratch, **params)

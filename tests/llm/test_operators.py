@@ -274,6 +274,15 @@ def test_keep_one_decides_by_row(spark):
         assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (1, b), (0, c), rows[6], rows[7]])
 
 
+def test_texts_of_equal_xxhash64_are_told_apart(spark):
+    one, two = "iK2ZWeqhFWCEPyYngFb51yBMWXaSCrUZoL8g5ubbbPIa84yRn BUbHoWC8FJowoR", "fO7ejYQdFWCEPyYngFb51yBMWXaSCrUZKZ@loLh;bPIa84yRn BUbHoWC8FJowoR"
+    df = spark.createDataFrame([(1, one), (2, two), (3, one), (4, None), (4, "")], "doc_id long, text string")
+    assert df.limit(2).select(F.xxhash64("text")).distinct().count() == 1
+    assert sorted(map(tuple, near_dup.similar(df).collect())) == [(1, 1), (2, 2), (3, 1), (4, 4), (4, 4)]
+    kept = near_dup.keep_one(df, of=near_dup.similar)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
+
+
 def test_similar_links_edited_copies(spark, docs, corpus, none):
     rng = random.Random(9)
     texts = []
@@ -389,6 +398,21 @@ def test_pseudonyms(spark):
     assert other != out[0]["text"] and pii.pseudonymised(df.limit(0), "k").count() == 0
 
 
+def test_no_local_part_stays(spark):
+    """Local parts of other scripts, of signs only and of one letter; equal ones stay linked, others stay apart."""
+    local = ["иван", "ü", "李雷", "josé.1", "_", "+-%", "مريم", *"abcdefghijklmnopqrstuvwxyz0123456789"]
+    rows = [(k, f"to {x}@site.cn, {x}@site.cn") for k, x in enumerate(local)]
+    got = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k", found_col="found").collect()
+    new = {}
+    for r in got:
+        old = local[r["doc_id"]]
+        assert [f["value"] for f in r["found"]] == [f"{old}@site.cn"] * 2
+        a, b = re.fullmatch(r"to ([A-Za-z0-9._%+-]{1,64})@site\.cn, ([A-Za-z0-9._%+-]{1,64})@site\.cn", r["text"]).groups()
+        assert a == b != old
+        new[old] = a
+    assert len(set(new.values())) == len(local)
+
+
 def test_pseudonyms_of_long_secrets_and_timestamps(spark):
     long, day = "a1B2" * 60, "2024-01-05"
     rows = [(0, f"token: {long} end"), (1, f"at {day}T10:00:00Z, {day}t23 and {day}."), (2, f"{day}Tuesday {day}T77"), (3, f"secret={long[:129]}\u00e9"), (4, f"password={long[:128]}-")]
