@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hashing, text
-from .operators import checks, compare, facts, fast_tier, gate, judge, metrics, routing, staging
+from .operators import checks, compare, facts, fast_tier, gate, judge, metrics, routing, staging, term_regression
 from .plans import driver_tables as tables
 from .plans import measure
 from .schemas import RunTables
@@ -365,8 +365,26 @@ def _tier(spark: SparkSession, sf_dir: str) -> tuple[fast_tier.FastTier, DataFra
 
 @_query()
 def m3_m5_fast_tier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tier, prompts = _tier(spark, sf_dir)
-    return tier.score(prompts).select("doc_id", "label", "held_out", "tier1_score")
+    """Fitted and scored by tables: no term reaches the driver."""
+    prompts = tables.scored_prompts(spark, sf_dir)
+    model = term_regression.fit(prompts.where("not held_out"))
+    return prompts.select("doc_id", "label", "held_out").join(term_regression.scored(prompts, model, "doc_id"), "doc_id")
+
+
+@_query(
+    _TERMS + ", train as (select doc_id from documents join labels using (doc_id) where doc_id % 2 = 0 and toxic is not null), "
+    "known as (select term from terms semi join train using (doc_id) group by term having count(distinct doc_id) >= 2) "
+    "select (select count(*) from train) as texts, count(*) as terms, true as optimal from known"
+)
+def m4_fit_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the fitted model, and whether the gradient by each coefficient, taken by plain joins, is next to nothing.
+
+    The loss is strictly convex, so a coefficient is off by no more than its gradient's size.
+    """
+    train = tables.scored_prompts(spark, sf_dir).where("not held_out")
+    model = term_regression.fit(train)
+    steepest = F.sqrt(F.sum(F.col("gradient") ** 2))
+    return term_regression.gradient(train, model).agg(F.lit(model.texts).cast("long").alias("texts"), F.count("term").alias("terms"), (steepest < 1e-6).alias("optimal"))
 
 
 #: Coefficients by term that SQL can repeat, and the intercept.
@@ -393,9 +411,13 @@ def _given_tier(spark: SparkSession, sf_dir: str) -> tuple[fast_tier.FastTier, D
 
 @_query(_SCORED + "select doc_id, round(score, 6) as tier1_score from scored")
 def m3_m5_given_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """TF-IDF and score with the training half's vocabulary and coefficients that are not fitted, so that SQL can follow."""
-    tier, prompts = _given_tier(spark, sf_dir)
-    return tier.score(prompts).select("doc_id", F.round("tier1_score", 6).alias("tier1_score"))
+    """TF-IDF and score with the training half's vocabulary and coefficients that are not fitted, so that SQL can follow; all by tables."""
+    prompts = tables.scored_prompts(spark, sf_dir)
+    train = prompts.where("not held_out")
+    n = train.count()
+    known = fast_tier.document_frequency(train).withColumns({"idf": F.log(F.lit(n + 1.0) / (F.col("documents") + 1)) + 1, "coefficient": ((F.length("term") * 7 + F.ascii("term")) % 11 - 5) / 4})
+    model = term_regression.TermModel(known, _INTERCEPT, n, 0)
+    return term_regression.scored(prompts, model, "doc_id").select("doc_id", F.round("tier1_score", 6).alias("tier1_score"))
 
 
 # ------------------------------------------------------------------ facts, metrics, comparison, gate

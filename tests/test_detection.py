@@ -3,16 +3,16 @@
 import math
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from safemeter.operators import fast_tier
+from safemeter.operators import fast_tier, term_regression
 from safemeter.plans import driver_tables, measure
 from safemeter.schemas import RUNS, columns_of
 from safemeter.sources.store import RunStore
 from safemeter.streaming import replay
 
 
-
 @pytest.fixture(scope="module")
 def halves(spark):
     """Labelled documents, those to fit on and those to score."""
@@ -65,13 +65,44 @@ def test_run_from_corpus_to_store_and_stream_equals_batch(spark, halves, tmp_pat
         replay.land(other, f"{root}/out", f"{root}/c4", keys=["event_id"]).awaitTermination()
 
 
-def test_fit_keeps_the_whole_vocabulary_of_its_sample(spark, monkeypatch):
-    monkeypatch.setattr(fast_tier, "VOCABULARY", 2, raising=False)
+def test_fit_keeps_the_whole_vocabulary_of_its_sample(spark):
     train = spark.createDataFrame([(f"aa{k % 5} bb", "attack" if k % 2 else "benign") for k in range(20)], "text string, label string")
     assert len(fast_tier.fit(train).vocabulary.vocabulary) == 11
     assert "bb" in fast_tier.fit(train, sample=12).vocabulary.vocabulary
 
 
+def test_term_tables_equal_a_converged_library_fit(spark, halves):
+    """Coefficients, intercept and scores of the table fit against Spark's own optimiser run to convergence."""
+    train, held = halves
+    model, tier = term_regression.fit(train), fast_tier.fit(train)
+    n, positive = train.count(), train.where("label = 'attack'").count()
+    weight = F.when(F.col("y") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive)))
+    rows = tier.features(train.withColumn("y", (F.col("label") == "attack").cast("double"))).withColumn("weight", weight)
+    library = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / n, standardization=False, maxIter=1000, tol=1e-15).fit(rows)
+    want = dict(zip(tier.vocabulary.vocabulary, library.coefficients.toArray().tolist(), strict=True))
+    got = {r["term"]: r["coefficient"] for r in model.terms.collect()}
+    assert got.keys() == want.keys() and max(abs(got[t] - want[t]) for t in want) < 1e-6 and abs(model.intercept - library.intercept) < 1e-6
+    tier.model = fast_tier._model(spark, library.coefficients, library.intercept)
+    scores = {r["doc_id"]: r["tier1_score"] for r in tier.score(held).collect()}
+    same = {r["doc_id"]: r["tier1_score"] for r in term_regression.scored(held, model, "doc_id").collect()}
+    assert same.keys() == scores.keys() and max(abs(same[k] - scores[k]) for k in scores) < 1e-6
+    steep = term_regression.gradient(train, model).agg(F.max(F.abs("gradient"))).first()[0]
+    assert steep < 1e-8
+
+
+def test_term_tables_on_odd_rows(spark):
+    train = spark.createDataFrame([("aa bb aa", "attack"), ("aa cc", "benign"), (None, "benign"), ("aa cc", "benign"), ("", "attack")], "text string, label string")
+    model = term_regression.fit(train)
+    rows = spark.createDataFrame([(1, "aa aa"), (2, None), (3, ""), (4, "zz")], "k long, text string")
+    got = {r["k"]: r["tier1_score"] for r in term_regression.scored(rows, model, "k").collect()}
+    assert len(got) == 4 and got[2] == got[3] == got[4] and all(0 < s < 1 for s in got.values())
+    assert term_regression.scored(rows.limit(0), model, "k").count() == 0
+    with pytest.raises(ValueError):
+        term_regression.fit(train.where("label = 'benign'"))
+    with pytest.raises(ValueError):
+        term_regression.fit(train.limit(0))
+
+
 def test_given_coefficients(spark):
     train = spark.createDataFrame([("aa bb",), ("aa bb",), ("cc",)], "text string")
     tier = fast_tier.with_coefficients(train, lambda t: float(len(t)), -1.0)
