@@ -87,7 +87,7 @@ def test_run_equals_its_stages(spark, stages):
 
 
 def test_every_operator_has_its_query():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 LONG = "The quick brown fox jumps over the lazy dog while seventeen other animals look on in silence. " * 300
