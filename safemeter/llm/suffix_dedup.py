@@ -13,10 +13,10 @@ common shift below ``PERIOD``.
 3. The suffixes within reach of a shared name, sampled or not, are merged: sorted by their
    first ``LENGTH`` bytes and compared with their neighbours.
 
-Texts are dealt, in the order of their ids, into blocks of about ``BLOCK_BYTES``.  A block sends
-its distinct names, sorted and as differences, to the tasks that hold a range of names each,
+Texts are sorted by id and cut by bytes into blocks of ``BLOCK_BYTES``, any number of them.  A block
+sends its distinct names, sorted and as differences, to the tasks that hold a range of names each,
 and gets the shared ones back, of windows one bit each.  So a name that every text has is
-sent once per block.  Ranges of names are sorted one after another (``ROUNDS``), and each is cleared away
+sent once per block, and a block sends no more requests than it has names.  Ranges of names are sorted one after another (``ROUNDS``), and each is cleared away
 before the next, so the disk holds a fraction of all suffixes at a time.  For windows a name
 is 96 bits of hash and the bit says whether an earlier block has it; repeats inside a block
 are found in the block.  Copies of whole texts are set apart first, by SHA-256.
@@ -25,6 +25,7 @@ are found in the block.  Copies of whole texts are set apart first, by SHA-256.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,12 @@ LENGTH = 50
 COVERS = {31: (0, 1, 3, 8, 12, 18), 21: (0, 1, 4, 14, 16), 13: (0, 1, 3, 9), 7: (0, 1, 3), 3: (0, 1)}
 PERIOD = 31
 BLOCK_BYTES = 8 << 20
+#: What a row counts for beside its text, so that a block of empty texts ends too.
+ROW_BYTES = 64
+#: Blocks that one task of the sort by id cuts, on average.
+TASK_BLOCKS = 16
+#: Bits of a block's number that tell the blocks of one task apart.
+_CUT_BITS = 24
 #: Suffixes, on average, that one task of a sort gets at once.
 SORT_ROWS = 2_000_000
 #: Ranges of names that are sorted one after another.
@@ -49,8 +56,8 @@ NAME_BITS = 40
 #: Digests of repeated texts are broadcast up to this many (40 bytes each, and an id); beyond it the join shuffles.
 BROADCAST_COPIES = 200_000
 
-_REQUEST = "bucket int, block int, n int, names binary, more binary"
-_REPLY = "kind int, block int, bucket int, answer binary"
+_REQUEST = "bucket int, block long, n int, names binary, more binary"
+_REPLY = "kind int, block long, bucket int, answer binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -82,9 +89,15 @@ class Sort:
         self.log = max(rounds - 1, math.ceil(rows / SORT_ROWS)).bit_length()
         self.shift = np.uint64(bits - self.log)
 
-    def edges(self, names: np.ndarray) -> np.ndarray:
-        """Where each bucket begins in ascending names."""
-        return np.searchsorted(names, np.arange(1 << self.log, dtype=np.uint64) << self.shift).tolist() + [len(names)]
+    def spans(self, names: np.ndarray, buckets: np.ndarray) -> list[tuple[int, int]]:
+        """Where each of the ``buckets`` begins and ends in ascending names."""
+        own = names >> self.shift
+        return list(zip(*(np.searchsorted(own, buckets.astype(np.uint64), side).tolist() for side in ("left", "right")), strict=True))
+
+    def filled(self, names: np.ndarray, turn: int) -> np.ndarray:
+        """Buckets of a round that some of the ascending names are in."""
+        own, _ = _ascending(names >> self.shift)
+        return own[(own >= np.uint64(self.buckets(turn).start)) & (own < np.uint64(self.buckets(turn).stop))]
 
     def buckets(self, turn: int) -> range:
         return range((turn << self.log) // self.rounds, (turn + 1 << self.log) // self.rounds)
@@ -128,7 +141,7 @@ class Block:
         for i, _, data, off in self.texts():
             at, of = self.sampled(data, off)
             one, _ = self.hasher.at(data, at, self.gram)
-            # a name and a rank side by side in one number: the ranks of a block are far below 2 ** 24
+            # a name and a rank side by side in one number: a block has at most BLOCK_BYTES / ROW_BYTES ids and one, below 2 ** 24
             keys.append((one >> np.uint64(64 - NAME_BITS)) << np.uint64(64 - NAME_BITS) | self.rank[i + of].astype(np.uint64))
         key, _ = _ascending(np.concatenate(keys))
         name, begins = _ascending(key >> np.uint64(64 - NAME_BITS))
@@ -166,12 +179,11 @@ def _among(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[at] == values
 
 
-def _replied(replies: pa.Table, sort: Sort, edges: list[int]) -> np.ndarray:
+def _replied(replies: pa.Table, sort: Sort, names: np.ndarray) -> np.ndarray:
     """The bits that came back for the ascending names of a block."""
-    out = np.zeros(edges[-1], bool)
+    out = np.zeros(len(names), bool)
     mine = replies.filter(pc.equal(replies["kind"], sort.kind))
-    for bucket, bits in zip(mine["bucket"].to_pylist(), mine["answer"], strict=True):
-        a, b = edges[bucket], edges[bucket + 1]
+    for (a, b), bits in zip(sort.spans(names, mine["bucket"].to_numpy()), mine["answer"], strict=True):
         out[a:b] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=b - a).astype(bool)
     return out
 
@@ -186,19 +198,17 @@ def _table(schema: list[tuple[str, pa.DataType]], columns: list[list]) -> pa.Tab
     return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(schema, columns, strict=True)})
 
 
-_REQUEST_TYPES = [("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("names", pa.binary()), ("more", pa.binary())]
-_REPLY_TYPES = [("kind", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("answer", pa.binary())]
+_REQUEST_TYPES = [("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("names", pa.binary()), ("more", pa.binary())]
+_REPLY_TYPES = [("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("answer", pa.binary())]
 
 
 def _requests(block: int, names: np.ndarray, more: np.ndarray | None, flags: np.ndarray | None, sort: Sort, turn: int) -> pa.Table:
     out: list[list] = [[], [], [], [], []]
-    edges = sort.edges(names)
-    for k in sort.buckets(turn):
-        a, b = edges[k], edges[k + 1]
-        if a < b:
-            extra = np.packbits(flags[a:b]).tobytes() if more is None else more[a:b].astype("<u4").tobytes()
-            for column, value in zip(out, (k, block, b - a, _packed(names[a:b]), extra), strict=True):
-                column.append(value)
+    buckets = sort.filled(names, turn)
+    for k, (a, b) in zip(buckets.tolist(), sort.spans(names, buckets), strict=True):
+        extra = np.packbits(flags[a:b]).tobytes() if more is None else more[a:b].astype("<u4").tobytes()
+        for column, value in zip(out, (k, block, b - a, _packed(names[a:b]), extra), strict=True):
+            column.append(value)
     return _table(_REQUEST_TYPES, out)
 
 
@@ -245,7 +255,35 @@ def _runs_of(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def repeated(texts: DataFrame, n_blocks: int, n_bytes: int, scratch: Scratch, *, length: int, period: int) -> DataFrame:
+def _blocks(rows: DataFrame, limit: int) -> DataFrame:
+    """``block``, ``id``, ``t`` of ``rows`` (id, t), whose partitions are in the order of ids and sorted by id.
+
+    A block ends where ``limit`` bytes are full and the id changes, so rows of one id share a block.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << _CUT_BITS
+        before, begun, last = 0, 0, None  # bytes so far, bytes before the id at hand, and that id's hash
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size, key = b.column(2).to_numpy(), b.column(3).to_numpy()
+            ends = before + np.cumsum(size)
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+            begins = np.where(new, ends - size, 0)
+            if not new[0]:
+                begins[0] = begun
+            begins = np.maximum.accumulate(begins)
+            before, begun, last = int(ends[-1]), int(begins[-1]), key[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(first + begins // limit, pa.int64()), b.column(0), b.column(1)], ["block", "id", "t"])
+
+    sized = rows.select("id", "t", (F.octet_length("t").cast("long") + ROW_BYTES).alias("size"), F.xxhash64("id").alias("key"))
+    return sized.mapInArrow(cut, f"block long, id {rows.schema['id'].dataType.simpleString()}, t string")
+
+
+def repeated(texts: DataFrame, n_bytes: int, scratch: Scratch, *, length: int, period: int) -> DataFrame:
     """``id``, ``n_bytes``, ``spans`` and ``kept`` of every row of ``texts`` (block, id, t): a table bucketed by block, blocks in the order of ids."""
     spark = texts.sparkSession
     density = len(COVERS[period]) / period
@@ -294,7 +332,7 @@ def repeated(texts: DataFrame, n_blocks: int, n_bytes: int, scratch: Scratch, *,
             found.append([one, two, i + doc, start - off[doc]])
         one, two, doc, start = (np.concatenate([x[k] for x in found]) for k in range(4))
         names, _, order, new = _distinct(one, two)
-        hit = _replied(answered, by_window, by_window.edges(names))
+        hit = _replied(answered, by_window, names)
         # neighbours of equal names: the texts after the first id are repeats even where no earlier block has the window
         group = np.cumsum(new) - 1
         rank = block.rank[doc[order]]
@@ -352,14 +390,16 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     copied = digests.where("first < last or (named > 0 and named < n)").select(F.col("digest").alias("copied"), "first")
     marked = rows.join(F.broadcast(copied) if small_enough(copied, BROADCAST_COPIES) else copied, F.col("digest") == F.col("copied"), "left")
     copy = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
-    total = digests.agg(F.sum(F.col("size") * F.col("n"))).first()[0] or 0
+    total = digests.agg(F.sum((F.col("size") + ROW_BYTES) * F.col("n"))).first()[0] or 0
 
-    n_blocks = max(shuffle_partitions(spark), -(-total // BLOCK_BYTES))
-    ordered = marked.where(~copy).select("id", "t").repartitionByRange(n_blocks, F.col("id").asc_nulls_last())
-    texts = scratch.bucketed(ordered.select(F.spark_partition_id().alias("block"), "id", "t"), "texts", "block", n_blocks)
+    n_blocks, order = -(-total // BLOCK_BYTES), F.col("id").asc_nulls_last()
+    ordered = marked.where(~copy).select("id", "t").repartitionByRange(max(shuffle_partitions(spark), -(-n_blocks // TASK_BLOCKS)), order).sortWithinPartitions(order)
+    # files of a table are cut by a hash of the block; where Spark allows fewer than there are blocks, one holds several
+    n_files = min(max(shuffle_partitions(spark), n_blocks), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    texts = scratch.bucketed(_blocks(ordered, BLOCK_BYTES), "texts", "block", n_files)
     release_shuffles(spark)
 
-    found = repeated(texts, n_blocks, total, scratch, length=length, period=period)
+    found = repeated(texts, total, scratch, length=length, period=period)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
     found = found.select("id", "n_bytes", removed.alias("n_removed"), "spans", "kept")
     n = F.octet_length("t")

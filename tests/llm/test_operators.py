@@ -692,6 +692,36 @@ def test_suffix_dedup_by_any_cover_id_type_and_block(spark, period, monkeypatch)
         suffix_dedup.deduplicated(docs, length=20)
 
 
+def test_suffix_dedup_with_more_blocks_than_buckets(spark, monkeypatch):
+    """Blocks are cut by bytes where the id changes, in any number; a bucket of the table then holds several."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "SORT_ROWS", 50)
+    rng = random.Random(4)
+    base = text(rng, 200)
+    rows = [(i, base[(a := rng.randint(0, 900)) : a + rng.randint(0, 200)]) for i in range(150)]
+    rows += [(7, base[100:300]), (7, base[150:400]), (160, ""), (160, None), (161, "x" * 3000), (162, "x" * 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first, want = {}, Counter()
+    encoded = [(i, (t or "").encode()) for i, t in rows]
+    for i, t in encoded:
+        for k in range(len(t) - 49):
+            first[t[k : k + 50]] = min(i, first.get(t[k : k + 50], i))
+    for i, t in encoded:
+        gone = {p for k in range(len(t) - 49) if first[t[k : k + 50]] < i for p in range(k, k + 50)}
+        want[(i, len(gone))] += 1
+    limit = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        got = suffix_dedup.deduplicated(docs).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", limit)
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got) == want
+    cut = suffix_dedup._blocks(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).toDF("id", "t").repartitionByRange(2, "id").sortWithinPartitions("id"), 500)
+    sizes = cut.groupBy("block").agg(F.sum(F.octet_length("t") + suffix_dedup.ROW_BYTES).alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).orderBy("block").collect()
+    assert len(sizes) > 20 and all(x["high"] < y["low"] for x, y in zip(sizes, sizes[1:], strict=False))
+    assert all(r["n"] <= 500 + 3064 for r in sizes)
+
+
 def slow_vector(t, idf):
     """TF-IDF of hashed byte 2- and 3-grams, from the rule."""
     low = bytearray(b" ")
