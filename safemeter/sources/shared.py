@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
 
@@ -34,6 +35,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A split with more than so many times its even share of the rows keeps the other cores waiting.
+UNEVEN = 2
+
+
+def evened(df: DataFrame, *by: str, probe: DataFrame | None = None) -> DataFrame:
+    """``df``, dealt out over all cores (by the columns ``by``, if any) where its splits are too few or uneven for them.
+
+    So it is with files of one row group, which are read in one task.  Tables of many
+    splits stay as they are and nothing is moved.  ``probe``: the same splits with columns
+    that are cheap to read; only its rows are counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = (df if probe is None else probe).groupBy(F.spark_partition_id().alias("split")).count()
+    most, total = splits.agg(F.max("count"), F.sum("count")).first()
+    if total is None or most * cores <= UNEVEN * total:
+        return df
+    return df.repartition(cores, *by)
+
+
 def files_of(spark: SparkSession, path: str):
     """The file system that holds ``path``, and the path in it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

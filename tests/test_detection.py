@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from safemeter.operators import fast_tier, term_regression
 from safemeter.plans import driver_tables, measure
 from safemeter.schemas import RUNS, columns_of
+from safemeter.sources.shared import evened
 from safemeter.sources.store import RunStore
 from safemeter.streaming import replay
 
@@ -65,6 +66,17 @@ def test_run_from_corpus_to_store_and_stream_equals_batch(spark, halves, tmp_pat
         replay.land(other, f"{root}/out", f"{root}/c4", keys=["event_id"]).awaitTermination()
 
 
+def test_few_or_uneven_splits_are_dealt_out_and_even_ones_stay(spark):
+    rows = spark.range(0, 4000, 1, 8)
+    assert evened(rows) is rows and evened(spark.range(0)) is not None
+    for uneven in (rows.coalesce(1), rows.repartition(8, F.least("id", F.lit(3000)))):
+        dealt = evened(uneven.coalesce(1), "id", probe=uneven.coalesce(1))
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 4000 and max(sizes) < 1500
+    one = spark.createDataFrame([("aa bb cc",), ("bb cc",), (None,), ("",), ("aa bb",)], "text string").coalesce(1)
+    assert {tuple(r) for r in fast_tier.document_frequency(one).collect()} == {("aa", 2), ("bb", 3), ("cc", 2), ("aa bb", 2), ("bb cc", 2)}
+
+
 def test_fit_keeps_the_whole_vocabulary_of_its_sample(spark):
     train = spark.createDataFrame([(f"aa{k % 5} bb", "attack" if k % 2 else "benign") for k in range(20)], "text string, label string")
     assert len(fast_tier.fit(train).vocabulary.vocabulary) == 11
