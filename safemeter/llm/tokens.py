@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import evened
 from ._common import Scratch, bit_filter, in_filter, skew_join, text_or_empty
 
 LIBRARY = {".json": "tokenizers", ".tiktoken": "tiktoken", ".model": "sentencepiece"}
@@ -147,11 +148,15 @@ def count_tokens(docs: DataFrame, path: str, cache_dir: str, *, id_col: str = "d
     scratch = Scratch(spark, "token-counts")
     tokenizer = tokenizer_digest(path)
     content = text_or_empty(text_col) if normalised is None else normalised
-    keyed = docs.select(F.col(id_col), content.alias("t")).select(id_col, F.octet_length("t").cast("long").alias("n_bytes"), F.unhex(F.sha2("t", 256)).alias("content"))
+    source = docs.select(F.col(id_col), content.alias("t"))
+    dealt = evened(source, probe=docs)
+    if dealt is not source:  # texts are digested and encoded where they are read
+        source = scratch.written(dealt, "dealt")
+    keyed = source.select(id_col, F.octet_length("t").cast("long").alias("n_bytes"), F.unhex(F.sha2("t", 256)).alias("content"))
     known = stored(spark, cache_dir, tokenizer)
     wanted = keyed.groupBy("content").agg(F.count("*").alias("n"))
     wanted = scratch.written(wanted.withColumn("place", F.xxhash64("content")), "wanted")
-    texts = docs.select(content.alias("t")).select(F.unhex(F.sha2("t", 256)).alias("content"), "t")
+    texts = source.select(F.unhex(F.sha2("t", 256)).alias("content"), "t")
     missing = wanted if known is None else scratch.written(wanted.join(known.select("content").distinct(), "content", "left_anti"), "missing")
     if not missing.isEmpty():
         # texts that are missing for sure are encoded where they are; those that may be there, or occur more than once, are joined

@@ -58,6 +58,7 @@ def test_token_counts(spark, docs, corpus, none, tmp_path):
     stored = tokens.stored(spark, cache, tokens.tokenizer_digest(path))
     assert stored.count() == len({t or "" for _, t, *_ in corpus})
     assert got(tokens.count_tokens(docs, path, cache)) == want and stored.count() == tokens.stored(spark, cache, tokens.tokenizer_digest(path)).count()
+    assert got(tokens.count_tokens(docs.coalesce(1), path, str(tmp_path / "one-split"))) == want
     more = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("  <|endoftext|> \n\n it's 12 　x")).alias("text"))
     want = {r["doc_id"]: len(tok.encode(r["text"], add_special_tokens=False)) for r in more.collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(more, path, cache).collect()} == want
