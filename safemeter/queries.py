@@ -798,11 +798,11 @@ def t1_t2_t4_t5_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = replay.publish(tables.prompts(spark, sf_dir), ["doc_id"], f"{root}/events", f"{root}/truth", rows_per_file=_STREAM_ROWS)
     for attempt in ("a", "b"):
         stream = replay.subscribe(spark, f"{root}/events", files_per_trigger=max(1, files // 2))
-        replay.land(stream, f"{root}/landed", f"{root}/checkpoint-{attempt}", keys=["event_id"], bucket=replay.by_number(rows=_STREAM_ROWS)).awaitTermination()
+        replay.land(stream, f"{root}/landed", f"{root}/checkpoint-{attempt}", keys=["event_id"]).awaitTermination()
     return replay.landed(spark, f"{root}/landed", replay.subscribe(spark, f"{root}/events").schema)
 
 
-#: Rows of a file of events, and of a bucket of landed ones, in the registered queries.
+#: Rows of a file of events in the registered queries.
 _STREAM_ROWS = 5000
 
 
@@ -810,7 +810,7 @@ def _streamed(spark: SparkSession, tier: fast_tier.FastTier, prompts: DataFrame)
     root = new_folder(spark, "detect")
     files = replay.publish(prompts, ["doc_id"], f"{root}/events", f"{root}/truth", rows_per_file=_STREAM_ROWS)
     found = measure.detections_of(replay.subscribe(spark, f"{root}/events", files_per_trigger=max(1, files // 2)), tier, low=0.3, high=0.7)
-    replay.land(found, f"{root}/landed", f"{root}/checkpoint", keys=["event_id"], bucket=replay.by_number(rows=_STREAM_ROWS)).awaitTermination()
+    replay.land(found, f"{root}/landed", f"{root}/checkpoint", keys=["event_id"]).awaitTermination()
     return replay.landed(spark, f"{root}/landed", found.schema)
 
 

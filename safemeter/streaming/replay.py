@@ -2,28 +2,32 @@
 
 The events go to ordered files and the truth to a place of its own; the stream reads the
 event files with the blind schema, so no truth column can reach a detector.  Detection is
-stateless.  The sink lands micro-batches by key: a batch that is run again adds nothing,
-and a changed payload raises.
+stateless.  The sink keeps one digest per key as the stream's state: a row that comes again
+adds nothing, a changed payload raises, and what has landed is not read again.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType, VariantType
 
 from ..operators.staging import blind_events, truth_of, with_clock
 from ..schemas import BLIND_EVENT
 from ..sources.shared import exists
 
-
-#: Rows of a file of events, and ranges that the landed rows are kept in by default.
-ROWS_PER_FILE, BUCKETS = 50_000, 64
+#: Rows of a file of events.
+ROWS_PER_FILE = 50_000
+#: Keys outgrow an executor's heap, so they are kept in RocksDB.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DIGEST = "_digest"
 
 
 def publish(corpus: DataFrame, order: list[str], events_path: str, truth_path: str, *, rows_per_file: int = ROWS_PER_FILE) -> int:
@@ -40,51 +44,80 @@ def subscribe(spark: SparkSession, events_path: str, *, files_per_trigger: int =
     return spark.readStream.schema(BLIND_EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(events_path)
 
 
-def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], bucket: Column | None = None, also: tuple[Callable[[DataFrame, int], None], ...] = ()) -> StreamingQuery:
-    """Write a stream to ``path`` by key, all that is there now; ``also`` gets every batch too.
+def payload_digest(schema: StructType, keys: list[str]) -> Column:
+    """SHA-256 of a row's columns other than ``keys``, null apart from every value."""
+
+    def text(name: str, of: DataType) -> Column:
+        nested = isinstance(of, (ArrayType, MapType, StructType, VariantType))
+        return F.to_json(name, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}) if nested else F.base64(name) if of.typeName() == "binary" else F.col(name).cast("string")
+
+    texts = [text(f.name, f.dataType).alias(f.name) for f in schema.fields if f.name not in keys]
+    return F.sha2(F.to_json(F.struct(*texts), {"ignoreNullFields": "false"}), 256) if texts else F.lit("")
+
+
+class _Once(StatefulProcessor):
+    """Passes the first row of a key on and keeps its digest; the same row again is nothing, another one an error."""
+
+    def __init__(self, columns: list[str]):
+        self._columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._known = handle.getValueState("payload", f"{DIGEST} string")
 
-    The new rows of a query's batch overwrite the folder of that batch, so a batch that is
-    retried after a crash leaves one copy; rows whose key another batch landed are no-ops.
-    ``bucket``: an integer that the keys decide.  Landed rows are kept by it, and a batch is
-    compared with the rows of its own buckets only; with one that follows the order of
-    arrival, as :func:`by_number` does for replayed events, these are few however much has
-    landed.  By default it is a hash of the keys.
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        found = self._known.get()
+        known = found[0] if found else None
+        for row in rows:
+            if known is None:
+                known = row[DIGEST]
+                self._known.update((known,))
+                yield Row(**{c: row[c] for c in self._columns})
+            elif known != row[DIGEST]:
+                raise ValueError(f"another payload was landed under {list(key)}")
+
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
+        self._known.update((initialState[DIGEST],))
+
+    def close(self) -> None:
+        pass
+
+
+def land(stream: DataFrame, path: str, checkpoint: str, *, keys: list[str], also: tuple[Callable[[DataFrame, int], None], ...] = ()) -> StreamingQuery:
+    """Write a stream to ``path`` by key, all that is there now; ``also`` gets the new rows of every batch.
+
+    A key's first row lands, the same row again (null equal to null) is a no-op, and another
+    payload raises.  The state, in RocksDB under ``checkpoint``, holds a digest per key, so a
+    batch costs what it brings, however much has landed.  A query with a new checkpoint takes
+    the digests of what lies in ``path`` as its first state, in one read; one that goes on
+    from its checkpoint reads nothing.  Two queries that run at once into one path do not see
+    each other's keys.  The new rows of a batch overwrite the folder of that batch, so a batch
+    that is retried after a crash leaves one copy.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int") if bucket is None else bucket
-    columns = stream.columns
-    payload = [c for c in columns if c not in keys]
+    session, schema = stream.sparkSession, stream.schema
     query = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
-    kept = StructType([*stream.schema.fields, StructField("batch", StringType()), StructField("bucket", IntegerType())])
+    digest = payload_digest(schema, keys)
+    there = session.read.schema(StructType([*schema.fields, StructField("batch", StringType())])).parquet(path).where(F.col("batch").substr(1, len(query)) != query) if exists(session, path) else session.createDataFrame([], schema)
+    known = there.select(*keys, digest.alias(DIGEST)).groupBy(*keys)
+    once = stream.withColumn(DIGEST, digest).groupBy(*keys).transformWithState(_Once(schema.names), schema, "append", "none", known)
 
     def sink(batch: DataFrame, n: int) -> None:
-        session = batch.sparkSession
         batch = batch.persist()
         try:
-            rows = batch.distinct().withColumn("bucket", bucket)
-            if first := rows.groupBy(*keys).count().where("count > 1").take(1):
-                raise ValueError(f"two payloads in one batch: {first[0].asDict()}")
-            if not rows.isEmpty():
-                if exists(session, path):
-                    own = [r[0] for r in rows.select("bucket").distinct().collect()]
-                    there = session.read.schema(kept).parquet(path).where((F.col("batch") != f"{query}-{n}") & F.col("bucket").isin(*own))
-                    old = there.select(*keys, *(F.col(c).alias(f"old_{c}") for c in payload))
-                    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in payload], F.lit(True))
-                    if first := rows.join(old, keys).where(~same).take(1):
-                        raise ValueError(f"another payload was landed under {[first[0][k] for k in keys]}")
-                    rows = rows.join(there.select(*keys), keys, "left_anti").select(*columns, "bucket")
-                rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={query}-{n}")
+            if not batch.isEmpty():
+                batch.write.mode("overwrite").parquet(f"{path}/batch={query}-{n}")
             for subscriber in also:
                 subscriber(batch, n)
         finally:
             batch.unpersist()
 
-    return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def by_number(event_col: str = "event_id", rows: int = ROWS_PER_FILE) -> Column:
-    """The bucket of a replayed event: events of neighbouring numbers share it."""
-    return F.floor(F.substring(event_col, 5, 20).cast("long") / rows).cast("int")
+    before = session.conf.get(STATE_STORE)
+    session.conf.set(STATE_STORE, ROCKS_DB)  # the query keeps the settings of its start
+    try:
+        return once.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        session.conf.set(STATE_STORE, before)
 
 
-def landed(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
+def landed(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What lies in ``path``; no rows where no batch has landed yet."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names) if exists(spark, path) else spark.createDataFrame([], schema)

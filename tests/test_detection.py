@@ -1,6 +1,8 @@
 """The fast tier, runs and the stream."""
 
 import math
+import shutil
+from datetime import datetime
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -54,10 +56,6 @@ def test_run_from_corpus_to_store_and_stream_equals_batch(spark, halves, tmp_pat
     assert len(batches) == files == 3
     for again in ("c2", "c3"):
         replay.land(stream, f"{root}/out", f"{root}/{again}", keys=["event_id"]).awaitTermination()
-    by_number = replay.by_number(rows=5)
-    for again in ("c5", "c6"):
-        replay.land(stream, f"{root}/numbered", f"{root}/{again}", keys=["event_id"], bucket=by_number).awaitTermination()
-    assert replay.landed(spark, f"{root}/numbered", stream.schema).count() == n
     got = replay.landed(spark, f"{root}/out", stream.schema)
     want = t.detections.select(*got.columns)
     assert got.count() == n and got.exceptAll(want).count() == 0
@@ -66,6 +64,68 @@ def test_run_from_corpus_to_store_and_stream_equals_batch(spark, halves, tmp_pat
         replay.land(other, f"{root}/out", f"{root}/c4", keys=["event_id"]).awaitTermination()
 
 
+_PAID = "k string, n long, at timestamp, tags array<string>"
+
+
+def _landing(spark, root, checkpoint="c", **options):
+    replay.land(spark.readStream.schema(_PAID).parquet(f"{root}/in"), f"{root}/out", f"{root}/{checkpoint}", keys=["k"], **options).awaitTermination()
+    return sorted(tuple(r) for r in replay.landed(spark, f"{root}/out", spark.createDataFrame([], _PAID).schema).select("k", "n").collect())
+
+
+def _offer(spark, root, rows):
+    full = [(k, n, datetime(2026, 1, 1, microsecond=7), ["x", None]) for k, n in rows]
+    spark.createDataFrame(full, _PAID).coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+
+def test_landing_keeps_its_keys_as_state_and_reads_nothing_back(spark, tmp_path):
+    root = str(tmp_path)
+    _offer(spark, root, [("a", 1), ("b", None), ("b", None), ("c", 2**53 + 1)])
+    assert _landing(spark, root) == [("a", 1), ("b", None), ("c", 2**53 + 1)]
+    shutil.move(f"{root}/out", f"{root}/aside")  # the same query goes on without what it landed
+    _offer(spark, root, [("b", None), ("d", 4), ("a", 1)])
+    assert _landing(spark, root) == [("d", 4)]
+    shutil.copytree(f"{root}/aside", f"{root}/out", dirs_exist_ok=True)
+    _offer(spark, root, [("e", 5)])
+    assert _landing(spark, root, "new") == [("a", 1), ("b", None), ("c", 2**53 + 1), ("d", 4), ("e", 5)]  # another query starts from what lies there
+
+
+@pytest.mark.parametrize("first, then", [([("a", 1)], [("a", 2)]), ([("a", None)], [("a", 0)]), ([("b", 1)], [("a", 1), ("a", 2)])])
+@pytest.mark.parametrize("checkpoint", ["c", "new"])
+def test_landing_refuses_another_payload(spark, tmp_path, first, then, checkpoint):
+    root = str(tmp_path)
+    _offer(spark, root, first)
+    assert _landing(spark, root) == first
+    _offer(spark, root, then)
+    with pytest.raises(Exception, match="another payload"):
+        _landing(spark, root, checkpoint)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/out").select("k", "n").collect()) == first
+
+
+def test_landing_tried_again_after_a_crash_leaves_one_copy(spark, tmp_path):
+    root = str(tmp_path)
+
+    def crash(batch, n):
+        raise RuntimeError("lost")
+
+    _offer(spark, root, [("a", 1), ("b", 2)])
+    with pytest.raises(Exception, match="lost"):
+        _landing(spark, root, also=(crash,))  # the batch is written, but not committed
+    assert spark.read.parquet(f"{root}/out").count() == 2
+    seen = []
+    assert _landing(spark, root, also=(lambda batch, n: seen.append(batch.count()),)) == [("a", 1), ("b", 2)] and seen == [2]
+
+
+def test_payload_digests_tell_values_and_nulls_apart(spark):
+    rows = [("k", None, 1), ("k", "", 1), ("k", "null", 1), ("k", None, None), ("k", "1", None)]
+    schema = "k string, a string, b int"
+    df = spark.createDataFrame(rows, schema)
+    made = [r[0] for r in df.select(replay.payload_digest(df.schema, ["k"])).collect()]
+    assert len(set(made)) == len(rows)
+    deep = spark.createDataFrame([("k", {"m": 1.5}, bytearray(b"x"), [None, 1])], "k string, m map<string, double>, y binary, l array<int>")
+    assert len(deep.select(replay.payload_digest(deep.schema, ["k"])).first()[0]) == 64
+    assert deep.select(replay.payload_digest(deep.select("k").schema, ["k"])).first()[0] == ""
+
+
 def test_few_or_uneven_splits_are_dealt_out_and_even_ones_stay(spark):
     rows = spark.range(0, 4000, 1, 8)
     assert evened(rows) is rows and evened(spark.range(0)) is not None
