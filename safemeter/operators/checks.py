@@ -114,8 +114,12 @@ def tier_decisions_off(facts: DataFrame, tiers: DataFrame) -> DataFrame:
     return rows.join(decided, "run_id").where("fact_rows <> tier_rows")
 
 
+def _out_of_bounds(rates: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(~F.col(c).between(0, 1), F.lit(False)) for c in rates])
+
+
 def rates_out_of_bounds(df: DataFrame, rates: list[str]) -> DataFrame:
-    return df.where(reduce(lambda a, b: a | b, [F.coalesce(~F.col(c).between(0, 1), F.lit(False)) for c in rates]))
+    return df.where(_out_of_bounds(rates))
 
 
 def all_checks(t: RunTables, facts: DataFrame, burden: DataFrame, family: DataFrame, tiers: DataFrame, cases: DataFrame, comparisons: DataFrame) -> dict[str, DataFrame]:
@@ -149,6 +153,85 @@ def all_checks(t: RunTables, facts: DataFrame, burden: DataFrame, family: DataFr
     }
 
 
+def row_checks(name: str) -> dict[str, Column]:
+    """The checks that a row of a stored table or of ``facts`` fails by itself, by name; a null condition passes."""
+    broken = lambda rules: ~reduce(lambda a, b: a & b, [F.coalesce(r, F.lit(True)) for r in rules])
+    if name == "facts":
+        flags = ("is_true_positive", "is_false_positive", "is_true_negative", "is_false_negative")
+        return {"c10_outcomes": sum((F.col(c).cast("int") for c in flags), F.lit(0)) != 1}
+    own = {f"c2_nulls_{name}": broken(F.col(c).isNotNull() for c in columns_of(TABLES[name]) if c not in NULLABLE.get(name, ()))}
+    if name in ACCEPTED:
+        own[f"c4_accepted_{name}"] = broken(F.col(c).isin(*v) for c, v in ACCEPTED[name].items())
+    if rules := {"runs": run_rules, "detections": detection_rules}.get(name):
+        own[f"c6_{name}"] = broken(rules().values())
+    if name == "ground_truth":
+        own["c1_label_family"] = (F.col("family") == "benign") != (F.col("label") == "benign")
+    return own
+
+
+def _inlined(counts: DataFrame) -> DataFrame:
+    """One row of counts as rows of check and violations; a sum over no rows is 0."""
+    return counts.select(F.inline(F.array(*(F.struct(F.coalesce(F.col(c), F.lit(0)).cast("long").alias("violations"), F.lit(c).alias("check")) for c in counts.columns))))
+
+
+def stored_violations(t: RunTables, facts: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Violations per check of the stored tables and the facts, with one scan of each and no join.
+
+    A scan turns a row into its key, its relation and the checks it fails.  These meet in one
+    aggregate by run and event, which decides what needs a key (repeated keys, orphans,
+    completeness), then in one by run (unknown and repeated runs, decisions of tiers).  A key
+    with a null is nobody's partner, as in a join.
+    """
+    relations = {"runs": t.runs.withColumn("event_id", F.lit(None).cast("string")), "events": t.events, "ground_truth": t.ground_truth, "detections": t.detections, "facts": facts}
+    failed = {n: row_checks(n) for n in relations}
+    names = [c for own in failed.values() for c in own]
+    no = F.lit(False)
+    marked = [
+        df.select(*KEYS["events"], *(F.lit(n == other).alias(other) for other in relations), *(F.coalesce(failed[n].get(c, no), no).alias(c) for c in names))
+        for n, df in relations.items()
+    ]
+    columns = [*relations, *names]
+    key = reduce(DataFrame.unionByName, marked).groupBy(*KEYS["events"]).agg(*(F.count_if(c).alias(c) for c in columns))
+    run, lost = F.col("run_id"), F.col("run_id").isNull() | F.col("event_id").isNull() | (F.col("events") == 0)
+    none = lambda c: F.col(c) == 0
+    keyed = {
+        "c7_truth": F.when(lost, F.col("ground_truth")),
+        "c7_detections": F.when(lost, F.col("detections")),
+        "c8_composite_keys": sum(((F.col(n) > 1).cast("long") for n in ("events", "ground_truth", "detections", "facts")), F.lit(0)),
+        "c9_complete": ((F.col("events") > 0) & (run.isNull() | F.col("event_id").isNull() | none("ground_truth") | none("detections"))).cast("long"),
+    }
+    by_key = key.select("run_id", *columns, *(c.alias(n) for n, c in keyed.items()))
+    decided = tiers.select("run_id", "decisions", F.lit(1).alias("tiers"))
+    by_run = by_key.unionByName(decided, allowMissingColumns=True).groupBy("run_id").agg(*(F.sum(c).alias(c) for c in (*columns, *keyed, "decisions", "tiers")))
+    return _inlined(by_run.agg(
+        *(F.sum(c).alias(c) for c in (*names, *keyed)),
+        F.count_if(F.col("runs") > 1).alias("c3_run_ids"),
+        F.sum(F.when(run.isNull() | (F.coalesce("runs", F.lit(0)) == 0), F.col("events"))).alias("c5_event_runs"),
+        F.count_if(run.isNotNull() & (F.col("facts") > 0) & (F.col("tiers") > 0) & (F.col("facts") != F.col("decisions"))).alias("c12_tier_decisions"),
+    ))
+
+
+def _model_violations(df: DataFrame, keys: list[str], grain: str, rules: dict[str, Column]) -> DataFrame:
+    """Repeated keys of a model, counted as ``grain``, and rows for which a rule's column holds, in one pass."""
+    each = df.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.count_if(bad).alias(c) for c, bad in rules.items()))
+    return _inlined(each.agg(F.count_if(F.col("_n") > 1).alias(grain), *(F.sum(c).alias(c) for c in rules)))
+
+
+def all_violations(t: RunTables, facts: DataFrame, burden: DataFrame, family: DataFrame, tiers: DataFrame, cases: DataFrame, comparisons: DataFrame) -> DataFrame:
+    """What ``violations`` counts over :func:`all_checks`, check by check, from one pass over each table and model."""
+    rates = ["baseline_catch_rate", "candidate_catch_rate", "baseline_false_positive_rate", "candidate_false_positive_rate"]
+    off = F.col("attack_examples") != F.col("caught_attacks") + F.col("missed_attacks")
+    return reduce(DataFrame.unionByName, [
+        stored_violations(t, facts, tiers),
+        _model_violations(burden, ["run_id"], "c14_burden_grain", {"c13_burden_rates": _out_of_bounds(["false_positive_rate", "evaluation_mix_false_alarm_share_of_blocks"])}),
+        _model_violations(family, ["run_id", "evaluation_family"], "c14_family_grain", {"c11_family_counts": off, "c13_family_rates": _out_of_bounds(["catch_rate"])}),
+        _model_violations(tiers, ["run_id", "decided_by"], "c14_tier_grain", {}),
+        _model_violations(cases, ["candidate_run_id", "event_id"], "c15_case_grain", {}),
+        _model_violations(comparisons, ["candidate_run_id", "evaluation_family"], "c15_comparison_grain", {"c13_comparison_rates": _out_of_bounds(rates)}),
+        violations({"c16_compatible": incompatible_cases(t.runs, facts)}),
+    ])
+
+
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """One row per check: its name and how many rows violate it."""
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("violations")).withColumn("check", F.lit(name)) for name, df in checks.items()])

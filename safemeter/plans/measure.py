@@ -67,7 +67,7 @@ def measured(t: RunTables, *, keep: bool | Callable[[DataFrame], DataFrame] = Tr
 
 def checked(t: RunTables, m: Models) -> DataFrame:
     """Violations per check over tables and models."""
-    return checks.violations(checks.all_checks(t, m.facts, m.burden, m.family, m.tiers, m.cases, m.comparisons))
+    return checks.all_violations(t, m.facts, m.burden, m.family, m.tiers, m.cases, m.comparisons)
 
 
 def gated(t: RunTables, m: Models, policy: gate.RegressionPolicy | None = None) -> DataFrame:
