@@ -29,13 +29,14 @@ def _baseline_side(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("run_id").alias("baseline_run_id"), "event_id", *(F.col(c).alias(f"baseline_{c}") for c in _SIDE))
 
 
-def case_comparisons(runs: DataFrame, facts: DataFrame) -> DataFrame:
+def case_comparisons(runs: DataFrame, facts: DataFrame, *, pairs: DataFrame | None = None) -> DataFrame:
     """One row per candidate run and event that both runs have.
 
     The pairs of runs are few, so their join is broadcast by size; the large join is on
-    (baseline run, event), never on a run alone.
+    (baseline run, event), never on a run alone.  ``pairs``: the lineage of ``runs``, where it
+    was written and its size is known.
     """
-    both = _candidate_side(lineage(runs), facts).join(_baseline_side(facts), ["baseline_run_id", "event_id"])
+    both = _candidate_side(lineage(runs) if pairs is None else pairs, facts).join(_baseline_side(facts), ["baseline_run_id", "event_id"])
     correct = {s: F.col(f"{s}_final_flag") == F.col(f"{s}_is_actual_attack") for s in ("baseline", "candidate")}
     same = [F.col(f"baseline_{c}") == F.col(f"candidate_{c}") for c in ("prompt_hash", "evaluation_family", "ground_truth_label")]
     both = both.withColumns({"baseline_correct": correct["baseline"], "candidate_correct": correct["candidate"], "is_compatible": same[0] & same[1] & same[2]})

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import hashing, text
 from .operators import checks, compare, facts, fast_tier, gate, judge, metrics, routing, staging, term_regression
+from .plans import copartition, measure
 from .plans import driver_tables as tables
-from .plans import measure
 from .schemas import RunTables
 from .sources.corpus import read_corpus, write_corpus
 from .sources.shared import new_folder, written
@@ -448,6 +448,14 @@ def j4_k1_k3_case_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(spark, sf_dir)[1].cases
 
 
+@_query(RUN_SQL + "select * from moves")
+def j1_j4_copartitioned_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through tables that are bucketed by event: facts and pairs are joined without moving rows."""
+    t = tables.measurement(spark, sf_dir)
+    with copartition.Copartition(spark, t.events.count()) as place:
+        return written(copartition.measured(place, t).cases, "cases")
+
+
 _FAULTS = """
 select 'r2' as candidate_run_id, 'r1' as baseline_run_id, event_id from rows where run_id = 'r2' and n % 1000 in (11, 12)
 union all select 'r3', 'r1', event_id from rows where run_id = 'r3' and n % 2000 = 5
