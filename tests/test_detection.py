@@ -89,8 +89,7 @@ def test_landing_keeps_its_keys_as_state_and_reads_nothing_back(spark, tmp_path)
     assert _landing(spark, root, "new") == [("a", 1), ("b", None), ("c", 2**53 + 1), ("d", 4), ("e", 5)]  # another query starts from what lies there
 
 
-@pytest.mark.parametrize("first, then", [([("a", 1)], [("a", 2)]), ([("a", None)], [("a", 0)]), ([("b", 1)], [("a", 1), ("a", 2)])])
-@pytest.mark.parametrize("checkpoint", ["c", "new"])
+@pytest.mark.parametrize("first, then, checkpoint", [([("a", 1)], [("a", 2)], "c"), ([("a", None)], [("a", 0)], "new"), ([("b", 1)], [("a", 1), ("a", 2)], "c")])
 def test_landing_refuses_another_payload(spark, tmp_path, first, then, checkpoint):
     root = str(tmp_path)
     _offer(spark, root, first)
