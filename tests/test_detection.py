@@ -180,3 +180,21 @@ def test_given_coefficients(spark):
     got = [r[0] for r in tier.score(spark.createDataFrame([("aa bb",), ("zz",)], "text string")).select("tier1_score").collect()]
     # three terms of equal weight: two words of two characters, their pair of five
     assert got[0] == pytest.approx(1 / (1 + math.exp(1 - 9 / math.sqrt(3)))) and got[1] == pytest.approx(1 / (1 + math.e))
+
+
+def test_term_tables_take_every_text_and_copies_of_texts(spark):
+    """More texts than the sample of the row-by-row tier, most of them copies; the gradient vanishes and all texts count."""
+    n = fast_tier.SAMPLE + 50
+    train = spark.range(n).select(F.concat(F.lit("aa"), F.col("id") % 7, F.lit(" bb cc"), F.col("id") % 3).alias("text"), F.when(F.col("id") % 5 == 0, "attack").otherwise("benign").alias("label"))
+    model = term_regression.fit(train)
+    assert model.texts == n
+    assert term_regression.gradient(train, model).agg(F.sqrt(F.sum(F.col("gradient") ** 2))).first()[0] < 1e-6
+    given = term_regression.with_coefficients(train, F.lit(0.5), 0.0)
+    assert given.texts == n and given.terms.agg(F.max("documents")).first()[0] == n  # "bb" is in every text
+
+
+def test_term_counts_of_odd_texts(spark):
+    rows = [("AA bb aa",), ("x",), ("",), (None,), ("bb bb bb",)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(fast_tier.term_counts(F.col("text"))).collect()]
+    counts = [None if r is None else {x["term"]: x["tf"] for x in r} for r in got]
+    assert counts == [{"aa": 2, "bb": 1, "aa bb": 1, "bb aa": 1}, None, None, None, {"bb": 3, "bb bb": 2}]
