@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +47,31 @@ def record_digest(*, fields: tuple[str, ...] = RECORD_FIELDS) -> Column:
 
 
 def dataset_hash_exact(prompts: DataFrame, order: list[str]) -> str:
-    """One digest over the ordered canonical lines, streamed through the driver: for sets of modest size."""
-    digest = hashlib.sha256()
+    """One digest over the canonical lines in ``order``, which must be unique; only the digest reaches the driver.
+
+    The digest of all lines is sequential by nature: lines are made and sorted in parallel, then one
+    task reads the sorted partitions one after another, holding a batch of lines at a time, and
+    fails if a line is out of its place.
+    """
 
     @F.pandas_udf("binary")
     def line(record: pd.DataFrame) -> pd.Series:
         return pd.Series(_canonical(record, RECORD_FIELDS))
 
-    for r in prompts.orderBy(*order).select(line(F.struct(*RECORD_FIELDS)).alias("line")).toLocalIterator():
-        digest.update(bytes(r["line"]) + b"\n")
-    return f"sha256:{digest.hexdigest()}"
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n = hashlib.sha256(), 0
+        for b in batches:
+            for i, x in zip(b.column(0), b.column(1), strict=True):
+                if i.as_py() != n:
+                    raise ValueError(f"line {i} came in place of {n}")
+                digest.update(x.as_buffer())
+                digest.update(b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n], "digest": [digest.hexdigest()]})
+
+    lines = numbered(prompts.select(*order, line(F.struct(*RECORD_FIELDS)).alias("line")), order, "i").select("i", "line")
+    (found,) = lines.orderBy("i").coalesce(1).mapInArrow(digested, "n long, digest string").collect() or [{"digest": hashlib.sha256().hexdigest()}]
+    return f"sha256:{found['digest']}"
 
 
 def dataset_hash_tree(prompts: DataFrame, order: list[str]) -> DataFrame:

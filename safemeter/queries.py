@@ -219,7 +219,7 @@ _LINES = _CLOCK + f""", lines as (
 
 @_query(_LINES + "select 'sha256:' || sha256(coalesce(string_agg(line, '' order by doc_id), '')) as dataset_hash from lines")
 def p11_dataset_hash_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digest: ordered lines through one digest, and so through the driver."""
+    """The contract's digest: ordered lines through one digest, in one task that holds a batch at a time; the driver gets the digest."""
     return spark.createDataFrame([(hashing.dataset_hash_exact(tables.prompts(spark, sf_dir), ["doc_id"]),)], "dataset_hash string")
 
 
