@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import tasks_for
 from .staging import stg_detections, stg_events, stg_ground_truth
 
 KEY = ["run_id", "event_id"]
@@ -26,15 +27,29 @@ def with_outcomes(rows: DataFrame) -> DataFrame:
     })
 
 
-def fct_classifications(events: DataFrame, truth: DataFrame, detections: DataFrame, *, with_text: bool = True) -> DataFrame:
-    """Facts of raw tables.  ``with_text=False`` drops the prompt and rationale before the shuffle; no metric reads them."""
+def fct_classifications(events: DataFrame, truth: DataFrame, detections: DataFrame, *, with_text: bool = True, partitions: int | None = None) -> DataFrame:
+    """Facts of raw tables.  ``with_text=False`` drops the prompt and rationale before the shuffle; no metric reads them.
+
+    Tables are dealt out into ``partitions`` or as many as the largest of them calls for, so that
+    a task hashes a bounded part of them.
+    """
+    n = max(tasks_for(df) for df in (events, truth, detections)) if partitions is None else partitions
     e, d = stg_events(events), stg_detections(detections)
     if not with_text:
         e, d = e.drop("prompt_text"), d.drop("judge_rationale")
-    return with_outcomes(joined(e, stg_ground_truth(truth), d))
-
-
-def incomplete(events: DataFrame, truth: DataFrame, detections: DataFrame) -> DataFrame:
-    """Keys of events that lack truth or a detection."""
-    keys = events.select(*KEY)
-    return keys.join(truth, KEY, "left_anti").union(keys.join(detections, KEY, "left_anti")).distinct()
+    e, g, d = (df.repartition(n, *KEY) for df in (e, stg_ground_truth(truth), d))
+    return with_outcomes(joined(e, g.hint("shuffle_hash"), d.hint("shuffle_hash")))
+
+
+def incomplete(events: DataFrame, truth: DataFrame, detections: DataFrame, *, partitions: int | None = None) -> DataFrame:
+    """Keys of events that lack truth or a detection.
+
+    Keys only are moved, into ``partitions`` or as many as the largest table calls for, so that
+    a task holds a bounded part of them whatever the size of the tables.  Who lacks both is
+    found by the first of the two joins alone, so nothing is moved again to tell keys apart.
+    """
+    n = max(tasks_for(df) for df in (events, truth, detections)) if partitions is None else partitions
+    keys, judged, found = (df.select(*KEY).repartition(n, *KEY) for df in (events, truth, detections))
+    judged, found = judged.hint("shuffle_hash"), found.hint("shuffle_hash")
+    without_truth = keys.join(judged, KEY, "left_anti").distinct()
+    return without_truth.union(keys.join(judged, KEY, "left_semi").join(found, KEY, "left_anti").distinct())

@@ -54,6 +54,20 @@ def evened(df: DataFrame, *by: str, probe: DataFrame | None = None) -> DataFrame
     return df.repartition(cores, *by)
 
 
+#: Rows of each table that one task of a join or an aggregate by key is meant for, however large the table is.
+ROWS_PER_TASK = 250_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Into how many partitions a join or an aggregate by key deals tables of about as many rows as ``df``.
+
+    Spark's own partitions are as many as a setting says, or are joined by their compressed
+    bytes; keys compress so well that a task then sorts ten times of what it read.  ``df`` is
+    counted, without reading its columns.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+
+
 def files_of(spark: SparkSession, path: str):
     """The file system that holds ``path``, and the path in it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

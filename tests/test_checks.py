@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from safemeter.operators import checks
+from safemeter.operators import checks, facts
 from safemeter.plans import driver_tables, measure
 from safemeter.schemas import RunTables
 
@@ -83,3 +83,16 @@ def test_each_stored_table_is_read_once(spark, stored, tmp_path):
     alone, whole = checks.stored_violations(t, m.facts, m.tiers), measure.checked(t, m)
     assert [scans(alone, n) for n in NAMES] == [1, 1, 1, 1] and [scans(whole, n) for n in NAMES[1:]] == [1, 1, 1]
     assert "Join" not in checks.stored_violations(t, t.events.limit(0).select("*", *(F.lit(False).alias(f"is_{x}") for x in ("true_positive", "false_positive", "true_negative", "false_negative"))), m.tiers)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_incomplete_events_are_found_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr("safemeter.sources.shared.ROWS_PER_TASK", 100)
+    t = driver_tables.measurement(spark, "/root/testdata/sf0.001")
+    n = t.events.count()
+    one, two = F.col("event_id") == "evt-000003", F.col("event_id") == "evt-000004"
+    events = t.events.unionByName(t.events.where(one)).unionByName(t.events.where(one).withColumn("event_id", F.lit(None).cast("string")))
+    found = facts.incomplete(events, t.ground_truth.where(~one), t.detections.where(~(one | two)))
+    assert found.rdd.getNumPartitions() >= n // 100
+    runs = ("r1", "r2", "r3")
+    want = [(r, e) for r in runs for e in ("evt-000003", "evt-000004", None)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
