@@ -38,7 +38,10 @@ def required_nulls(name: str, df: DataFrame) -> DataFrame:
     return nulls(df, [c for c in columns_of(TABLES[name]) if c not in NULLABLE.get(name, ())])
 
 
-def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+def duplicate_keys(df: DataFrame, keys: list[str], *, partitions: int | None = None) -> DataFrame:
+    """Keys of several rows.  ``partitions``: the keys are dealt out into so many, each with a bounded part of them."""
+    if partitions is not None:
+        df = df.select(*keys).repartition(partitions, *keys)
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
@@ -174,24 +177,28 @@ def _inlined(counts: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*(F.struct(F.coalesce(F.col(c), F.lit(0)).cast("long").alias("violations"), F.lit(c).alias("check")) for c in counts.columns))))
 
 
-def stored_violations(t: RunTables, facts: DataFrame, tiers: DataFrame) -> DataFrame:
+def stored_violations(t: RunTables, facts: DataFrame, tiers: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Violations per check of the stored tables and the facts, with one scan of each and no join.
 
-    A scan turns a row into its key, its relation and the checks it fails.  These meet in one
+    A scan turns a row into its key, its relation and the checks it fails, a bit each.  These meet in one
     aggregate by run and event, which decides what needs a key (repeated keys, orphans,
     completeness), then in one by run (unknown and repeated runs, decisions of tiers).  A key
-    with a null is nobody's partner, as in a join.
+    with a null is nobody's partner, as in a join.  ``partitions``: rows are dealt out into so
+    many by key, each with a bounded part of the keys.
     """
     relations = {"runs": t.runs.withColumn("event_id", F.lit(None).cast("string")), "events": t.events, "ground_truth": t.ground_truth, "detections": t.detections, "facts": facts}
     failed = {n: row_checks(n) for n in relations}
     names = [c for own in failed.values() for c in own]
-    no = F.lit(False)
-    marked = [
-        df.select(*KEYS["events"], *(F.lit(n == other).alias(other) for other in relations), *(F.coalesce(failed[n].get(c, no), no).alias(c) for c in names))
-        for n, df in relations.items()
-    ]
+    bit = {c: 1 << i for i, c in enumerate(names)}
+    failures = lambda n: reduce(lambda a, b: a.bitwiseOR(b), [F.when(bad, bit[c]).otherwise(0) for c, bad in failed[n].items()], F.lit(0))
+    place = {n: i for i, n in enumerate(relations)}
+    marked = reduce(DataFrame.unionByName, [df.select(*KEYS["events"], F.lit(place[n]).alias("_relation"), failures(n).alias("_failed")) for n, df in relations.items()])
+    if partitions is not None:
+        marked = marked.repartition(partitions, *KEYS["events"])
     columns = [*relations, *names]
-    key = reduce(DataFrame.unionByName, marked).groupBy(*KEYS["events"]).agg(*(F.count_if(c).alias(c) for c in columns))
+    key = marked.groupBy(*KEYS["events"]).agg(
+        *(F.count_if(F.col("_relation") == i).alias(n) for n, i in place.items()), *(F.count_if(F.col("_failed").bitwiseAND(F.lit(i)) != 0).alias(c) for c, i in bit.items())
+    )
     run, lost = F.col("run_id"), F.col("run_id").isNull() | F.col("event_id").isNull() | (F.col("events") == 0)
     none = lambda c: F.col(c) == 0
     keyed = {
@@ -211,24 +218,29 @@ def stored_violations(t: RunTables, facts: DataFrame, tiers: DataFrame) -> DataF
     ))
 
 
-def _model_violations(df: DataFrame, keys: list[str], grain: str, rules: dict[str, Column]) -> DataFrame:
+def _model_violations(df: DataFrame, keys: list[str], grain: str, rules: dict[str, Column], *, partitions: int | None = None) -> DataFrame:
     """Repeated keys of a model, counted as ``grain``, and rows for which a rule's column holds, in one pass."""
+    if partitions is not None:
+        df = df.repartition(partitions, *keys)
     each = df.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.count_if(bad).alias(c) for c, bad in rules.items()))
     return _inlined(each.agg(F.count_if(F.col("_n") > 1).alias(grain), *(F.sum(c).alias(c) for c in rules)))
 
 
-def all_violations(t: RunTables, facts: DataFrame, burden: DataFrame, family: DataFrame, tiers: DataFrame, cases: DataFrame, comparisons: DataFrame) -> DataFrame:
-    """What ``violations`` counts over :func:`all_checks`, check by check, from one pass over each table and model."""
+def all_violations(t: RunTables, facts: DataFrame, burden: DataFrame, family: DataFrame, tiers: DataFrame, cases: DataFrame, comparisons: DataFrame, *, partitions: int | None = None) -> DataFrame:
+    """What ``violations`` counts over :func:`all_checks`, check by check, from one pass over each table and model.
+
+    ``partitions``: into how many the joins and aggregates by key deal the rows; None leaves it to Spark.
+    """
     rates = ["baseline_catch_rate", "candidate_catch_rate", "baseline_false_positive_rate", "candidate_false_positive_rate"]
     off = F.col("attack_examples") != F.col("caught_attacks") + F.col("missed_attacks")
     return reduce(DataFrame.unionByName, [
-        stored_violations(t, facts, tiers),
+        stored_violations(t, facts, tiers, partitions=partitions),
         _model_violations(burden, ["run_id"], "c14_burden_grain", {"c13_burden_rates": _out_of_bounds(["false_positive_rate", "evaluation_mix_false_alarm_share_of_blocks"])}),
         _model_violations(family, ["run_id", "evaluation_family"], "c14_family_grain", {"c11_family_counts": off, "c13_family_rates": _out_of_bounds(["catch_rate"])}),
         _model_violations(tiers, ["run_id", "decided_by"], "c14_tier_grain", {}),
-        _model_violations(cases, ["candidate_run_id", "event_id"], "c15_case_grain", {}),
+        _model_violations(cases, ["candidate_run_id", "event_id"], "c15_case_grain", {}, partitions=partitions),
         _model_violations(comparisons, ["candidate_run_id", "evaluation_family"], "c15_comparison_grain", {"c13_comparison_rates": _out_of_bounds(rates)}),
-        violations({"c16_compatible": incompatible_cases(t.runs, facts)}),
+        violations({"c16_compatible": incompatible_cases(t.runs, facts, partitions=partitions)}),
     ])
 
 

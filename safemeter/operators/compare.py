@@ -22,21 +22,27 @@ def lineage(runs: DataFrame, *, keep_unmatched: bool = False) -> DataFrame:
 
 def _candidate_side(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     side = facts.select(F.col("run_id").alias("candidate_run_id"), "event_id", *(F.col(c).alias(f"candidate_{c}") for c in _SIDE))
-    return side.join(pairs.select("candidate_run_id", "baseline_run_id"), "candidate_run_id")
+    return side.join(F.broadcast(pairs.select("candidate_run_id", "baseline_run_id")), "candidate_run_id")
 
 
 def _baseline_side(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("run_id").alias("baseline_run_id"), "event_id", *(F.col(c).alias(f"baseline_{c}") for c in _SIDE))
 
 
-def case_comparisons(runs: DataFrame, facts: DataFrame, *, pairs: DataFrame | None = None) -> DataFrame:
+def case_comparisons(runs: DataFrame, facts: DataFrame, *, pairs: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """One row per candidate run and event that both runs have.
 
-    The pairs of runs are few, so their join is broadcast by size; the large join is on
-    (baseline run, event), never on a run alone.  ``pairs``: the lineage of ``runs``, where it
-    was written and its size is known.
+    The pairs of runs are few, so they are broadcast; the large join is on (baseline run,
+    event), never on a run alone.  ``pairs``: the lineage of ``runs``, where it was written and
+    its size is known.  ``partitions``: as many as the facts call for, so that a task hashes a
+    bounded part of the baselines' facts; without, facts are joined as they lie.
     """
-    both = _candidate_side(lineage(runs) if pairs is None else pairs, facts).join(_baseline_side(facts), ["baseline_run_id", "event_id"])
+    pairs, key = lineage(runs) if pairs is None else pairs, ["baseline_run_id", "event_id"]
+    candidates, baselines = _candidate_side(pairs, facts), _baseline_side(facts)
+    if partitions is not None:
+        baselines = baselines.join(F.broadcast(pairs.select("baseline_run_id").distinct()), "baseline_run_id", "left_semi")
+        candidates, baselines = candidates.repartition(partitions, *key), baselines.repartition(partitions, *key).hint("shuffle_hash")
+    both = candidates.join(baselines, key)
     correct = {s: F.col(f"{s}_final_flag") == F.col(f"{s}_is_actual_attack") for s in ("baseline", "candidate")}
     same = [F.col(f"baseline_{c}") == F.col(f"candidate_{c}") for c in ("prompt_hash", "evaluation_family", "ground_truth_label")]
     both = both.withColumns({"baseline_correct": correct["baseline"], "candidate_correct": correct["candidate"], "is_compatible": same[0] & same[1] & same[2]})
@@ -84,18 +90,21 @@ def run_comparisons(runs: DataFrame, cases: DataFrame, burden: DataFrame) -> Dat
     return family.join(burden_deltas(runs, burden), keys[:2])
 
 
-def incompatible_cases(runs: DataFrame, facts: DataFrame) -> DataFrame:
+def incompatible_cases(runs: DataFrame, facts: DataFrame, *, partitions: int | None = None) -> DataFrame:
     """Cases that only one run of a pair has or whose hash, label or family changed, and, with a null event, pairs whose data sets differ.
 
-    One full outer join does both directions.
+    One full outer join does both directions.  ``partitions`` as in :func:`case_comparisons`.
     """
-    pairs = lineage(runs)
+    pairs, key = lineage(runs), ["candidate_run_id", "baseline_run_id", "event_id"]
+    named = F.broadcast(pairs.select("candidate_run_id", "baseline_run_id"))
     only = ("prompt_hash", "evaluation_family", "ground_truth_label")
-    c = facts.select(F.col("run_id").alias("candidate_run_id"), "event_id", *(F.col(x).alias(f"c_{x}") for x in only)).join(pairs.select("candidate_run_id", "baseline_run_id"), "candidate_run_id").withColumn("in_c", F.lit(True))
-    b = facts.select(F.col("run_id").alias("baseline_run_id"), "event_id", *(F.col(x).alias(f"b_{x}") for x in only)).join(pairs.select("candidate_run_id", "baseline_run_id"), "baseline_run_id").withColumn("in_b", F.lit(True))
+    c = facts.select(F.col("run_id").alias("candidate_run_id"), "event_id", *(F.col(x).alias(f"c_{x}") for x in only)).join(named, "candidate_run_id").withColumn("in_c", F.lit(True))
+    b = facts.select(F.col("run_id").alias("baseline_run_id"), "event_id", *(F.col(x).alias(f"b_{x}") for x in only)).join(named, "baseline_run_id").withColumn("in_b", F.lit(True))
+    if partitions is not None:
+        c, b = c.repartition(partitions, *key), b.repartition(partitions, *key).hint("shuffle_hash")
     changed = F.lit(False)
     for x in only:
         changed |= F.coalesce(F.col(f"c_{x}") != F.col(f"b_{x}"), F.lit(False))
-    cases = c.join(b, ["candidate_run_id", "baseline_run_id", "event_id"], "full_outer").where(F.col("in_c").isNull() | F.col("in_b").isNull() | changed)
+    cases = c.join(b, key, "full_outer").where(F.col("in_c").isNull() | F.col("in_b").isNull() | changed)
     hashes = pairs.where(F.col("candidate_dataset_hash") != F.col("baseline_dataset_hash")).select("candidate_run_id", "baseline_run_id", F.lit(None).cast("string").alias("event_id"))
     return cases.select("candidate_run_id", "baseline_run_id", "event_id").unionByName(hashes)

@@ -13,6 +13,7 @@ from ..operators import checks, compare, facts, fast_tier, gate, metrics, routin
 from ..operators.judge import stub
 from ..operators.staging import blind_events, truth_of, with_clock
 from ..schemas import DETECTIONS, RunTables, columns_of
+from ..sources.shared import tasks_for
 from ..sources.store import RunStore
 
 
@@ -26,6 +27,8 @@ class Models:
     tiers: DataFrame
     cases: DataFrame
     comparisons: DataFrame
+    #: Into how many partitions the joins and aggregates by key deal the facts; None leaves it to Spark.
+    partitions: int | None = None
 
 
 def detections_of(events: DataFrame, tier: fast_tier.FastTier | term_regression.TermModel, *, judge: Callable[[DataFrame], DataFrame] = stub, low: float = routing.LOW, high: float = routing.HIGH) -> DataFrame:
@@ -51,23 +54,25 @@ def scored_run(corpus: DataFrame, order: list[str], tier: fast_tier.FastTier | t
 def land(store: RunStore, tables: RunTables) -> dict[str, int]:
     """Append a run and make sure that its events are complete."""
     counts = store.append(tables)
-    if missing := facts.incomplete(tables.events, tables.ground_truth, tables.detections).take(1):
+    parts = tasks_for(tables.events)  # the store has refused truth and detections without an event
+    if missing := facts.incomplete(tables.events, tables.ground_truth, tables.detections, partitions=parts).take(1):
         raise ValueError(f"incomplete event: {missing[0]}")
     return counts
 
 
 def measured(t: RunTables, *, keep: bool | Callable[[DataFrame], DataFrame] = True) -> Models:
     """``keep``: whether the facts are kept in memory, or what keeps them, such as writing them."""
-    rows = facts.fct_classifications(t.events, t.ground_truth, t.detections, with_text=False)
+    n = max(tasks_for(df) for df in (t.events, t.ground_truth, t.detections))
+    rows = facts.fct_classifications(t.events, t.ground_truth, t.detections, with_text=False, partitions=n)
     rows = keep(rows) if callable(keep) else rows.persist() if keep else rows
     burden = metrics.false_positive_burden(rows)
-    cases = compare.case_comparisons(t.runs, rows)
-    return Models(rows, burden, metrics.performance_by_family(rows, burden), metrics.tier_contribution(rows), cases, compare.run_comparisons(t.runs, cases, burden))
+    cases = compare.case_comparisons(t.runs, rows, partitions=n)
+    return Models(rows, burden, metrics.performance_by_family(rows, burden), metrics.tier_contribution(rows), cases, compare.run_comparisons(t.runs, cases, burden), n)
 
 
 def checked(t: RunTables, m: Models) -> DataFrame:
     """Violations per check over tables and models."""
-    return checks.all_violations(t, m.facts, m.burden, m.family, m.tiers, m.cases, m.comparisons)
+    return checks.all_violations(t, m.facts, m.burden, m.family, m.tiers, m.cases, m.comparisons, partitions=m.partitions)
 
 
 def gated(t: RunTables, m: Models, policy: gate.RegressionPolicy | None = None) -> DataFrame:
