@@ -23,11 +23,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.checks import broken_rules, duplicate_keys, orphans, table_rules
+from ..operators.checks import broken_rules, duplicate_keys, table_rules
 from ..operators.facts import incomplete
 from ..operators.metrics import table_counts
 from ..schemas import KEYS, TABLES, RunTables, columns_of
-from .shared import exists, names_in, put_if_absent, read_text, remove
+from .shared import exists, names_in, put_if_absent, read_text, remove, tasks_for
 
 CHILDREN = ("events", "ground_truth", "detections")
 #: Folders of the snapshots and of the segments.
@@ -133,7 +133,8 @@ class RunStore:
         if name == "runs":
             return self.runs()
         at = self.pinned()
-        return at._raw(name).join(at.runs().select("run_id"), "run_id", "left_semi").select(*columns_of(TABLES[name]))
+        # never moved by run: a run can hold any part of the rows
+        return at._raw(name).join(F.broadcast(at.runs().select("run_id")), "run_id", "left_semi").select(*columns_of(TABLES[name]))
 
     def tables(self) -> RunTables:
         at = self.pinned()
@@ -149,12 +150,14 @@ class RunStore:
         """Joined results of one run or all, by run and event; ``strict`` raises on events without truth or detection."""
         at = self.pinned()
         parts = [at.table(n) if run_id is None else at.table(n).where(F.col("run_id") == run_id) for n in CHILDREN]
+        n, key = tasks_for(parts[0]), KEYS["events"]
         if strict:
-            missing = incomplete(*parts).orderBy("run_id", "event_id").limit(5).collect()
+            missing = incomplete(*parts, partitions=n).orderBy("run_id", "event_id").limit(5).collect()
             if missing:
                 raise StoreError(f"events without truth or detection, first: {[(r[0], r[1]) for r in missing]}")
-        events, truth, detections = parts
-        return events.join(truth, KEYS["events"]).join(detections, KEYS["events"]).orderBy("run_id", "event_id")
+        events, truth, detections = (df.repartition(n, *key) for df in parts)
+        # each partition's share is bounded, so it is hashed; a sort would take all columns along, and the range's sample joins again
+        return events.join(truth.hint("shuffle_hash"), key).join(detections.hint("shuffle_hash"), key).repartitionByRange(n, *key).sortWithinPartitions(*key)
 
     def counts(self, run_id: str | None = None) -> DataFrame:
         """Rows of the four tables and of their join."""
@@ -173,71 +176,95 @@ class RunStore:
         raises.  ``replace`` puts these runs in the place of all others.  Either way the new
         rows appear at once, or not at all; readers go on with the snapshot they have.
         """
-        batch = {n: getattr(new, n).select(*columns_of(TABLES[n])).to(self.spark.createDataFrame([], TABLES[n]).schema).distinct().persist() for n in TABLES}
+        parts = tasks_for(new.events)
+
+        def own(n: str) -> DataFrame:
+            rows = getattr(new, n).select(*columns_of(TABLES[n])).to(self.spark.createDataFrame([], TABLES[n]).schema)
+            # dealt out by key once: repeats, orphans, what is there already and what is new are found where the rows are
+            return (rows if n == "runs" else rows.repartition(parts, *KEYS[n])).persist()
+
+        given = {n: own(n) for n in TABLES}
+        again = [duplicate_keys(df, KEYS[n]).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n, df in given.items()]
+        repeated = {name for name, n in reduce(DataFrame.unionByName, again).collect() if n}  # the others need not be told apart by all columns
+        batch = given | {n: given[n].distinct().persist() for n in repeated}
         try:
             for _ in range(ATTEMPTS):
-                counts = self.pinned()._append_once(batch, replace)
+                counts = self.pinned()._append_once(batch, repeated, replace, parts)
                 if counts is not None:
                     return counts
             raise StoreError(f"other writers were faster {ATTEMPTS} times")
         finally:
-            for df in batch.values():
+            for df in (*batch.values(), *given.values()):
                 df.unpersist()
 
-    def _append_once(self, batch: dict[str, DataFrame], replace: bool) -> dict[str, int] | None:
+    def _append_once(self, batch: dict[str, DataFrame], repeated: set[str], replace: bool, parts: int) -> dict[str, int] | None:
         """One attempt from this snapshot; None if another writer has published the next one."""
         at = self.snapshot()
         if not replace:
             self.guard()
         known = {n: self.spark.createDataFrame([], TABLES[n]) if replace else self._raw(n) for n in TABLES}
-        self._check(batch, known["runs"])
+        self._check(batch, repeated, known["runs"])
         run_ids = [r[0] for r in batch["runs"].select("run_id").collect()]  # as many as runs are landed at once
-        segment, fresh = uuid.uuid4().hex, {}
-        try:
-            for n, df in batch.items():
-                there = known[n].where(F.col("run_id").isin(*run_ids))  # one partition per run
-                self._conflicts(n, df, there)
-                fresh[n] = df.join(there.select(*KEYS[n]), KEYS[n], "left_anti").select(*columns_of(TABLES[n])).persist()
-            counts = {n: df.count() for n, df in fresh.items()}
-            if not any(counts.values()) and not replace:
-                return counts
-            for n in (*CHILDREN, "runs"):
-                if counts[n]:
-                    rows = fresh[n].write if n == "runs" else fresh[n].write.partitionBy("run_id")
-                    rows.parquet(self._folder(n, segment))
-            kept = () if replace else at.segments
-            if self._publish(Snapshot(at.number + 1, (*kept, segment), at.loose and not replace)):
-                return counts
-            self._discard(segment)  # nothing refers to it
-            return None
-        finally:
-            for df in fresh.values():
-                df.unpersist()
-
-    def _check(self, batch: dict[str, DataFrame], known_runs: DataFrame) -> None:
+        fresh, counts = {}, {}
+        for n, df in batch.items():
+            there = known[n].where(F.col("run_id").isin(*run_ids))  # one partition per run
+            fresh[n], counts[n] = self._news(n, df, there, parts)
+        if not any(counts.values()) and not replace:
+            return counts
+        segment = uuid.uuid4().hex
+        for n in (*CHILDREN, "runs"):
+            if counts[n]:
+                rows = fresh[n].write if n == "runs" else fresh[n].write.partitionBy("run_id")
+                rows.parquet(self._folder(n, segment))
+        kept = () if replace else at.segments
+        if self._publish(Snapshot(at.number + 1, (*kept, segment), at.loose and not replace)):
+            return counts
+        self._discard(segment)  # nothing refers to it
+        return None
+
+    def _news(self, name: str, new: DataFrame, there: DataFrame, parts: int) -> tuple[DataFrame, int]:
+        """Rows of ``new`` that ``there`` lacks, and how many; another payload under a key of theirs raises."""
+        if there.isEmpty():  # as when runs land for the first time: nothing to compare with
+            return new, new.count()
+        keys = KEYS[name]
+        if name != "runs" and (needed := max(parts, tasks_for(there))) > parts:  # a small batch of large runs
+            new, parts = new.repartition(needed, *keys), needed
+        there = there if name == "runs" else there.repartition(parts, *keys)
+        self._conflicts(name, new, there)
+        fresh = new.join(there.select(*keys).hint("shuffle_hash"), keys, "left_anti").select(*columns_of(TABLES[name]))
+        return fresh, fresh.count()
+
+    def _check(self, batch: dict[str, DataFrame], repeated: set[str], known_runs: DataFrame) -> None:
         runs, events, truth, detections = (batch[n] for n in TABLES)
-        all_runs = known_runs.select("run_id").unionByName(runs.select("run_id")).distinct()
+        keys = events.select(*KEYS["events"]).hint("shuffle_hash")
+        all_runs = F.broadcast(known_runs.select("run_id").unionByName(runs.select("run_id")).distinct())
         lineage = runs.where(F.col("baseline_run_id").isNotNull()).select(F.col("run_id").alias("own"), F.col("baseline_run_id").alias("run_id"))
         failures = {
             **{f"rules of {n}": broken_rules(df, table_rules(n)) for n, df in batch.items()},
-            "baseline does not exist": orphans(lineage, all_runs, ["run_id"]),
-            "events of unknown runs": orphans(events, all_runs, ["run_id"]),
-            "truth without event": orphans(truth, events, KEYS["events"]),
-            "detections without event": orphans(detections, events, KEYS["events"]),
-            **{f"conflicting rows in {n}": duplicate_keys(df, KEYS[n]) for n, df in batch.items()},
+            "baseline does not exist": lineage.join(all_runs, "run_id", "left_anti"),
+            "events of unknown runs": events.join(all_runs, "run_id", "left_anti"),  # never moved by run
+            "truth without event": truth.join(keys, KEYS["events"], "left_anti"),
+            "detections without event": detections.join(keys, KEYS["events"], "left_anti"),
+            **{f"conflicting rows in {n}": duplicate_keys(batch[n], KEYS[n]) for n in TABLES if n in repeated},
         }
-        named = [bad.select(F.lit(what).alias("what"), F.to_json(F.struct("*")).alias("row")) for what, bad in failures.items()]
-        if first := reduce(DataFrame.unionByName, named).take(1):  # one job for all rules
-            raise StoreError(f"{first[0]['what']}: {first[0]['row']}")
+        named = [bad.select(F.lit(i).alias("i"), F.lit(what).alias("what"), F.to_json(F.struct("*")).alias("row")) for i, (what, bad) in enumerate(failures.items())]
+        first = reduce(DataFrame.unionByName, named).agg(F.min(F.struct("i", "what", "row")).alias("first")).first()["first"]  # one job for all rules
+        if first:
+            raise StoreError(f"{first['what']}: {first['row']}")
 
-    def conflicts(self, name: str, new: DataFrame, there: DataFrame | None = None) -> DataFrame:
+    def conflicts(self, name: str, new: DataFrame) -> DataFrame:
         """Keys of ``new`` rows under which the table holds another payload (null equal to null)."""
-        there = self._raw(name) if there is None else there
+        there, keys = self._raw(name), KEYS[name]
+        n = max(tasks_for(new), tasks_for(there))
+        return self._differing(name, new.repartition(n, *keys), there.repartition(n, *keys))
+
+    def _differing(self, name: str, new: DataFrame, there: DataFrame) -> DataFrame:
         payload = [c for c in columns_of(TABLES[name]) if c not in KEYS[name]]
         old = there.select(*KEYS[name], *(F.col(c).alias(f"old_{c}") for c in payload))
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in payload])
-        return new.join(old, KEYS[name]).where(~same).select(*KEYS[name])
+        return new.join(old.hint("shuffle_hash"), KEYS[name]).where(~same).select(*KEYS[name])
 
     def _conflicts(self, name: str, new: DataFrame, there: DataFrame) -> None:
-        if first := self.conflicts(name, new, there).take(1):
-            raise StoreError(f"{name} holds another payload under {[first[0][k] for k in KEYS[name]]}")
+        first = self._differing(name, new, there).agg(F.min(F.struct(*KEYS[name])).alias("key")).first()["key"]
+        if first:
+            raise StoreError(f"{name} holds another payload under {[first[k] for k in KEYS[name]]}")

@@ -163,3 +163,24 @@ def test_a_number_is_taken_once(spark, tmp_path):
     path = f"{tmp_path}/log/1"
     assert put_if_absent(spark, path, "one") and not put_if_absent(spark, path, "two")
     assert read_text(spark, path) == "one" and names_in(spark, f"{tmp_path}/log") == ["1"] and names_in(spark, f"{tmp_path}/none") == []
+
+
+def test_repeated_rows_of_a_batch_land_once(spark, small, tmp_path):
+    """Only tables that repeat a key are told apart by all columns; a small batch of a landed run is dealt out by what is there."""
+    store, r1 = RunStore(spark, str(tmp_path / "s")), only(small, "r1")
+    twice = RunTables(r1.runs.unionByName(r1.runs), r1.events.unionByName(r1.events), r1.ground_truth, r1.detections)
+    assert store.append(twice) == {"runs": 1, "events": 20, "ground_truth": 20, "detections": 20}
+    one = F.col("event_id") == "evt-000007"
+    assert set(store.append(RunTables(r1.runs, r1.events.where(one), r1.ground_truth.where(one), r1.detections.where(one))).values()) == {0}
+    assert store.joined("r1").count() == 20
+
+
+def test_partitions_of_the_store_follow_its_rows(spark, small, tmp_path, monkeypatch):
+    """Rows of a partition are bounded, whatever Spark's own setting or its compressed sizes say."""
+    monkeypatch.setattr("safemeter.sources.shared.ROWS_PER_TASK", 2)
+    store = RunStore(spark, str(tmp_path / "s"))
+    assert store.append(small)["events"] == 60
+    joined = store.joined()
+    keys = [(r["run_id"], r["event_id"]) for r in joined.select("run_id", "event_id").collect()]
+    assert len(keys) == 60 and keys == sorted(keys)
+    assert joined.select(F.spark_partition_id().alias("p")).distinct().count() > 20
