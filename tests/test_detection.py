@@ -1,7 +1,11 @@
 """The fast tier, runs and the stream."""
 
+import itertools
 import math
+import random
+import re
 import shutil
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -136,6 +140,32 @@ def test_few_or_uneven_splits_are_dealt_out_and_even_ones_stay(spark):
     assert {tuple(r) for r in fast_tier.document_frequency(one).collect()} == {("aa", 2), ("bb", 3), ("cc", 2), ("aa bb", 2), ("bb cc", 2)}
 
 
+def test_document_frequency_is_counted_in_chunks_and_added_up_in_tasks_of_bounded_text(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "Dd", "x", "éé", "١٢", "a_b"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    texts += [None, "", "x", "aa", "aa-bb\tAA bb", " ".join(["ee", "ff"] * 40)] * 2
+    want = Counter()
+    for t in texts:
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        want.update({*w, *map(" ".join, itertools.pairwise(w))})
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    size = sum(len((t or "").encode()) for t in texts)
+    monkeypatch.setattr(fast_tier, "TEXT_PER_TASK", 300)
+    for chunk, pairs, batch in ((64 << 20, 1 << 18, 10_000), (600, 7, 10_000), (600, 7, 3), (1, 1, 10_000)):
+        monkeypatch.setattr(fast_tier, "CHUNK", chunk)
+        monkeypatch.setattr(fast_tier, "PAIRS", pairs)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            for least in (1, 2):
+                got = fast_tier.document_frequency(rows, min_documents=least)
+                assert {tuple(r) for r in got.collect()} == {x for x in want.items() if x[1] >= least}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.rdd.getNumPartitions() == -(-size // 300) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = rows.where("text is null")
+    assert fast_tier.document_frequency(none, min_documents=1).count() == fast_tier.document_frequency(rows.limit(0)).count() == 0
+
+
 def test_fit_keeps_the_whole_vocabulary_of_its_sample(spark):
     train = spark.createDataFrame([(f"aa{k % 5} bb", "attack" if k % 2 else "benign") for k in range(20)], "text string, label string")
     assert len(fast_tier.fit(train).vocabulary.vocabulary) == 11
