@@ -8,11 +8,13 @@ import shutil
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from safemeter.operators import fast_tier, term_regression
+from safemeter.operators import fast_tier, term_chunks, term_regression
 from safemeter.plans import driver_tables, measure
 from safemeter.schemas import RUNS, columns_of
 from safemeter.sources.shared import evened
@@ -228,3 +230,69 @@ def test_term_counts_of_odd_texts(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "text string").select(fast_tier.term_counts(F.col("text"))).collect()]
     counts = [None if r is None else {x["term"]: x["tf"] for x in r} for r in got]
     assert counts == [{"aa": 2, "bb": 1, "aa bb": 1, "bb aa": 1}, None, None, None, {"bb": 3, "bb bb": 2}]
+
+
+def _vectors(texts, n, documents):
+    """TF-IDF rows of length 1 over the terms in two documents or more, by hand."""
+    out = []
+    for t in texts:
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        x = {k: tf * (math.log((n + 1) / (documents[k] + 1)) + 1) for k, tf in Counter([*w, *map(" ".join, itertools.pairwise(w))]).items() if documents[k] >= 2}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        out.append({k: v / norm for k, v in x.items()})
+    return out
+
+
+def _odd_texts():
+    rng = random.Random(5)
+    words = ["aa", "bb", "cc", "Dd", "x", "éé", "a_b", "ÄÖ", "ω1", "東京", "١٢"]
+    texts = [" ".join(rng.choice(words if k % 3 else words[:8]) for _ in range(rng.randrange(14))) for k in range(90)]
+    return [*texts, *texts[:30], None, "", "x", "aa-bb\tAA  bb", " ".join(["bb", "cc"] * 400)]
+
+
+def _documents(texts):
+    out = Counter()
+    for t in texts:
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        out.update({*w, *map(" ".join, itertools.pairwise(w))})
+    return out
+
+
+@pytest.mark.parametrize("chunk, pairs, block, texts_at_once, buckets", [(64 << 20, 1 << 18, 1 << 17, 1 << 16, 8 << 20), (600, 7, 5, 1 << 16, 500), (1, 1, 1, 3, 100)])
+def test_terms_meet_in_arrays_whatever_their_chunks_and_the_optimum_is_that_of_all_rows(spark, monkeypatch, chunk, pairs, block, texts_at_once, buckets):
+    """A text that comes again, also with another label, is one text with more weight; no row is made for a term of a text."""
+    for name, value in (("CHUNK", chunk), ("PAIRS", pairs), ("BLOCK", block), ("TEXTS", texts_at_once), ("TEXT_PER_TASK", buckets)):
+        monkeypatch.setattr(term_chunks, name, value)
+    texts = _odd_texts()
+    label = [k % 4 == 0 for k in range(len(texts))]
+    n, documents, y = len(texts), _documents(texts), [float(x) for x in label]
+    train = spark.createDataFrame([(k, t, "attack" if a else "benign") for k, (t, a) in enumerate(zip(texts, label, strict=True))], "k long, text string, label string").coalesce(2)
+    assert term_regression.numbered_texts(train, "text", "label").count() == len({t or "" for t in texts}) < n
+    model = term_regression.fit(train)
+    terms = {r["term"]: r for r in model.terms.collect()}
+    assert model.texts == n and {t: r["documents"] for t, r in terms.items()} == {t: d for t, d in documents.items() if d >= 2}
+    rows = _vectors(texts, n, documents)
+    want = [1 / (1 + math.exp(-(model.intercept + sum(v * terms[t]["coefficient"] for t, v in x.items())))) for x in rows]
+    got = {r["k"]: r["tier1_score"] for r in term_regression.scored(train, model, "k").collect()}
+    assert len(got) == n and all(got[k] == pytest.approx(p, abs=1e-12) for k, p in enumerate(want))
+    slope = [(n / (2 * sum(y)) if a else n / (2 * (n - sum(y)))) * (p - a) for p, a in zip(want, y, strict=True)]
+    steep = {t: r["coefficient"] + sum(s * x.get(t, 0.0) for s, x in zip(slope, rows, strict=True)) for t, r in terms.items()}
+    assert abs(sum(slope)) < 1e-8 and max(map(abs, steep.values())) < 1e-8
+    other = term_regression.TermModel(model.terms.withColumn("coefficient", F.col("coefficient") + F.length("term")), 0.5, n, 0)
+    p = [1 / (1 + math.exp(-(0.5 + sum(v * (terms[t]["coefficient"] + len(t)) for t, v in x.items())))) for x in rows]
+    slope = [(n / (2 * sum(y)) if a else n / (2 * (n - sum(y)))) * (q - a) for q, a in zip(p, y, strict=True)]
+    found = {r["term"]: r["gradient"] for r in term_regression.gradient(train, other).collect()}
+    assert found.keys() == {None, *terms} and found[None] == pytest.approx(sum(slope))
+    assert all(found[t] == pytest.approx(terms[t]["coefficient"] + len(t) + sum(s * x.get(t, 0.0) for s, x in zip(slope, rows, strict=True))) for t in terms)
+
+
+def test_words_of_latin_texts_are_the_same_in_arrow_and_in_spark(spark):
+    every = "".join(f"{chr(c)}ab{chr(c)}{chr(c)} " for c in range(0x250))
+    words = spark.createDataFrame([(every,)], "text string").select(F.lower("text"), fast_tier.words_of(F.col("text"))).first()
+    assert term_chunks.words_in(pa.array([words[0], None]), pa.nulls(2, pa.list_(pa.string()))).to_pylist() == [words[1], []]
+
+
+def test_packed_numbers_come_back():
+    for x in ([], [0], [2**31 - 1, 0, 5, 5, 2**31 - 1], list(range(0, 90000, 7)) * 2):
+        x = np.array(x, np.int32)
+        assert (term_chunks.unpacked(pa.py_buffer(term_chunks.packed(x)), len(x)) == x).all()
