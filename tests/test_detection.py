@@ -296,3 +296,14 @@ def test_packed_numbers_come_back():
     for x in ([], [0], [2**31 - 1, 0, 5, 5, 2**31 - 1], list(range(0, 90000, 7)) * 2):
         x = np.array(x, np.int32)
         assert (term_chunks.unpacked(pa.py_buffer(term_chunks.packed(x)), len(x)) == x).all()
+
+
+def test_equal_texts_are_scored_once_and_no_term_of_a_text_is_a_row(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["aa bb", "aa bb", None, "", "bb cc", "aa bb"])], "k long, text string")
+    model = term_regression.with_coefficients(rows, F.length("term").cast("double"), 0.0)
+    seen, plain = [], term_regression._of_chunks
+    monkeypatch.setattr(term_regression, "_of_chunks", lambda df, *rest: (seen.append(df.count()), plain(df, *rest))[1])
+    out = term_regression.scored(rows, model, "k")
+    scores = {r["k"]: r["tier1_score"] for r in out.collect()}
+    assert seen == [3] and scores[0] == scores[1] == scores[5] != scores[4] and scores[2] == scores[3] == 0.5
+    assert "Generate" not in out._jdf.queryExecution().toString()
