@@ -307,3 +307,20 @@ def test_equal_texts_are_scored_once_and_no_term_of_a_text_is_a_row(spark, monke
     scores = {r["k"]: r["tier1_score"] for r in out.collect()}
     assert seen == [3] and scores[0] == scores[1] == scores[5] != scores[4] and scores[2] == scores[3] == 0.5
     assert "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_landing_asks_no_python_for_its_state_and_takes_null_keys(spark, tmp_path):
+    root = str(tmp_path)
+    _offer(spark, root, [(None, 1), ("a", 1), (None, 1), ("b", 2)])
+    stream = spark.readStream.schema(_PAID).parquet(f"{root}/in")
+    query = replay.land(stream, f"{root}/out", f"{root}/c", keys=["k"])
+    query.awaitTermination()
+    assert {o["operatorName"] for o in query.lastProgress["stateOperators"]} == {"dedupe"}
+    _offer(spark, root, [("c", 3), (None, 1)])
+    replay.land(stream, f"{root}/out", f"{root}/new", keys=["k"]).awaitTermination()  # all rows come again, and what has landed
+    got = spark.read.parquet(f"{root}/out").select("k", "n").collect()
+    assert len(got) == 4 and {tuple(r) for r in got} == {(None, 1), ("a", 1), ("b", 2), ("c", 3)}
+    _offer(spark, root, [(None, 2)])
+    with pytest.raises(Exception, match="another payload"):
+        replay.land(stream, f"{root}/out", f"{root}/c", keys=["k"]).awaitTermination()
+    assert spark.read.parquet(f"{root}/out").count() == 4
